@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Smallest p-value reported, so a printed p is never an exact zero.
 P_FLOOR = 2.2250738585072014e-308
@@ -50,6 +51,6 @@ def chi2_tail(x: float, df: float) -> float:
     return h * scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, b) for a, b in zip(x, df)], dtype="float64").where(x.notna() & df.notna())

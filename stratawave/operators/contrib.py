@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stratawave.functions import scalars
 from stratawave.functions.quantiles import exact_quantiles
 from stratawave.operators.aggregate import peak_step
-from stratawave.operators.joins import delta_from_baseline, scenario_keys
+from stratawave.operators.joins import delta_from_baseline, salted_join, scenario_keys
 from stratawave.operators.reshape import to_wide
 from stratawave.operators.sets import top_n
 from stratawave.operators.shares import normalise_shares
@@ -72,7 +72,7 @@ def by_shock_paths(single_paths: DataFrame, baseline: DataFrame, shock_map: Data
     weight = F.col("weight") if "weight" in shock_map.columns else F.lit(1.0)
     used = shock_map.join(delta.select("scenario").distinct(), "scenario", "left_semi")
     used = used.select("scenario", "shock_id", weight.alias("_w"))
-    return used.join(single, "shock_id").select(
+    return salted_join(single, used, ["shock_id"], ["regime", "variable", "t"]).select(
         *_with_unc(single, ["scenario", "shock_id", "regime", "variable", "t"]),
         (F.col("_w") * F.col("delta")).alias("contribution"),
     )
@@ -188,7 +188,9 @@ def shapley(single_delta: DataFrame, shock_map: DataFrame, exact_up_to: int = 7,
     sampled = drawn.withColumn("place", F.row_number().over(by_hash)).select(
         "scenario", "shock_id", "weight", "perm", "place", F.lit("sampled").alias("method")
     )
-    ordered = exact.unionByName(sampled).join(single_delta, "shock_id").withColumn("_d", F.col("weight") * F.col("delta"))
+    ordered = salted_join(
+        single_delta, exact.unionByName(sampled), ["shock_id"], ["regime", "variable", "t"]
+    ).withColumn("_d", F.col("weight") * F.col("delta"))
     path = W.partitionBy("scenario", "perm", "regime", "variable", "t").orderBy("place")
     with_it = F.sum("_d").over(path.rowsBetween(W.unboundedPreceding, W.currentRow))
     without = F.coalesce(F.sum("_d").over(path.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))

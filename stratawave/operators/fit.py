@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratawave.functions import linalg
 from stratawave.functions.distributions import P_FLOOR, chi2_tail_udf
 from stratawave.functions.quantiles import grid_quantiles
 from stratawave.operators import series as S
+from stratawave.operators.joins import salted_join
+from stratawave.schemas import struct
 
 # ---------------------------------------------------------------- design rows
 
@@ -32,22 +35,16 @@ def model_vectors(returns: DataFrame, members: DataFrame, drivers: DataFrame, st
     kept if every member and the driver have a value; standardising and smoothing of
     the driver follow on the kept rows.
     """
-    sizes = members.groupBy("model").agg(
-        F.count("*").alias("_k"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "series"))), lambda s: s["series"]).alias("names"),
-    )
-    long = returns.where(F.col(value).isNotNull()).join(members, "series")
+    counted = members.withColumn("_k", F.count("*").over(W.partitionBy("model")))
+    long = salted_join(returns.where(F.col(value).isNotNull()), counted, ["series"], ["date"], salt=8)
+    long = long.join(drivers.where(F.col("q").isNotNull()), ["model", "date"])
+    long = long.withColumn("_n", F.count("*").over(W.partitionBy("model", "date"))).where(F.col("_n") == F.col("_k"))
     if standardize:
-        full = long.groupBy("model", "date").agg(F.count("*").alias("_n")).join(sizes.select("model", "_k"), "model")
-        full = full.where(F.col("_n") == F.col("_k")).join(
-            drivers.where(F.col("q").isNotNull()).select("model", "date"), ["model", "date"]
-        )
-        long = long.join(full.select("model", "date"), ["model", "date"], "left_semi")
         long = long.withColumn(value, S.zscore(value, ["model", "pos"], flat="one"))
-    vectors = long.groupBy("model", "date").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias("y")
-    ).join(sizes, "model").where(F.size("y") == F.col("_k")).join(
-        drivers.where(F.col("q").isNotNull()), ["model", "date"]
+    cells = F.sort_array(F.collect_list(F.struct("pos", "series", value)))
+    vectors = long.groupBy("model", "date", "q").agg(cells.alias("_c")).select(
+        "model", F.transform("_c", lambda c: c["series"]).alias("names"), "date",
+        F.transform("_c", lambda c: c[value]).alias("y"), "q",
     )
     if smooth > 1:
         vectors = vectors.withColumn("q", S.moving_average("q", smooth, ["model"]))
@@ -77,7 +74,7 @@ def product_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``gram`` of length m * m.  :func:`total_products` adds the parts.
     """
     keys = list(keys)
-    schema = rows.select(*keys).schema.add("m", "int").add("gram", "array<double>")
+    schema = rows.select(*keys).schema.add("m", T.IntegerType()).add("gram", T.ArrayType(T.DoubleType()))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -360,7 +357,7 @@ def _matrices(b, sigma, k, p):
     return linalg.split_lags(np.asarray(b, float).reshape(k, n_x), k, p), np.asarray(sigma, float).reshape(k, k)
 
 
-@F.pandas_udf("rho double, sigma_pd boolean, log_det double")
+@F.pandas_udf(struct(rho=T.DoubleType(), sigma_pd=T.BooleanType(), log_det=T.DoubleType()))
 def _checks(b: pd.Series, sigma: pd.Series, k: pd.Series, p: pd.Series) -> pd.DataFrame:
     out = []
     for bb, ss, kk, pp in zip(b, sigma, k, p):

@@ -1,4 +1,8 @@
-"""Panel joins.  No hints: Spark broadcasts a side only if its measured size allows."""
+"""Panel and scenario joins.
+
+Only date tables are broadcast by hint: distinct dates are bounded by the calendar.
+Elsewhere Spark decides by the measured size of a side.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,19 @@ from pyspark.sql import functions as F
 from stratawave.operators.reshape import to_wide
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+                salt: int = 16, how: str = "inner") -> DataFrame:
+    """Equi-join on few or skewed keys: rows of ``left`` with one key go to ``salt``
+    partitions by a hash of ``spread_by``; ``right``, the smaller side, is repeated."""
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salt)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def merge_index(panel: DataFrame, index: DataFrame, date: str = "date", value: str = "value") -> DataFrame:
     """Left join of one index series (distinct dates) onto the panel."""
     one = index.select(date, value).dropDuplicates([date])
-    return panel.join(one, date, "left")
+    return panel.join(F.broadcast(one), date, "left")
 
 
 def match_rate(merged: DataFrame, value: str = "value") -> DataFrame:
@@ -26,7 +39,7 @@ def match_rate(merged: DataFrame, value: str = "value") -> DataFrame:
 
 def merge_all_indices(panel: DataFrame, indices: DataFrame, names: Sequence[str], date: str = "date") -> DataFrame:
     """All indices as columns: pivoted once, joined once."""
-    return panel.join(to_wide(indices, [date], "index", "value", names), date, "left")
+    return panel.join(F.broadcast(to_wide(indices, [date], "index", "value", names)), date, "left")
 
 
 def scenario_keys(*frames: DataFrame) -> list[str]:
@@ -47,8 +60,12 @@ def delta_from_baseline(shocked: DataFrame, baseline: DataFrame, keep: Sequence[
 
 
 def baseline_vs_shocked(tidy: DataFrame) -> DataFrame:
-    """Full outer join of the two halves of a tidy scenario table."""
+    """Baseline, shocked and delta per key; a key with only one half keeps it.
+
+    The outer join of the two halves on unique keys, done as one aggregation so that
+    the table is read once.
+    """
     keys = [k for k in ("uncertainty", "scenario", "regime", "variable", "t") if k in tidy.columns]
-    base = tidy.where("is_baseline").select(*keys, F.col("value").alias("baseline"))
-    shock = tidy.where(~F.col("is_baseline")).select(*keys, F.col("value").alias("shocked"))
-    return base.join(shock, keys, "full").withColumn("delta", F.col("shocked") - F.col("baseline"))
+    half = {"baseline": F.col("is_baseline"), "shocked": ~F.col("is_baseline")}
+    return tidy.groupBy(*keys).agg(*[F.max(F.when(c, F.col("value"))).alias(n) for n, c in half.items()]).withColumn(
+        "delta", F.col("shocked") - F.col("baseline"))

@@ -36,19 +36,21 @@ def complete_grid(tidy: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Every scenario x regime x variable x t x baseline flag, values joined where they exist.
 
     Scenarios stay rows.  The other axes are the model's own sets (its regimes, its
-    variables, its horizon), bounded by the model, and come in as scalar subqueries.
+    variables, its horizon), bounded by the model, and come in as one scalar subquery.
     """
-    axes = tidy.agg(
+    axes = tidy.agg(F.struct(
         F.array_sort(F.collect_set("regime")).alias("regimes"),
         F.array_sort(F.collect_set("variable")).alias("variables"),
         F.sequence(F.min("t"), F.max("t")).alias("steps"),
-    )
+    ).alias("axes"))
     grid = (
         tidy.select("scenario").distinct()
-        .withColumn("regime", F.explode(axes.select("regimes").scalar()))
-        .withColumn("variable", F.explode(axes.select("variables").scalar()))
-        .withColumn("t", F.explode(axes.select("steps").scalar()))
+        .withColumn("_axes", axes.scalar())
+        .withColumn("regime", F.explode("_axes.regimes"))
+        .withColumn("variable", F.explode("_axes.variables"))
+        .withColumn("t", F.explode("_axes.steps"))
         .withColumn("is_baseline", F.explode(F.array(F.lit(True), F.lit(False))))
+        .drop("_axes")
     )
     keys = ["scenario", "regime", "variable", "t", "is_baseline"]
     return grid.join(tidy.select(*keys, "value", *extra), keys, "left")

@@ -13,7 +13,7 @@ from stratawave.functions import scalars
 from stratawave.functions.distributions import normal_quantile
 from stratawave.functions.quantiles import exact_quantiles
 from stratawave.operators import series as S
-from stratawave.operators.joins import baseline_vs_shocked
+from stratawave.operators.joins import baseline_vs_shocked, salted_join
 from stratawave.operators.reshape import complete_grid
 
 
@@ -179,9 +179,10 @@ def convolve(inputs: DataFrame, kernels: DataFrame, values: Sequence[str] = ("va
 
     ``inputs`` is ``(scenario, horizon, t, impulse, u)``; ``kernels`` has ``uncertainty,
     regime, impulse, response, h`` and one or more value columns.  One equi-join on the
-    impulse and one sum; kernels have at most H steps, so a row meets at most K x H others.
+    impulse and one sum.  A model has few impulses, so the join is salted by what else
+    identifies a kernel.
     """
-    joined = inputs.where(F.col("u") != 0).join(kernels, "impulse")
+    joined = salted_join(kernels, inputs.where(F.col("u") != 0), ["impulse"], ["uncertainty", "regime", "response"])
     at = F.col("t") + F.col("h")
     return joined.where(at <= F.col("horizon")).groupBy(
         "uncertainty", "scenario", "regime", F.col("response").alias("variable"), at.alias("t")
@@ -211,7 +212,7 @@ def response_scenarios(specs: DataFrame, kernels: DataFrame, sigma: DataFrame) -
                    sub["size"], F.col("size"), F.lit(1.0)).alias("_size"),
         F.lower(F.coalesce(sub["units"], F.col("units"), F.lit("sigma"))).alias("_units"),
     )
-    joined = runs.join(kernels, "impulse").where(
+    joined = salted_join(kernels, runs, ["impulse"], ["uncertainty", "regime", "response"]).where(
         (F.col("_want").isin("all", "*") | (F.col("_want") == F.col("regime"))) & (F.col("h") < F.col("horizon"))
     ).join(sigma.select("uncertainty", "impulse", "sigma"), ["uncertainty", "impulse"], "left")
     per_sigma = F.when(F.col("_units") == "abs", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0)).otherwise(1.0)
@@ -232,14 +233,14 @@ def run_scenarios(specs: DataFrame, kernels: DataFrame, sigma: DataFrame | None
     effects = convolve(input_grid(paths), kernels).join(wanted.drop("horizon"), "scenario").where(
         F.col("_want").isin("all", "*") | (F.col("_want") == F.col("regime"))
     ).drop("_want")
-    # The models' own axes: a few rows per (index, regime), listed in one array per regime.
-    axes = kernels.groupBy("regime").agg(F.collect_set(F.struct("uncertainty", F.col("response").alias("variable"))).alias("_axis"))
-    regimes = F.when(F.col("_want").isin("all", "*"), axes.agg(F.collect_set("regime").alias("r")).select("r").scalar()).otherwise(
-        F.array("_want")
-    )
-    grid = wanted.withColumn("regime", F.explode(regimes)).join(axes, "regime").select(
-        "scenario", "regime", "horizon", F.explode("_axis").alias("a")
-    ).select("scenario", "regime", "a.*", F.explode(F.sequence(F.lit(1), F.col("horizon"))).alias("t"))
+    # Every index and variable of a regime meets every scenario that asks for the regime:
+    # that product is the result, so its join is salted over the models.
+    axes = kernels.select("uncertainty", "regime", F.col("response").alias("variable")).distinct()
+    asked = F.col("_want").isin("all", "*")
+    regimes = F.when(asked, axes.agg(F.collect_set("regime").alias("r")).select("r").scalar()).otherwise(F.array("_want"))
+    grid = salted_join(
+        axes, wanted.select("scenario", "horizon", F.explode(regimes).alias("regime")), ["regime"], ["uncertainty", "variable"]
+    ).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("horizon"))))
     keys = ["uncertainty", "scenario", "regime", "variable", "t"]
     shocked = grid.join(effects, keys, "left").select(*keys, F.coalesce("value", F.lit(0.0)).alias("value"))
     if sigma is not None:
@@ -382,7 +383,7 @@ def envelope(inputs: DataFrame, kernels: DataFrame, impact: DataFrame) -> DataFr
     """
     spread = inputs.join(impact.select(F.col("j").alias("impulse"), F.col("i").alias("_i"), F.col("value").alias("_a")), "impulse")
     impacts = spread.groupBy("scenario", "horizon", "t", F.col("_i").alias("impulse")).agg(F.sum(F.col("u") * F.col("_a")).alias("u"))
-    joined = impacts.where(F.col("u") != 0).join(kernels, "impulse")
+    joined = salted_join(kernels, impacts.where(F.col("u") != 0), ["impulse"], ["uncertainty", "regime", "response"])
     at = F.col("t") + F.col("h")
     lo = F.when(F.col("u") >= 0, F.col("value_lo")).otherwise(F.col("value_hi"))
     hi = F.when(F.col("u") >= 0, F.col("value_hi")).otherwise(F.col("value_lo"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawave.schemas import SCENARIO_SPEC
@@ -27,17 +27,17 @@ def with_defaults(specs: DataFrame, horizon: int = 48) -> DataFrame:
 
 
 def shock_names(specs: DataFrame) -> DataFrame:
-    """Every impulse name a spec uses: ``(name, source, impulse)``."""
-    parts = [
-        specs.select("name", F.lit("shocks").alias("source"), F.explode(F.map_keys("shocks")).alias("impulse")),
-        specs.select("name", F.lit("schedule").alias("source"), F.explode("schedule.impulse").alias("impulse")),
-        specs.select("name", F.lit("scenarios").alias("source"), F.explode("scenarios.impulse").alias("impulse")),
-        specs.where(F.col("impulse").isNotNull()).select("name", F.lit("impulse").alias("source"), "impulse"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Every impulse name a spec uses: ``(name, source, impulse)``, in one pass."""
+    def named(source: str, names: Column) -> Column:
+        return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(
+            F.lit(source).alias("source"), n.alias("impulse")
+        ))
+
+    used = F.concat(
+        named("shocks", F.map_keys("shocks")), named("schedule", F.col("schedule.impulse")),
+        named("scenarios", F.col("scenarios.impulse")), named("impulse", F.array("impulse")),
+    )
+    return specs.select("name", F.inline(used)).where(F.col("impulse").isNotNull())
 
 
 def spec_issues(specs: DataFrame, variables: DataFrame) -> DataFrame:
@@ -45,13 +45,9 @@ def spec_issues(specs: DataFrame, variables: DataFrame) -> DataFrame:
 
     ``variables`` has one column ``variable`` with the model's variables.
     """
-    name = F.coalesce("name", F.lit("?"))
-
-    def rule(cond, level: str, what: str) -> DataFrame:
-        return specs.where(cond).select(name.alias("name"), F.lit(level).alias("level"), F.lit(what).alias("what"))
-
-    out = rule(F.coalesce(F.length("name"), F.lit(0)) == 0, "error", "missing name")
+    name = F.coalesce("name", F.lit("?")).alias("name")
     checks = [
+        (F.coalesce(F.length("name"), F.lit(0)) == 0, "error", "missing name"),
         (F.col("horizon") < 1, "error", "horizon below 1"),
         (~F.lower("regime").isin(*REGIMES, "all", "*"), "warning", "unknown regime"),
         (F.exists(F.map_keys("shocks"), lambda k: F.length(k) == 0), "error", "shock without a name"),
@@ -61,12 +57,13 @@ def spec_issues(specs: DataFrame, variables: DataFrame) -> DataFrame:
         ((F.lower("type") == "girf") & F.col("impulse").isNull()
          & (F.coalesce(F.size("scenarios"), F.lit(0)) < 1), "error", "response scenario without impulse"),
     ]
-    for cond, level, what in checks:
-        out = out.unionByName(rule(F.coalesce(cond, F.lit(False)), level, what))
-    unknown = shock_names(specs).where(F.col("impulse").isNotNull()).join(
-        variables.select(F.col("variable").alias("impulse")).distinct(), "impulse", "left_anti"
-    ).select(
-        name.alias("name"), F.lit("error").alias("level"),
+    found = F.array(*[
+        F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(what).alias("what"))) for cond, level, what in checks
+    ])
+    own = specs.select(name, F.inline(F.filter(found, lambda x: x.isNotNull())))
+    known = variables.select(F.col("variable").alias("impulse")).distinct()
+    unknown = shock_names(specs).join(known, "impulse", "left_anti").select(
+        name, F.lit("error").alias("level"),
         F.concat(F.col("source"), F.lit(" uses unknown variable "), F.col("impulse")).alias("what"),
     )
-    return out.unionByName(unknown.distinct())
+    return own.unionByName(unknown.distinct())
