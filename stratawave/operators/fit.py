@@ -67,24 +67,25 @@ def lag_columns(k: Column, p: Column) -> Column:
 # --------------------------------------------------------- sums of products
 
 
-def product_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def product_sums(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Partial sums of ``z z'`` per key, one row per key and Arrow batch, no shuffle.
 
     ``rows`` has the keys and ``z ARRAY<DOUBLE>``; the result has ``m`` and the flat
-    ``gram`` of length m * m.  :func:`total_products` adds the parts.
+    ``gram`` of length m * m.  :func:`total_products` adds the parts.  Columns in
+    ``carry`` are constant within a key and are kept.
     """
-    keys = list(keys)
-    schema = rows.select(*keys).schema.add("m", T.IntegerType()).add("gram", T.ArrayType(T.DoubleType()))
+    keys, carry = list(keys), list(carry)
+    schema = rows.select(*keys, *carry).schema.add("m", T.IntegerType()).add("gram", T.ArrayType(T.DoubleType()))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, part in batch.groupby(keys, sort=False):
                 z = np.vstack(part["z"].to_numpy())
-                out.append([*key, z.shape[1], (z.T @ z).ravel()])
-            yield pd.DataFrame(out, columns=[*keys, "m", "gram"])
+                out.append([*key, *(part[c].iloc[0] for c in carry), z.shape[1], (z.T @ z).ravel()])
+            yield pd.DataFrame(out, columns=[*keys, *carry, "m", "gram"])
 
-    return rows.select(*keys, "z").mapInPandas(partial, schema)
+    return rows.select(*keys, *carry, "z").mapInPandas(partial, schema)
 
 
 def total_products(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -97,16 +98,22 @@ def total_products(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def covariances(vectors: DataFrame, keys: Sequence[str] = ("model",), y: str = "y") -> DataFrame:
-    """Sample covariance of the vector columns: ``(keys, i, j, value, n)``, 0-based."""
+    """Sample covariance of the vector columns: ``(keys, i, j, value, n)``, 0-based.
+
+    The summed products of a model are one array (its size is that of the model), so
+    means and cross-products meet without a join.
+    """
     rows = vectors.select(*keys, F.concat(F.array(F.lit(1.0)), F.col(y)).alias("z"))
     sums = total_products(product_sums(rows, keys), keys)
-    size = sums.where((F.col("i") == 0) & (F.col("j") == 0)).select(*keys, F.col("value").alias("n"))
-    means = sums.where((F.col("i") == 0) & (F.col("j") > 0)).select(*keys, "j", F.col("value").alias("s"))
-    cells = sums.where((F.col("i") > 0) & (F.col("j") > 0)).join(size, list(keys))
-    cells = cells.join(means.select(*keys, F.col("j").alias("i"), F.col("s").alias("_si")), [*keys, "i"])
-    cells = cells.join(means.select(*keys, "j", F.col("s").alias("_sj")), [*keys, "j"])
-    cov = (F.col("value") - F.col("_si") * F.col("_sj") / F.col("n")) / (F.col("n") - 1)
-    return cells.select(*keys, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), cov.alias("value"), "n")
+    flat = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "value"))).alias("_g"))
+    m = F.sqrt(F.size("_g")).cast("int")
+    n = F.col("_g")[0]["value"]
+    cov = F.transform("_g", lambda c: F.struct(
+        (c["i"] - 1).alias("i"), (c["j"] - 1).alias("j"),
+        ((c["value"] - F.get("_g", c["i"] * m)["value"] * F.get("_g", c["j"])["value"] / n) / (n - 1)).alias("value"),
+        n.alias("n"),
+    ))
+    return flat.select(*keys, F.inline(F.filter(cov, lambda c: (c["i"] >= 0) & (c["j"] >= 0))))
 
 
 # --------------------------------------------------------- threshold search
@@ -232,7 +239,7 @@ def search_with_fallback(vectors: DataFrame, lags: Sequence[int], delays: Sequen
 # ------------------------------------------------------------------- fits
 
 _FIT = (
-    "model string, regime string, k int, p int, n_obs long, b array<double>, sigma array<double>, "
+    "model string, regime string, names array<string>, k int, p int, n_obs long, b array<double>, sigma array<double>, "
     "rss array<double>, r2 array<double>, aic array<double>, bic array<double>"
 )
 
@@ -268,8 +275,8 @@ def ols(rows: DataFrame, sigma_df: str = "n-1") -> DataFrame:
     ``rss``, ``r2``, ``aic``, ``bic``.  ``sigma_df`` divides the residual products by
     n - 1 or, with ``"resid"``, by n - 1 - k p.
     """
-    keyed = rows.select("model", "regime", F.size("y").alias("k"), "p", F.concat("x", "y").alias("z"))
-    parts = product_sums(keyed, ["model", "regime", "k", "p"])
+    keyed = rows.select("model", "regime", "names", F.size("y").alias("k"), "p", F.concat("x", "y").alias("z"))
+    parts = product_sums(keyed, ["model", "regime", "k", "p"], carry=["names"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         k, p, m = (int(pdf[c].iloc[0]) for c in ("k", "p", "m"))
@@ -283,13 +290,12 @@ def ols(rows: DataFrame, sigma_df: str = "n-1") -> DataFrame:
             r2 = np.where(sst > 0, 1 - rss / sst, np.nan)
         divisor = n - 1 if sigma_df == "n-1" else n - n_x
         return pd.DataFrame([{
-            "model": pdf["model"].iloc[0], "regime": pdf["regime"].iloc[0], "k": k, "p": p, "n_obs": int(round(n)),
+            "model": pdf["model"].iloc[0], "regime": pdf["regime"].iloc[0], "names": pdf["names"].iloc[0], "k": k, "p": p, "n_obs": int(round(n)),
             "b": b.T.ravel(), "sigma": (ssp / divisor).ravel(), "rss": rss, "r2": r2,
             "aic": fit_term + 2 * n_x, "bic": fit_term + n_x * np.log(n),
         }])
 
-    fits = parts.groupBy("model", "regime").applyInPandas(fit, _FIT)
-    return fits.join(rows.groupBy("model").agg(F.first("names").alias("names")), "model")
+    return parts.groupBy("model", "regime").applyInPandas(fit, _FIT)
 
 
 def coefficients(fits: DataFrame) -> DataFrame:

@@ -28,17 +28,18 @@ TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 def unit_prices(spark: SparkSession, sf: str, label: str = "p_type", unit: str = "month") -> DataFrame:
     """Mean unit price per label and calendar bucket: ``(series, date, price)``.
 
-    Lines are summed per part and bucket before the join with the parts: a part with
-    very many lines reaches the join as one row per bucket.
+    Three columns of the lines and two of the parts are read.  Spark broadcasts the
+    parts if they are small; else the lines are shuffled once by part, where adaptive
+    execution splits a part with very many lines.  The sums per label and bucket
+    combine on the map side, so the second shuffle carries only partial sums.
     """
     lines = read_table(spark, sf, "lineitem").select(
         "l_partkey", F.date_trunc(unit, "l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
-    per_part = lines.groupBy("l_partkey", "date").agg(F.sum("price").alias("s"), F.count("*").alias("n"))
     parts = read_table(spark, sf, "part").select("p_partkey", F.col(label).alias("series"))
-    return per_part.join(parts, per_part.l_partkey == parts.p_partkey).groupBy("series", "date").agg(
-        F.round(F.sum("s") / F.sum("n"), 6).alias("price")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("series", "date").agg(
+        F.round(F.sum("price") / F.count("*"), 6).alias("price")
     )
 
 
@@ -193,11 +194,6 @@ def median_spec(vectors: DataFrame, delay: int = DELAY) -> DataFrame:
     )
 
 
-def split_rows(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = pair_vectors(spark, sf)
-    return fit.regime_rows(vectors, median_spec(vectors), [1], [DELAY])
-
-
 cte("mtheta", "SELECT model, quantile_cont(q, 0.5) AS theta FROM mz GROUP BY 1")
 cte("srows", """
 SELECT dz.*, CASE WHEN q1 <= theta THEN 'low' ELSE 'high' END AS regime
@@ -332,21 +328,21 @@ SELECT *, FALSE AS is_baseline FROM shocked
 UNION ALL SELECT uncertainty, scenario, regime, variable, t, 0.0, TRUE FROM shocked""")
 
 
-def tidy(spark: SparkSession, sf: str) -> DataFrame:
+def tidy(spark: SparkSession, sf: str, kernel: DataFrame | None = None) -> DataFrame:
     from stratawave.operators.scenarios import run_scenarios
 
-    out = run_scenarios(specs(spark), kernels(spark, sf), shock_sigma(spark, sf))
+    out = run_scenarios(specs(spark), kernel or kernels(spark, sf), shock_sigma(spark, sf))
     return cut_lineage(out.withColumn("value", F.round("value", 8)))
 
 
 # ------------------------------------------------- decomposition inputs
 
 
-def shares(spark: SparkSession, sf: str) -> DataFrame:
+def shares(spark: SparkSession, sf: str, kernel: DataFrame | None = None) -> DataFrame:
     """Variance shares of every index, regime and step."""
     from stratawave.operators.shares import shares_per_step
 
-    k = kernels(spark, sf)
+    k = kernel or kernels(spark, sf)
     variables = k.select("uncertainty", F.col("response").alias("variable")).distinct()
     return shares_per_step(k, variables, tuple(REGIME_DECAY))
 
@@ -367,16 +363,26 @@ SELECT d.uncertainty, d.scenario, f.impulse AS shock_id, d.regime, d.variable, d
 FROM delta d JOIN fevd f ON f.uncertainty = d.uncertainty AND f.regime = d.regime AND f.response = d.variable AND f.t = d.t""")
 
 
-def deltas(spark: SparkSession, sf: str) -> DataFrame:
+def deltas(spark: SparkSession, sf: str, paths: DataFrame | None = None) -> DataFrame:
     from stratawave.operators.contrib import delta_table, extract_shocked
 
-    t = tidy(spark, sf)
+    t = paths or tidy(spark, sf)
     zero = t.where("is_baseline").select("uncertainty", "regime", "variable", "t", "value").distinct()
     return delta_table(extract_shocked(t), zero)
 
 
-def contributions(spark: SparkSession, sf: str) -> DataFrame:
-    """Contributions by variance share, rounded so that rankings do not depend on the last bit."""
+def decomposition(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Deltas and their contributions by variance share, from one set of kernels.
+
+    Contributions are rounded so that rankings do not depend on the last bit.
+    """
     from stratawave.operators.contrib import by_shares
 
-    return by_shares(deltas(spark, sf), shares(spark, sf)).withColumn("contribution", F.round("contribution", 9))
+    k = kernels(spark, sf)
+    delta = deltas(spark, sf, tidy(spark, sf, k))
+    contrib = by_shares(delta, shares(spark, sf, k)).withColumn("contribution", F.round("contribution", 9))
+    return delta, contrib
+
+
+def contributions(spark: SparkSession, sf: str) -> DataFrame:
+    return decomposition(spark, sf)[1]

@@ -13,8 +13,10 @@ from stratawave.session import cut_lineage
 H = 24
 
 
-def _split(spark, sf):
-    rows = I.split_rows(spark, sf)
+def _split(spark, sf, vectors=None):
+    """Design rows and fits of both regimes."""
+    v = vectors or I.pair_vectors(spark, sf)
+    rows = fit.regime_rows(v, I.median_spec(v), [1], [I.DELAY])
     return rows, fit.ols(rows)
 
 
@@ -231,13 +233,14 @@ FROM (SELECT model, sum(-n * log_det) AS ll FROM sroot GROUP BY 1) s JOIN pfit p
 
 @query("split_contrast", """SELECT model, round(stat, 4) + 0.0 AS stat, 6 AS df, CASE WHEN stat >= 0 THEN round(greatest(p, 2.2250738585072014e-308), 4) + 0.0 END AS p FROM contrast""", digits=4)
 def split_contrast(spark, sf):
-    return fit.split_contrast(fit.stability(_split(spark, sf)[1]), fit.stability(_pooled(spark, sf)[1]))
+    v = I.pair_vectors(spark, sf)
+    return fit.split_contrast(fit.stability(_split(spark, sf, v)[1]), fit.stability(_pooled(spark, sf, v)[1]))
 
 
-def _spec(spark, sf, rows):
+def _spec(vectors, rows):
     """The given split with its shares."""
     shares_ = rows.groupBy("model").agg(F.avg((F.col("regime") == "low").cast("double")).alias("share_low"))
-    return I.median_spec(I.pair_vectors(spark, sf)).join(shares_, "model").withColumn("share_high", 1 - F.col("share_low"))
+    return I.median_spec(vectors).join(shares_, "model").withColumn("share_high", 1 - F.col("share_low"))
 
 
 cte("sides", """
@@ -252,19 +255,22 @@ SELECT s.model, 1 AS p, 1 AS d, round(theta, 4) + 0.0 AS "c_star", nl AS "T_L",
 FROM sides s JOIN mtheta USING (model) JOIN contrast c ON c.model = s.model
 JOIN (SELECT model, min(CASE WHEN regime = 'low' THEN p END) AS pl, min(CASE WHEN regime = 'high' THEN p END) AS ph FROM lbox GROUP BY 1) l ON l.model = s.model""", digits=4)
 def model_selection_summary(spark, sf):
-    rows, fits = _split(spark, sf)
+    v = I.pair_vectors(spark, sf)
+    rows, fits = _split(spark, sf, v)
+    fits = cut_lineage(fits)
     checks = fit.stability(fits)
     white = fit.min_whiteness(fit.ljung_box(fit.fitted(rows, fits)))
-    contrast = fit.split_contrast(checks, fit.stability(_pooled(spark, sf)[1]))
-    return fit.selection_summary(_spec(spark, sf, rows), checks, white, contrast)
+    contrast = fit.split_contrast(checks, fit.stability(_pooled(spark, sf, v)[1]))
+    return fit.selection_summary(_spec(v, rows), checks, white, contrast)
 
 
 @query("model_registry", """
 SELECT model, 2 AS k, 1 AS p, 1 AS delay, round(theta, 4) + 0.0 AS theta, round(nl / (nl + nh), 4) + 0.0 AS theta_pct, nl AS low_obs, nh AS high_obs, nl - 3 AS df_low_per_eq, nh - 3 AS df_high_per_eq,
   round(rl, 3) + 0.0 AS low_rho, round(rh, 3) + 0.0 AS high_rho, rl < 1 AS low_stable, rh < 1 AS high_stable FROM sides JOIN mtheta USING (model)""", digits=4)
 def model_registry(spark, sf):
-    rows, fits = _split(spark, sf)
-    return fit.model_registry(_spec(spark, sf, rows), fit.stability(fits))
+    v = I.pair_vectors(spark, sf)
+    rows, fits = _split(spark, sf, v)
+    return fit.model_registry(_spec(v, rows), fit.stability(fits))
 
 
 cte("rcov", """
@@ -434,14 +440,16 @@ b AS (SELECT model, {_GRP} AS g, quantile_cont(peak, 0.5) AS mp, quantile_cont(h
 SELECT a.model, a.g AS "group", round(a.mp / b.mp, 6) + 0.0 AS peak_ratio, round(a.hl - b.hl, 6) + 0.0 AS d_half_life FROM a JOIN b ON a.model = b.model AND a.g = b.g""")
 def uplift_table(spark, sf):
     """High regime against the pooled benchmark per group."""
-    high = responses.generalized(_split(spark, sf)[1].where(F.col("regime") == "high"), 36)
-    return responses.uplift(high, responses.generalized(_pooled(spark, sf)[1], 36), _groups(spark))
+    v = I.pair_vectors(spark, sf)
+    high = responses.generalized(_split(spark, sf, v)[1].where(F.col("regime") == "high"), 36)
+    return responses.uplift(high, responses.generalized(_pooled(spark, sf, v)[1], 36), _groups(spark))
 
 
 @query("compared_runs", f"""
 SELECT run, count(*) AS n, round(sum(abs(value)), 5) + 0.0 AS size FROM (SELECT 'split' AS run, value FROM irf WHERE h <= 6 UNION ALL SELECT 'pooled', value FROM pirf WHERE h <= 6) r GROUP BY 1""", digits=5)
 def compared_runs(spark, sf):
-    a, b = responses.generalized(_split(spark, sf)[1], 6), responses.generalized(_pooled(spark, sf)[1], 6)
+    v = I.pair_vectors(spark, sf)
+    a, b = responses.generalized(_split(spark, sf, v)[1], 6), responses.generalized(_pooled(spark, sf, v)[1], 6)
     return responses.compare_runs(a, b, ("split", "pooled")).groupBy("run").agg(F.count("*").alias("n"), F.sum(F.abs("value")).alias("size"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratawave.operators import aggregate, checks, contrib, fit, scenarios, scores
+from stratawave.operators import aggregate, checks, contrib, fit, responses, scenarios, scores, shares
 from stratawave.plans import inputs as I
 from stratawave.plans.registry import cte, query, sel
+from stratawave.session import cut_lineage
 from stratawave.sources.readers import read_table
 
 KEYS = "uncertainty scenario regime variable t"
@@ -163,8 +164,8 @@ def scenario_effects(spark, sf):
 _BANDK = "(SELECT *, value - 0.25 * abs(value) AS value_lo, value + 0.5 * abs(value) AS value_hi FROM kern) k"
 
 
-def _banded(spark, sf):
-    return I.kernels(spark, sf).withColumns({"value_lo": F.col("value") - 0.25 * F.abs("value"), "value_hi": F.col("value") + 0.5 * F.abs("value")})
+def _banded(spark, sf, kernel=None):
+    return (kernel or I.kernels(spark, sf)).withColumns({"value_lo": F.col("value") - 0.25 * F.abs("value"), "value_hi": F.col("value") + 0.5 * F.abs("value")})
 
 
 @query("scenario_effect_bands", f"""
@@ -309,14 +310,15 @@ def scenario_envelope(spark, sf):
     var = cov.where(F.col("i") == F.col("j")).select("j", F.col("value").alias("_v"))
     impact = cov.join(var, "j").select(F.get(names, "i").alias("i"), F.get(names, "j").alias("j"), (F.col("value") / F.col("_v")).alias("value"))
     grid = scenarios.input_grid(I.specs(spark).where(F.col("name") == "econ_drop"))
-    env = scenarios.envelope(grid, _banded(spark, sf), impact)
-    return scenarios.overlay(I.deltas(spark, sf), env)
+    k = I.kernels(spark, sf)
+    env = scenarios.envelope(grid, _banded(spark, sf, k), impact)
+    return scenarios.overlay(I.deltas(spark, sf, I.tidy(spark, sf, k)), env)
 
 
 # ------------------------------------------------------------ decomposition
 
 
-@query("baseline_extraction", f"""SELECT uncertainty, regime, variable, t::INT AS t, round(quantile_cont(b, 0.5), 10) + 0.0 AS value FROM (SELECT *, value / 4 AS b FROM shocked) s GROUP BY 1, 2, 3, 4""", digits=10)
+@query("baseline_extraction", f"""SELECT uncertainty, regime, variable, t::INT AS t, round(quantile_cont(b, 0.5), 12) + 0.0 AS value FROM (SELECT *, value / 4 AS b FROM shocked) s GROUP BY 1, 2, 3, 4""", digits=12)
 def baseline_extraction(spark, sf):
     """Median over scenarios of baseline rows that differ."""
     t = I.tidy(spark, sf).where(~F.col("is_baseline")).withColumns({"value": F.col("value") / 4, "is_baseline": F.lit(True)})
@@ -339,8 +341,8 @@ _MAP = [("econ_drop", "ECONOMY", -2.0), ("basket", "SMALL", 0.5), ("basket", "LA
 _map = ", ".join(f"('{s}', '{k}', {w}::DOUBLE)" for s, k, w in _MAP)
 
 
-def _single(spark, sf):
-    return I.kernels(spark, sf).select("uncertainty", "regime", F.col("impulse").alias("shock_id"), F.col("response").alias("variable"),
+def _single(spark, sf, kernel=None):
+    return (kernel or I.kernels(spark, sf)).select("uncertainty", "regime", F.col("impulse").alias("shock_id"), F.col("response").alias("variable"),
                                        (F.col("h") + 1).alias("t"), "value")
 
 
@@ -353,9 +355,10 @@ SELECT uncertainty, scenario, shock_id, regime, variable, t::INT AS t, round(wei
 WHERE scenario IN ('econ_drop')""", digits=7)
 def pathwise_contributions(spark, sf):
     """Weighted single-shock deltas of the scenarios that occur."""
-    single = _single(spark, sf)
+    k = I.kernels(spark, sf)
+    single = _single(spark, sf, k)
     base = single.select("uncertainty", "regime", "variable", "t", F.lit(0.001).alias("value")).distinct()
-    return contrib.by_shock_paths(single, base, _shock_map(spark), I.deltas(spark, sf))
+    return contrib.by_shock_paths(single, base, _shock_map(spark), I.deltas(spark, sf, I.tidy(spark, sf, k)))
 
 
 @query("share_contributions", sel("uncertainty scenario shock_id regime variable t", "contribution", "contrib", 9), digits=9)
@@ -368,15 +371,17 @@ cte("psum", "SELECT p.*, d.delta FROM (SELECT uncertainty, scenario, regime, var
 
 
 def _partial(spark, sf):
-    """Contributions that miss half of one shock."""
-    return I.contributions(spark, sf).withColumn("contribution", F.when(F.col("shock_id") == "SMALL", F.col("contribution") * 0.5).otherwise(F.col("contribution")))
+    """Deltas, and contributions that miss half of one shock."""
+    delta, full = I.decomposition(spark, sf)
+    half = F.when(F.col("shock_id") == "SMALL", F.col("contribution") * 0.5).otherwise(F.col("contribution"))
+    return full.withColumn("contribution", half), delta
 
 
 @query("reconciled_residual", """
 SELECT uncertainty, scenario, regime, variable, t::INT AS t, shock_id, round(contribution, 10) + 0.0 AS contribution FROM partial
 UNION ALL SELECT uncertainty, scenario, regime, variable, t::INT, 'residual', round(delta - total, 10) + 0.0 FROM psum WHERE abs(delta - total) > 1e-6""", digits=10)
 def reconciled_residual(spark, sf):
-    return contrib.reconcile(_partial(spark, sf), I.deltas(spark, sf), "residual", tol=1e-6)
+    return contrib.reconcile(*_partial(spark, sf), "residual", tol=1e-6)
 
 
 @query("reconciled_scaled", """
@@ -384,7 +389,7 @@ SELECT p.uncertainty, p.scenario, p.regime, p.variable, p.t::INT AS t, p.shock_i
 FROM partial p JOIN psum USING (uncertainty, scenario, regime, variable, t)
 UNION ALL SELECT uncertainty, scenario, regime, variable, t::INT, 'residual', round(delta, 5) + 0.0 FROM psum WHERE abs(total) <= 1e-7 AND abs(delta) > 1e-7""", digits=5)
 def reconciled_scaled(spark, sf):
-    return contrib.reconcile(_partial(spark, sf), I.deltas(spark, sf), "scale", tol=1e-7)
+    return contrib.reconcile(*_partial(spark, sf), "scale", tol=1e-7)
 
 
 @query("decomposition_summary", """
@@ -392,9 +397,10 @@ SELECT uncertainty, scenario, variable, shock_id, round(sum(contribution), 5) +
 FROM (SELECT d.*, f.impulse AS shock_id, d.delta * f.fevd_share AS contribution FROM delta d JOIN fevd f ON f.uncertainty = d.uncertainty AND f.regime = d.regime AND f.response = d.variable AND f.t = d.t) c GROUP BY 1, 2, 3, 4""", digits=5)
 def decomposition_summary(spark, sf):
     """Decomposition by variance shares from the tidy table to the summary per shock."""
-    t = I.tidy(spark, sf)
+    k = I.kernels(spark, sf)
+    t = I.tidy(spark, sf, k)
     zero = t.where("is_baseline").select("uncertainty", "regime", "variable", "t", "value").distinct()
-    return contrib.decompose(contrib.extract_shocked(t), zero, shares=I.shares(spark, sf), tol=1e-7)["summary"]
+    return contrib.decompose(contrib.extract_shocked(t), zero, shares=I.shares(spark, sf, k), tol=1e-7)["summary"]
 
 
 def _regime_sql(size: str) -> str:
@@ -430,7 +436,7 @@ def shapley_sampled(spark, sf):
 @query("mass_report", """
 SELECT count(*) AS n_keys, sum((abs(delta - total) > 1e-6)::INT)::BIGINT AS n_violations, round(max(abs(delta - total)), 5) + 0.0 AS max_abs_residual, sum((abs(delta - total) > 1e-6)::INT) = 0 AS ok FROM psum""", digits=5)
 def mass_report(spark, sf):
-    return contrib.mass_report(contrib.mass_balance(_partial(spark, sf), I.deltas(spark, sf), 1e-6))
+    return contrib.mass_report(contrib.mass_balance(*_partial(spark, sf), 1e-6))
 
 
 @query("input_issues", """
@@ -480,7 +486,8 @@ def _conc(rows: str) -> str:
 
 @query("concentration_peak", _conc("contrib c JOIN peak p ON p.uncertainty = c.uncertainty AND p.scenario = c.scenario AND p.regime = c.regime AND p.t = c.t"))
 def concentration_peak(spark, sf):
-    return contrib.concentration(I.contributions(spark, sf), I.deltas(spark, sf))
+    delta, parts = I.decomposition(spark, sf)
+    return contrib.concentration(parts, delta)
 
 
 @query("concentration_terminal", _conc("contrib c WHERE t = (SELECT max(t) FROM contrib)").replace(" WINDOW w AS", " WINDOW w AS"))
@@ -591,8 +598,15 @@ def peak_steps(spark, sf):
 def _table_inputs(spark, sf):
     from stratawave.plans import queries_models as M
 
-    return (M._proxy_table(M._group_shares(spark, sf), ["horizon", "share"]),
-            M._proxy_table(M.group_half_life(spark, sf), ["half_life"]), M._proxy_table(M.group_persistence(spark, sf), ["PI"]))
+    fits = cut_lineage(M._split(spark, sf)[1])
+    curves = responses.generalized(fits, M.H)
+    half = responses.half_life_envelope(responses.generalized(fits, 36))
+    groups = M._groups(spark)
+    return (
+        M._proxy_table(shares.group_shares(curves, groups.withColumnRenamed("response", "impulse")), ["horizon", "share"]),
+        M._proxy_table(responses.group_medians(half, groups, "half_life"), ["half_life"]),
+        M._proxy_table(responses.group_medians(responses.persistence(curves, M.H), groups, "PI"), ["PI"]),
+    )
 
 
 cte("phl", """SELECT CASE WHEN model LIKE 'vol%' THEN 'vxo_vix' ELSE 'jln' END AS proxy, CASE WHEN response IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'A' ELSE 'B' END AS "group", quantile_cont(m, 0.5) AS half_life

@@ -67,7 +67,8 @@ def main(argv: list[str]) -> int:
         else:
             names.append(arg)
     queries, sqls = entry.queries(), entry.oracle_sql()
-    spark = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                                                    "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     failed = 0
