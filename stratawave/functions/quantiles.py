@@ -62,20 +62,26 @@ def grid_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str], kind: int = 7, bins: int = 1024, rounds: int = 2,
-                    salt: int = 8) -> DataFrame:
+                    salt: int = 8, also: dict[str, Column] | None = None) -> DataFrame:
     """One row per group with the exact quantiles ``names`` of ``value``.
 
     Every pass counts values per (group, rank interval, bin).  The interval of a
     rank shrinks by about ``bins`` per pass; two passes leave about one value in a
     million.  Groups are joined to their intervals on ``keys`` plus a salt, so a
-    group with a large part of all rows is spread over ``salt`` tasks or more.
+    group with a large part of all rows is spread over ``salt`` tasks, which adaptive
+    execution splits further; with few groups Spark broadcasts the intervals instead.
+
+    The passes read ``df`` again, so its values must be reproducible: stored columns, or
+    aggregates that were rounded or checkpointed.  ``also`` adds plain aggregates of the
+    column ``_v`` to the first pass.
     """
-    keys = list(keys)
+    keys, also = list(keys), also or {}
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salt)).cast("int"))
 
     n = F.col("_n")
-    start = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    start = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"),
+                                    *[c.alias(name) for name, c in also.items()])
     positions = [_position(n, p, kind) for p in probs]
     targets = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(pos).cast("long"), F.least(F.floor(pos) + 1, n).cast("long")) for pos in positions
@@ -122,13 +128,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     found = picked.groupBy(*keys).agg(
         F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at")
     )
-    joined = found.join(start.select(*keys, "_n"), keys) if keys else found.withColumn(
-        "_n", start.select("_n").scalar()
-    )
+    if keys:
+        joined = found.join(start.select(*keys, "_n", *also), keys)
+    else:
+        joined = found.withColumn("_s", start.select(F.struct("_n", *also)).scalar()).select("*", "_s.*")
     out = []
     for pos, name in zip(positions, names):
         lo = F.element_at("_at", F.floor(pos).cast("long"))
         hi = F.element_at("_at", F.least(F.floor(pos) + 1, n).cast("long"))
         frac = pos - F.floor(pos)
         out.append((lo + frac * (hi - lo)).alias(name))
-    return joined.select(*keys, *out)
+    return joined.select(*keys, *out, *also)

@@ -98,25 +98,29 @@ def reconcile(contrib: DataFrame, delta: DataFrame, method: str = "residual", to
     ``residual`` adds a row for what is missing beyond ``tol``; ``scale`` spreads it in
     proportion, and puts the whole delta into a residual where nothing can be scaled.
     """
+    if method not in ("residual", "scale"):
+        raise ValueError("method must be 'residual' or 'scale'")
     keys = scenario_keys(contrib, delta)
-    sums = contrib.groupBy(*keys).agg(F.sum("contribution").alias("_total")).join(
-        delta.select(*keys, "delta"), keys
-    ).withColumn("_rest", F.col("delta") - F.col("_total"))
-    cols = [*keys, "shock_id", "contribution"]
+    # The shocks of one key are at most the model's variables: they travel as one array.
+    per = contrib.groupBy(*keys).agg(
+        F.collect_list(F.struct("shock_id", "contribution")).alias("_c"), F.sum("contribution").alias("_total")
+    ).join(delta.select(*keys, "delta"), keys, "left").withColumn("_rest", F.col("delta") - F.col("_total"))
+    big = F.abs("_total") > tol
 
-    def residual(cond: Column, amount: str) -> DataFrame:
-        return sums.where(cond).select(*keys, F.lit(RESIDUAL).alias("shock_id"), F.col(amount).alias("contribution"))
+    def residual(cond: Column, amount: str) -> Column:
+        row = F.struct(F.lit(RESIDUAL).alias("shock_id"), F.col(amount).alias("contribution"))
+        return F.filter(F.array(F.when(cond, row)), lambda x: x.isNotNull())
 
     if method == "residual":
-        return contrib.select(*cols).unionByName(residual(F.abs("_rest") > tol, "_rest"))
-    if method != "scale":
-        raise ValueError("method must be 'residual' or 'scale'")
-    big = F.abs("_total") > tol
-    scaled = contrib.join(sums, keys, "left").withColumn(
-        "contribution",
-        F.when(big, F.col("contribution") * (1 + F.col("_rest") / F.when(big, F.col("_total")))).otherwise(F.col("contribution")),
-    )
-    return scaled.select(*cols).unionByName(residual(~big & (F.abs("delta") > tol), "delta"))
+        rows = F.concat("_c", residual(F.abs("_rest") > tol, "_rest"))
+    else:
+        factor = F.when(big & F.col("_rest").isNotNull(), 1 + F.try_divide("_rest", "_total")).otherwise(F.lit(1.0))
+        scaled = F.transform("_c", lambda c: F.struct(
+            c["shock_id"].alias("shock_id"), (c["contribution"] * F.col("_f")).alias("contribution")
+        ))
+        per = per.withColumn("_f", factor)
+        rows = F.concat(scaled, residual(~big & (F.abs("delta") > tol), "delta"))
+    return per.select(*keys, F.inline(rows))
 
 
 def decompose(shocked: DataFrame, baseline: DataFrame, single_paths: DataFrame | None = None,
@@ -191,10 +195,11 @@ def shapley(single_delta: DataFrame, shock_map: DataFrame, exact_up_to: int = 7,
     ordered = salted_join(
         single_delta, exact.unionByName(sampled), ["shock_id"], ["regime", "variable", "t"]
     ).withColumn("_d", F.col("weight") * F.col("delta"))
-    path = W.partitionBy("scenario", "perm", "regime", "variable", "t").orderBy("place")
+    path_keys = _with_unc(single_delta, ["regime", "variable", "t"])
+    path = W.partitionBy("scenario", "perm", *path_keys).orderBy("place")
     with_it = F.sum("_d").over(path.rowsBetween(W.unboundedPreceding, W.currentRow))
     without = F.coalesce(F.sum("_d").over(path.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return ordered.withColumn("_m", with_it - without).groupBy("scenario", "shock_id", "regime", "variable", "t", "method").agg(
+    return ordered.withColumn("_m", with_it - without).groupBy("scenario", "shock_id", *path_keys, "method").agg(
         F.avg("_m").alias("shapley"), F.count("*").alias("perms_used")
     )
 
@@ -250,7 +255,8 @@ def _top3(value: str, keys: Sequence[str]) -> Column:
 def dispersion_at_peak(delta: DataFrame) -> DataFrame:
     """Spread of the absolute deltas over variables at the peak, and the share of the top three."""
     keys = _with_unc(delta, ["scenario", "regime"])
-    rows = _at(delta, delta, "peak").withColumn("_a", F.abs("delta"))
+    at = F.min_by("t", F.struct(-F.abs("delta"), F.col("t"))).over(W.partitionBy(*keys))
+    rows = delta.withColumn("_at", at).where(F.col("t") == F.col("_at")).withColumn("_a", F.abs("delta"))
     rows = rows.withColumn("_top", _top3("_a", keys))
     return rows.groupBy(*keys).agg(
         F.stddev_samp("_a").alias("csd_abs"),
@@ -324,11 +330,10 @@ def terminal_top(contrib: DataFrame, n: int = 10, include_residual: bool = True)
     """Largest contributions at the last step of each scenario and variable."""
     keys = _with_unc(contrib, ["scenario", "variable"])
     rows = contrib if include_residual else contrib.where(F.col("shock_id") != RESIDUAL)
-    last = rows.groupBy(*keys).agg(F.max("t").alias("t"))
-    summed = rows.join(last, [*keys, "t"], "left_semi").groupBy(*keys, "shock_id").agg(
-        F.sum("contribution").alias("contribution")
-    )
-    return top_n(summed, keys, F.abs("contribution"), n, ties=["shock_id"])
+    sums = rows.groupBy(*keys, "t", "shock_id").agg(F.sum("contribution").alias("contribution"))
+    last = F.max("t").over(W.partitionBy(*keys))
+    at_end = sums.withColumn("_last", last).where(F.col("t") == F.col("_last")).drop("_last", "t")
+    return top_n(at_end, keys, F.abs("contribution"), n, ties=["shock_id"])
 
 
 def auto_horizon(contrib: DataFrame, by: str = "l1") -> DataFrame:
@@ -342,20 +347,32 @@ def auto_horizon(contrib: DataFrame, by: str = "l1") -> DataFrame:
 
 def waterfall(contrib: DataFrame, top: int = 8, top_variables: int | None = 12, horizon: int | None = None,
               by: str = "l1") -> DataFrame:
-    """Bars of a waterfall: top shocks and Other at the chosen step, with running offsets."""
+    """Bars of a waterfall: top shocks and Other at the chosen step, with running offsets.
+
+    One aggregation and windows over it; a window holds the steps and shocks of one
+    scenario and variable.
+    """
     keys = _with_unc(contrib, ["scenario", "variable"])
-    at = contrib.where(F.col("t") == horizon) if horizon is not None else contrib.join(
-        auto_horizon(contrib, by), [*keys, "t"], "left_semi"
+    whole = W.partitionBy(*keys)
+    agg = contrib.groupBy(*keys, "t", "shock_id").agg(
+        F.sum("contribution").alias("contribution"), F.sum(F.abs("contribution")).alias("_l1")
     )
-    agg = at.groupBy(*keys, "shock_id").agg(F.sum("contribution").alias("contribution"))
-    keep = top_n(agg, keys, F.abs("contribution"), top, ties=["shock_id"])
-    other = agg.join(keep.select(*keys, "shock_id"), [*keys, "shock_id"], "left_anti").groupBy(*keys).agg(
-        F.sum("contribution").alias("contribution")
-    ).withColumn("shock_id", F.lit("Other"))
-    bars = keep.unionByName(other)
+    if horizon is not None:
+        agg = agg.where(F.col("t") == horizon)
+    else:
+        step = W.partitionBy(*keys, "t")
+        size = F.sum("_l1").over(step) if by == "l1" else F.abs(F.sum("contribution").over(step))
+        agg = agg.withColumn("_size", size).withColumn("_at", F.min_by("t", F.struct(-F.col("_size"), F.col("t"))).over(whole))
+        agg = agg.where(F.col("t") == F.col("_at"))
+    place = F.row_number().over(whole.orderBy(F.abs("contribution").desc(), "shock_id"))
+    bars = agg.withColumn("_rest", place > top).groupBy(
+        *keys, "_rest", F.when(F.col("_rest"), "Other").otherwise(F.col("shock_id")).alias("shock_id")
+    ).agg(F.sum("contribution").alias("contribution")).drop("_rest")
     if top_variables is not None:
-        bars = bars.join(top_variables_by_size(bars, top_variables), keys, "left_semi")
-    over = W.partitionBy(*keys).orderBy("contribution", "shock_id")
+        bars = bars.withColumn("_l1", F.sum(F.abs("contribution")).over(whole))
+        rank = F.dense_rank().over(W.partitionBy(*[k for k in keys if k != "variable"]).orderBy(F.col("_l1").desc(), "variable"))
+        bars = bars.withColumn("_v", rank).where(F.col("_v") <= top_variables).drop("_v", "_l1")
+    over = whole.orderBy("contribution", "shock_id")
     upto = F.sum("contribution").over(over.rowsBetween(W.unboundedPreceding, W.currentRow))
     bars = bars.withColumns({"id": F.row_number().over(over), "y1": upto})
     return bars.withColumn("y0", F.coalesce(F.lag("y1").over(over), F.lit(0.0)))
@@ -372,10 +389,10 @@ def stacked(contrib: DataFrame, top: int = 8) -> DataFrame:
     """Contributions over t with the small shocks folded into Other, and the net line."""
     keys = _with_unc(contrib, ["scenario", "variable"])
     agg = contrib.groupBy(*keys, "shock_id", "t").agg(F.sum("contribution").alias("contribution"))
-    size = agg.groupBy(*keys, "shock_id").agg(F.sum(F.abs("contribution")).alias("_l1"))
-    best = top_n(size, keys, F.col("_l1"), top, ties=["shock_id"]).select(*keys, "shock_id", F.lit(True).alias("_in"))
-    named = agg.join(best, [*keys, "shock_id"], "left").withColumn(
-        "shock_group", F.when(F.col("_in"), F.col("shock_id")).otherwise("Other")
+    sized = agg.withColumn("_l1", F.sum(F.abs("contribution")).over(W.partitionBy(*keys, "shock_id")))
+    rank = F.dense_rank().over(W.partitionBy(*keys).orderBy(F.col("_l1").desc(), "shock_id"))
+    named = sized.withColumn("_r", rank).withColumn(
+        "shock_group", F.when(F.col("_r") <= top, F.col("shock_id")).otherwise("Other")
     )
     folded = named.groupBy(*keys, "t", "shock_group").agg(F.sum("contribution").alias("contribution"))
     return folded.withColumn("net", F.sum("contribution").over(W.partitionBy(*keys, "t")))

@@ -313,14 +313,14 @@ def bands(tidy: DataFrame, levels: Sequence[float] = (0.90,), method: str = "per
     """Center and bands over draws.  Percentile bands use exact type-7 quantiles that
     never bring the draws of one key together."""
     keys = list(keys)
-    stats = tidy.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     names = [f"{side}_{level_tag(p)}" for p in levels for side in ("lo", "hi")]
     probs = [q for p in levels for q in ((1 - p) / 2, 1 - (1 - p) / 2)] if method == "percentile" else []
     want = list(zip(probs, names)) + ([(0.5, "_median")] if center == "median" else [])
-    out = stats
     if want:
-        q = exact_quantiles(tidy, keys, value, [p for p, _ in want], [n for _, n in want])
-        out = stats.join(q, keys)
+        moments = {"_mean": F.avg("_v"), "_sd": F.stddev_samp("_v")}
+        out = exact_quantiles(tidy, keys, value, [p for p, _ in want], [n for _, n in want], also=moments)
+    else:
+        out = tidy.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     if method == "normal":
         for p in levels:
             z = F.lit(normal_quantile((1 + p) / 2))
@@ -396,7 +396,8 @@ def envelope(inputs: DataFrame, kernels: DataFrame, impact: DataFrame) -> DataFr
 
 
 def overlay(delta: DataFrame, envelope_table: DataFrame) -> DataFrame:
-    """Scenario deltas next to the envelope, for the variables the envelope has."""
+    """Scenario deltas next to the envelope, for the variables the envelope has; before
+    the first shock the envelope is zero."""
     keys = ["uncertainty", "scenario", "regime", "variable"]
     kept = delta.join(envelope_table.select(*keys).distinct(), keys, "left_semi")
-    return kept.join(envelope_table, [*keys, "t"], "left")
+    return kept.join(envelope_table, [*keys, "t"], "left").fillna(0.0, subset=["irf_center", "irf_lo", "irf_hi"])

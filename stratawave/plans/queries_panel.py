@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def _target(spark: SparkSession, name: str) -> str:
     """A fresh place for a round trip: the shared folder if the cluster names one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/roundtrip-{name}-{spark.sparkContext.applicationId}-{id(object())}"
+        return f"{base.rstrip('/')}/roundtrip-{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"stratawave-{name}-") + "/out"
 
 

@@ -169,10 +169,10 @@ def _banded(spark, sf, kernel=None):
 
 
 @query("scenario_effect_bands", f"""
-SELECT uncertainty, scenario, regime, response AS variable, (t + h)::INT AS t, round(sum(u * value), 7) + 0.0 AS value, round(sum(u * value_lo), 7) + 0.0 AS value_lo,
-  round(sum(u * value_hi), 7) + 0.0 AS value_hi FROM ugrid JOIN {_BANDK} USING (impulse) WHERE scenario = 'econ_drop' AND t + h <= horizon GROUP BY 1, 2, 3, 4, 5""", digits=7)
+SELECT uncertainty, scenario, regime, response AS variable, (t + h)::INT AS t, round(sum(u * value), 11) + 0.0 AS value, round(sum(u * value_lo), 11) + 0.0 AS value_lo,
+  round(sum(u * value_hi), 11) + 0.0 AS value_hi FROM ugrid JOIN {_BANDK} USING (impulse) WHERE t + h <= horizon GROUP BY 1, 2, 3, 4, 5""", digits=11)
 def scenario_effect_bands(spark, sf):
-    grid = scenarios.input_grid(I.specs(spark).where(F.col("name") == "econ_drop"))
+    grid = scenarios.input_grid(I.specs(spark).where(F.col("type") == "path"))
     return scenarios.convolve_bands(grid, _banded(spark, sf))
 
 
@@ -285,10 +285,10 @@ def delta_bands(spark, sf):
 
 
 @query("extreme_points", f"""
-SELECT scenario, variable, regime, t::INT AS t, value FROM (SELECT *, row_number() OVER (PARTITION BY scenario, variable, regime ORDER BY abs(value) DESC, t) AS rn FROM shocked WHERE uncertainty = 'vol') s WHERE rn = 1""", digits=8)
+SELECT uncertainty, scenario, variable, regime, t::INT AS t, value FROM (SELECT *, row_number() OVER (PARTITION BY uncertainty, scenario, variable, regime ORDER BY abs(value) DESC, t) AS rn FROM shocked) s WHERE rn = 1""", digits=8)
 def extreme_points(spark, sf):
-    t = I.tidy(spark, sf).where((F.col("uncertainty") == "vol") & ~F.col("is_baseline"))
-    return scenarios.extreme_points(t)
+    t = I.tidy(spark, sf).where(~F.col("is_baseline"))
+    return scenarios.extreme_points(t, ["uncertainty", "scenario", "variable", "regime"])
 
 
 @query("top_movers", """
@@ -298,18 +298,20 @@ def top_movers(spark, sf):
 
 
 @query("scenario_envelope", f"""
-WITH a AS (SELECT response AS i, impulse AS j, a AS v FROM slopes), u AS (SELECT scenario, horizon, t, i AS impulse, sum(u * v) AS u FROM ugrid JOIN a ON a.j = impulse WHERE scenario = 'econ_drop' GROUP BY 1, 2, 3, 4),
+WITH a AS (SELECT response AS i, impulse AS j, a AS v FROM slopes), u AS (SELECT scenario, horizon, t, i AS impulse, sum(u * v) AS u FROM ugrid JOIN a ON a.j = impulse GROUP BY 1, 2, 3, 4),
 e AS (SELECT uncertainty, scenario, regime, response AS variable, t + h AS t, sum(u * value) AS c, sum(u * CASE WHEN u >= 0 THEN value_lo ELSE value_hi END) AS lo, sum(u * CASE WHEN u >= 0 THEN value_hi ELSE value_lo END) AS hi
   FROM u JOIN {_BANDK} USING (impulse) WHERE t + h <= horizon GROUP BY 1, 2, 3, 4, 5)
-SELECT d.uncertainty, d.scenario, d.regime, d.variable, d.t::INT AS t, round(d.delta, 6) + 0.0 AS delta, round(c, 6) + 0.0 AS irf_center, round(lo, 6) + 0.0 AS irf_lo, round(hi, 6) + 0.0 AS irf_hi
-FROM delta d JOIN e USING (uncertainty, scenario, regime, variable, t)""")
+SELECT d.uncertainty, d.scenario, d.regime, d.variable, d.t::INT AS t, round(d.delta, 6) + 0.0 AS delta, round(coalesce(c, 0), 6) + 0.0 AS irf_center,
+  round(coalesce(lo, 0), 6) + 0.0 AS irf_lo, round(coalesce(hi, 0), 6) + 0.0 AS irf_hi
+FROM delta d JOIN (SELECT DISTINCT uncertainty, scenario, regime, variable FROM e) k USING (uncertainty, scenario, regime, variable)
+LEFT JOIN e ON e.uncertainty = d.uncertainty AND e.scenario = d.scenario AND e.regime = d.regime AND e.variable = d.variable AND e.t = d.t""")
 def scenario_envelope(spark, sf):
     """Scenario deltas beside the envelope of responses after contemporaneous spread."""
     cov = fit.covariances(I.type_vectors(spark, sf))
     names = F.array(*[F.lit(t) for t in I.TYPES])
     var = cov.where(F.col("i") == F.col("j")).select("j", F.col("value").alias("_v"))
     impact = cov.join(var, "j").select(F.get(names, "i").alias("i"), F.get(names, "j").alias("j"), (F.col("value") / F.col("_v")).alias("value"))
-    grid = scenarios.input_grid(I.specs(spark).where(F.col("name") == "econ_drop"))
+    grid = scenarios.input_grid(I.specs(spark).where(F.col("type") == "path"))
     k = I.kernels(spark, sf)
     env = scenarios.envelope(grid, _banded(spark, sf, k), impact)
     return scenarios.overlay(I.deltas(spark, sf, I.tidy(spark, sf, k)), env)
@@ -418,19 +420,24 @@ def effects_by_regime_signed(spark, sf):
     return contrib.by_regime(I.deltas(spark, sf), "signed")
 
 
-@query("shapley_exact", f"""
-SELECT scenario, shock_id, regime, variable, t::INT AS t, 'exact' AS method, round(weight * delta, 8) + 0.0 AS shapley, CASE scenario WHEN 'basket' THEN 6 ELSE 1 END AS perms_used
-FROM single JOIN (VALUES {_map}) AS m(scenario, shock_id, weight) USING (shock_id) WHERE uncertainty = 'vol'""", digits=8)
+_SHAP = f"""SELECT uncertainty, scenario, shock_id, regime, variable, t::INT AS t, {{method}} AS method, round(weight * delta, 8) + 0.0 AS shapley, CASE scenario WHEN 'basket' THEN {{perms}} ELSE 1 END AS perms_used
+FROM single JOIN (VALUES {_map}) AS m(scenario, shock_id, weight) USING (shock_id)"""
+
+
+def _unit_deltas(spark, sf):
+    return _single(spark, sf).withColumnRenamed("value", "delta")
+
+
+@query("shapley_exact", _SHAP.format(method="'exact'", perms=6), digits=8)
 def shapley_exact(spark, sf):
-    single = _single(spark, sf).where(F.col("uncertainty") == "vol").select("shock_id", "regime", "variable", "t", F.col("value").alias("delta"))
-    return contrib.shapley(single, _shock_map(spark))
+    """All orders of the shocks; under superposition the value is weight times delta."""
+    return contrib.shapley(_unit_deltas(spark, sf), _shock_map(spark))
 
 
-@query("shapley_sampled")
+@query("shapley_sampled", _SHAP.format(method="CASE scenario WHEN 'basket' THEN 'sampled' ELSE 'exact' END", perms=64), digits=8)
 def shapley_sampled(spark, sf):
     """Orders drawn by hash, as for scenarios with many shocks."""
-    single = _single(spark, sf).where(F.col("uncertainty") == "vol").select("shock_id", "regime", "variable", "t", F.col("value").alias("delta"))
-    return contrib.shapley(single, _shock_map(spark), exact_up_to=1, n_perm=64)
+    return contrib.shapley(_unit_deltas(spark, sf), _shock_map(spark), exact_up_to=1, n_perm=64)
 
 
 @query("mass_report", """

@@ -73,12 +73,12 @@ def moving_average_gaps(spark, sf):
 
 
 @query("exponential_average", """
-WITH n AS (SELECT "index", date, value, row_number() OVER (PARTITION BY "index" ORDER BY date) AS rn FROM idx WHERE "index" = 'vol'),
+WITH n AS (SELECT "index", date, value, row_number() OVER (PARTITION BY "index" ORDER BY date) AS rn FROM idx WHERE value IS NOT NULL),
 walk AS (SELECT "index", 3::BIGINT AS rn, (SELECT avg(value) FROM n m WHERE m.rn <= 3 AND m."index" = n."index") AS ema FROM n WHERE rn = 3
   UNION ALL SELECT w."index", n.rn, w.ema + 0.5 * (n.value - w.ema) FROM walk w JOIN n ON n."index" = w."index" AND n.rn = w.rn + 1)
 SELECT n."index", n.date, round(n.value, 6) + 0.0 AS value, round(w.ema, 6) + 0.0 AS ema FROM n LEFT JOIN walk w ON w."index" = n."index" AND w.rn = n.rn""")
 def exponential_average(spark, sf):
-    return series.exponential_average(I.indices(spark, sf).where(F.col("index") == "vol"))
+    return series.exponential_average(I.indices(spark, sf).where(F.col("value").isNotNull()))
 
 
 _INTERP = """
