@@ -71,71 +71,70 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     group with a large part of all rows is spread over ``salt`` tasks, which adaptive
     execution splits further; with few groups Spark broadcasts the intervals instead.
 
-    The passes read ``df`` again, so its values must be reproducible: stored columns, or
+    There are ``rounds + 2`` passes over ``df``, so its values must be reproducible: stored columns, or
     aggregates that were rounded or checkpointed.  ``also`` adds plain aggregates of the
     column ``_v`` to the first pass.
     """
     keys, also = list(keys), also or {}
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salt)).cast("int"))
-
     n = F.col("_n")
-    start = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"),
-                                    *[c.alias(name) for name, c in also.items()])
     positions = [_position(n, p, kind) for p in probs]
-    targets = F.array_distinct(F.flatten(F.array(*[
+    ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(pos).cast("long"), F.least(F.floor(pos) + 1, n).cast("long")) for pos in positions
     ])))
-    state = start.select(
-        *keys, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.explode(targets).alias("_rank")
-    )
+    # A state row is one value interval of a group: its bounds, the number of values
+    # before it and the wanted ranks inside it.  The group's own numbers ride along, so
+    # each pass uses the state once and reads the rows once.
+    state = rows.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"),
+        *[c.alias(name) for name, c in also.items()],
+    ).select(*keys, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), ranks.alias("_ranks"), "_n", *also)
+    group_values = ["_ranks", "_n", *also]
+    interval = [*keys, "_lo", "_hi", "_before"]
 
     def spread(intervals: DataFrame) -> DataFrame:
-        """Rows inside a wanted interval, one copy per distinct interval."""
-        # Ranks that share an interval are counted once.
+        """Rows inside a wanted interval with that interval."""
         per_group = intervals.groupBy(*keys).agg(
-            F.collect_set(F.struct("_lo", "_hi", "_before")).alias("_iv")
+            F.collect_list(F.struct("_lo", "_hi", "_before", "_ranks")).alias("_iv"),
+            *[F.first(c).alias(c) for c in ("_n", *also)],
         ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        joined = rows.join(per_group, [*keys, "_salt"])
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salt)).cast("int"))
+        joined = salted.join(per_group, [*keys, "_salt"])
         hit = F.filter("_iv", lambda s: (s["_lo"] <= F.col("_v")) & (F.col("_v") <= s["_hi"]))
-        return joined.select(*keys, "_v", F.explode(hit).alias("_s")).select(*keys, "_v", "_s.*")
+        return joined.select(*keys, "_v", "_n", *also, F.inline(hit))
+
+    def inside(table: DataFrame, order: str) -> DataFrame:
+        """Running counts within an interval, and the wanted ranks each row covers."""
+        over = W.partitionBy(*interval).orderBy(order)
+        upto = F.col("_before") + F.sum("_c").over(over)
+        counted = table.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+        covered = F.filter("_ranks", lambda r: (r > F.col("_from")) & (r <= F.col("_upto")))
+        return counted.withColumn("_ranks", covered).where(F.size("_ranks") > 0)
 
     for _ in range(rounds):
         width = F.col("_hi") - F.col("_lo")
         bin_no = F.when(width > 0, F.least(
             F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)
         )).otherwise(F.lit(0)).cast("int")
-        counts = spread(state).withColumn("_bin", bin_no).groupBy(*keys, "_lo", "_hi", "_before", "_bin").agg(
-            F.count("*").alias("_c"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi")
+        counts = spread(state).withColumn("_bin", bin_no).groupBy(*interval, "_bin").agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"),
+            *[F.first(c).alias(c) for c in group_values],
         )
-        over = W.partitionBy(*keys, "_lo", "_hi", "_before").orderBy("_bin")
-        upto = F.col("_before") + F.sum("_c").over(over)
-        ranked = counts.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-        narrowed = ranked.join(
-            state.select(*keys, "_lo", "_hi", "_before", "_rank"), [*keys, "_lo", "_hi", "_before"]
-        ).where((F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_upto")))
-        state = narrowed.select(
-            *keys, F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"),
-            F.col("_from").alias("_before"), "_rank",
+        state = inside(counts, "_bin").select(
+            *keys, F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), F.col("_from").alias("_before"), *group_values
         )
 
-    values = spread(state).groupBy(*keys, "_lo", "_hi", "_before", "_v").agg(F.count("*").alias("_c"))
-    over = W.partitionBy(*keys, "_lo", "_hi", "_before").orderBy("_v")
-    values = values.withColumn("_upto", F.col("_before") + F.sum("_c").over(over))
-    picked = values.join(state, [*keys, "_lo", "_hi", "_before"]).where(
-        (F.col("_rank") > F.col("_upto") - F.col("_c")) & (F.col("_rank") <= F.col("_upto"))
+    values = spread(state).groupBy(*interval, "_v").agg(
+        F.count("*").alias("_c"), *[F.first(c).alias(c) for c in group_values]
     )
-    found = picked.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at")
+    found = inside(values, "_v").select(*keys, "_n", *also, F.explode("_ranks").alias("_rank"), "_v").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
+        *[F.first(c).alias(c) for c in ("_n", *also)],
     )
-    if keys:
-        joined = found.join(start.select(*keys, "_n", *also), keys)
-    else:
-        joined = found.withColumn("_s", start.select(F.struct("_n", *also)).scalar()).select("*", "_s.*")
     out = []
     for pos, name in zip(positions, names):
         lo = F.element_at("_at", F.floor(pos).cast("long"))
         hi = F.element_at("_at", F.least(F.floor(pos) + 1, n).cast("long"))
         frac = pos - F.floor(pos)
         out.append((lo + frac * (hi - lo)).alias(name))
-    return joined.select(*keys, *out, *also)
+    return found.select(*keys, *out, *also)

@@ -267,11 +267,9 @@ def typed_panel(df: DataFrame, ids: Sequence[str] = ("series_id", "series_name",
 
 
 def trim_to_index(panel: DataFrame, index: DataFrame, date: str = "date") -> DataFrame:
-    """Panel rows within the span of the index; the two bounds are scalar subqueries."""
-    span = index.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    return panel.where(
-        (F.col(date) >= span.select("lo").scalar()) & (F.col(date) <= span.select("hi").scalar())
-    )
+    """Panel rows within the span of the index, which is one scalar subquery."""
+    span = index.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("span")).scalar()
+    return panel.where((F.col(date) >= span["lo"]) & (F.col(date) <= span["hi"]))
 
 
 def canonical_panel(df: DataFrame, series: str = "series") -> DataFrame:

@@ -108,8 +108,8 @@ def interpolate(df: DataFrame, max_gap: int = 2, keys: Sequence[str] = ("index",
 def common_span(df: DataFrame, index: str = "index", date: str = "date", value: str = "value") -> DataFrame:
     """Rows within the dates all indices share."""
     spans = df.where(F.col(value).isNotNull()).groupBy(index).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    both = spans.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
-    return df.where((F.col(date) >= both.select("lo").scalar()) & (F.col(date) <= both.select("hi").scalar()))
+    both = spans.agg(F.struct(F.max("lo").alias("lo"), F.min("hi").alias("hi")).alias("span")).scalar()
+    return df.where((F.col(date) >= both["lo"]) & (F.col(date) <= both["hi"]))
 
 
 def zscore(value: str, keys: Sequence[str], flat: str = "null") -> Column:

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from stratawave.plans import queries_models, queries_panel, queries_scenarios, queries_series  # noqa: F401
+from stratawave.plans import (  # noqa: F401
+    queries_models,
+    queries_panel,
+    queries_pipeline,
+    queries_scenarios,
+    queries_series,
+)
 from stratawave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

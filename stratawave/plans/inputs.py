@@ -145,7 +145,8 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
     """State path per index: ``(index, date, x, theta, state)``."""
     from stratawave.operators.states import state_from_threshold
 
-    joined = driver(spark, sf).join(thresholds(spark, sf), "index")
+    # The median over the path itself: the orders are read once.
+    joined = driver(spark, sf).withColumn("theta", F.median("x").over(series.whole(["index"])))
     return joined.withColumn("state", state_from_threshold(F.col("x"), F.col("theta")))
 
 

@@ -301,10 +301,10 @@ def top_movers(spark, sf):
 WITH a AS (SELECT response AS i, impulse AS j, a AS v FROM slopes), u AS (SELECT scenario, horizon, t, i AS impulse, sum(u * v) AS u FROM ugrid JOIN a ON a.j = impulse GROUP BY 1, 2, 3, 4),
 e AS (SELECT uncertainty, scenario, regime, response AS variable, t + h AS t, sum(u * value) AS c, sum(u * CASE WHEN u >= 0 THEN value_lo ELSE value_hi END) AS lo, sum(u * CASE WHEN u >= 0 THEN value_hi ELSE value_lo END) AS hi
   FROM u JOIN {_BANDK} USING (impulse) WHERE t + h <= horizon GROUP BY 1, 2, 3, 4, 5)
-SELECT d.uncertainty, d.scenario, d.regime, d.variable, d.t::INT AS t, round(d.delta, 6) + 0.0 AS delta, round(coalesce(c, 0), 6) + 0.0 AS irf_center,
-  round(coalesce(lo, 0), 6) + 0.0 AS irf_lo, round(coalesce(hi, 0), 6) + 0.0 AS irf_hi
+SELECT d.uncertainty, d.scenario, d.regime, d.variable, d.t::INT AS t, round(d.delta, 8) + 0.0 AS delta, round(coalesce(c, 0), 8) + 0.0 AS irf_center,
+  round(coalesce(lo, 0), 8) + 0.0 AS irf_lo, round(coalesce(hi, 0), 8) + 0.0 AS irf_hi
 FROM delta d JOIN (SELECT DISTINCT uncertainty, scenario, regime, variable FROM e) k USING (uncertainty, scenario, regime, variable)
-LEFT JOIN e ON e.uncertainty = d.uncertainty AND e.scenario = d.scenario AND e.regime = d.regime AND e.variable = d.variable AND e.t = d.t""")
+LEFT JOIN e ON e.uncertainty = d.uncertainty AND e.scenario = d.scenario AND e.regime = d.regime AND e.variable = d.variable AND e.t = d.t""", digits=8)
 def scenario_envelope(spark, sf):
     """Scenario deltas beside the envelope of responses after contemporaneous spread."""
     cov = fit.covariances(I.type_vectors(spark, sf))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratawave.operators import aggregate, checks, series, states
 from stratawave.plans import inputs as I
 from stratawave.plans.registry import query, sel
+from stratawave.session import cut_lineage
 
 BY_INDEX = 'PARTITION BY "index" ORDER BY date'
 
@@ -338,7 +339,7 @@ def implied_durations(spark, sf):
 @query("transition_bootstrap")
 def transition_bootstrap(spark, sf):
     """Block bootstrap of the persistence probabilities, block length from the spells."""
-    path = _holes(spark, sf)
+    path = cut_lineage(_holes(spark, sf))
     return states.bootstrap_transitions(path, states.block_length(states.spells(path)), draws=500)
 
 
@@ -364,7 +365,7 @@ SELECT n."index", n_low, n_high, round(n_low / (n_low + n_high), 6) + 0.0 AS sha
   p11 > 0.98 AS near_absorbing_low, p22 > 0.98 AS near_absorbing_high
 FROM n JOIN s USING ("index") JOIN q USING ("index")""")
 def regime_statistics(spark, sf):
-    path = _holes(spark, sf)
+    path = cut_lineage(_holes(spark, sf))
     probs = states.transition_probs(states.transition_counts(path))
     return states.regime_statistics(path, states.spells(path), probs)
 
