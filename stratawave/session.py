@@ -28,16 +28,25 @@ def get_session(app: str = "stratawave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder
-    of our own is set only where the session names none (tests, one machine).
-    The checkpoint survives the loss of any executor.
+    A folder of our own is set only where the session names none and all tasks run in this process (tests, one
+    machine).  On a cluster without the setting this fails: executors would write to their own disks.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratawave-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the files.
+
+    The checkpoint survives the loss of any executor.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
