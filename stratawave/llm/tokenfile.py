@@ -48,7 +48,7 @@ class Writer:
 
     def __init__(self, path: str, width: int, level: int = 3) -> None:
         system, where = _place(path)
-        self.out, self.width, self.pack = system.open_output_stream(where), width, zstandard.ZstdCompressor(level=level)
+        self.out, self.width, self.pack = system.open_output_stream(where, compression=None), width, zstandard.ZstdCompressor(level=level)
         self.table, self.names, self.n_tokens = [], [], 0
 
     def _frame(self, data: bytes) -> None:
