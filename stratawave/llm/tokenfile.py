@@ -32,7 +32,7 @@ _HEAD = "<4sBQ"
 _MARK = b"TOK1"
 
 _FILES = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-_ROWS = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_ROWS = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def _checksum(data: bytes) -> int:
@@ -137,15 +137,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
 
 
 def read_tokens(files: DataFrame, wanted: set[int] | None = None, with_ids: bool = False) -> DataFrame:
-    """(part, nth, doc_id, local_start, n_tokens, ids_crc32[, ids]) of the documents in the listed files.
+    """(part, nth, doc_id, start, n_tokens, ids_crc32[, ids]) of the documents in the listed files.
 
-    ``wanted``: only these ids are decompressed; ``local_start`` counts ids before it in its file and is null then.
+    ``start`` counts the ids of all documents before it.  ``wanted``: only these ids are decompressed; ``start`` is null
+    then.  What comes before a file is summed over the list of files, one row each, before the files are read.
     """
     schema = _ROWS.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _ROWS
 
     def read(batch: pa.RecordBatch):
-        for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            reader, before = Reader(path), 0
+        for part, path, before in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            reader = Reader(path)
             for i, doc_id in enumerate(reader.doc_ids):
                 if wanted is None or doc_id in wanted:
                     ids = reader.ids(i)
@@ -154,16 +155,14 @@ def read_tokens(files: DataFrame, wanted: set[int] | None = None, with_ids: bool
                     before += len(ids)
             reader.close()
 
-    ddl = "part long, nth long, doc_id long, local_start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    ddl = "part long, nth long, doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     n = max(1, files.count())
-    return files.select("part", "file").repartition(n).mapInArrow(batches(read, schema), ddl)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    listed = files.select("part", "file", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
+    return listed.repartition(n).mapInArrow(batches(read, schema), ddl)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
     files = write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), 1)
-    # One row for each file meets in one task.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("part", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("base"))
-    out = read_tokens(files).join(bases, "part")
-    return out.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
