@@ -61,8 +61,24 @@ def pruned(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, sl
     return out
 
 
-def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, near: float = NEAR, steps: int = STEPS, block: int = 128):
-    """Yields (query, found) index arrays: rows with cosine ``near`` or more to each query, itself left out."""
+def both_ways(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, to): the lists with every edge in both directions; row i has ``to[starts[i]:starts[i + 1]]``.
+
+    Rows of a dense group that are nearest to nobody would otherwise never be reached.
+    """
+    n = len(lists)
+    at, column = np.nonzero(lists >= 0)
+    other = lists[at, column]
+    pairs = np.unique(np.concatenate([at * n + other, other * n + at]))
+    return np.searchsorted(pairs, np.arange(n + 1) * n), pairs % n
+
+
+def search(x: np.ndarray, starts: np.ndarray, to: np.ndarray, queries: np.ndarray, near: float = NEAR, steps: int = STEPS, block: int = 64):
+    """Yields (query, found) index arrays: rows with cosine ``near`` or more to each query, itself left out.
+
+    Row i leads to ``to[starts[i]:starts[i + 1]]``.
+    """
+    degrees = np.diff(starts)
     n = len(x)
     middle = x.mean(axis=0)
     medoid = int((x @ middle).argmax())
@@ -84,8 +100,8 @@ def search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, near: float =
                 break
             todo[at, node] = False
             new = np.zeros((len(q), n), bool)
-            to = lists[node]
-            new[np.repeat(at, to.shape[1])[to.ravel() >= 0], to.ravel()[to.ravel() >= 0]] = True
+            k = degrees[node]
+            new[np.repeat(at, k), to[np.repeat(starts[node] - np.cumsum(k) + k, k) + np.arange(k.sum())]] = True
             at, node = np.nonzero(new & (sim == -np.inf))
             sim[at, node] = np.einsum("ij,ij->i", x[q[at]], x[node])
             todo[at, node] = True
@@ -146,11 +162,11 @@ def dealt(nodes: DataFrame, centres: pd.DataFrame, overlap: int) -> DataFrame:
 
 
 def graph(members: DataFrame) -> DataFrame:
-    """(node, neighbours): the united adjacency lists of all shards."""
+    """(node, neighbours): the united adjacency lists of all shards, with edges in both directions."""
     def build(group: pd.DataFrame) -> pd.DataFrame:
         names = group["node"].to_numpy()
-        lists = pruned(_unit(group["embedding"].to_list()))
-        return pd.DataFrame({"node": names, "to": [names[x[x >= 0]] for x in lists]})
+        starts, to = both_ways(pruned(_unit(group["embedding"].to_list())))
+        return pd.DataFrame({"node": names, "to": np.split(names[to], starts[1:-1])})
 
     lists = members.select("shard", "node", "embedding").groupBy("shard").applyInPandas(build, "node long, to array<long>")
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("neighbours"))
@@ -166,15 +182,14 @@ def found_links(nodes: DataFrame, members: DataFrame, lists: DataFrame) -> DataF
     def look(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
         names, times = group["node"].to_numpy(), group["times"].to_numpy()
-        width = max([1, *(0 if x is None else len(x) for x in group["neighbours"])])
-        lists = np.full((len(group), width), -1, np.int64)
-        for i, to in enumerate(group["neighbours"]):
-            if to is not None and len(to):
-                at = np.minimum(np.searchsorted(names, to), len(names) - 1)
-                at = at[names[at] == to]
-                lists[i, :len(at)] = at
+        lists = [np.zeros(0, np.int64) if x is None else x for x in group["neighbours"]]
+        wanted = np.concatenate(lists)
+        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        held = names[at] == wanted
+        starts = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(lists)), [len(x) for x in lists])[held], minlength=len(lists)))])
+        to = at[held]
         counts, a, b = np.zeros(len(group), np.int64), [], []
-        for q, other in search(_unit(group["embedding"].to_list()), lists, np.flatnonzero(group["own"].to_numpy())):
+        for q, other in search(_unit(group["embedding"].to_list()), starts, to, np.flatnonzero(group["own"].to_numpy())):
             np.add.at(counts, q, times[other])
             a.append(q)
             b.append(other)
