@@ -26,7 +26,7 @@ MOST_TRAINING = 16_000
 LEARNERS, PASSES, ALPHA, BETA, L1, L2 = 8, 3, 0.5, 1.0, 0.02, 0.02
 UNKNOWN = "und"
 #: Documents that the stage rejects have no letter or a lower score.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _SAMPLE = pa.schema([("y", pa.int32()), ("calibrates", pa.bool_()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
