@@ -114,7 +114,8 @@ def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     rows = stored(identities(docs, block), "exact-rows")
     first = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.col("row"))
-    groups = rows.groupBy("n_bytes", "name").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that the join below reads two plain tables and a hot group can be split.
+    groups = stored(rows.groupBy("n_bytes", "name").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     joined = rows.join(groups, ["n_bytes", "name"])
     return joined.select(
         "doc_id", "digest", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"),
