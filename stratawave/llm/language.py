@@ -92,7 +92,7 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, most: int = MOST_TRAIN
 
     Languages and document frequencies cover all of these rows.  The weights are fitted on about ``most`` of them at most,
     chosen by a hash of the id with the same number for each language; a fifth of those set the temperature instead.
-    Learners work on their own rows and their sums are averaged after each pass.  Rows without id, language or letters do
+    Learners work on their own rows; what they add to the leader's sums is added up after each pass.  Rows without id, language or letters do
     not teach.  Without any teaching row the model knows no language.
     """
     known = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != held)).select("doc_id", "text", "lang")
@@ -123,12 +123,13 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, most: int = MOST_TRAIN
     wanted = F.element_at(F.create_map(*[F.lit(v) for x in share.items() for v in x]), F.col("lang"))
     chosen = known.filter(place < wanted).select("text", "lang", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0).alias("calibrates"))
     teach = stored(chosen.mapInArrow(batches(sample, _SAMPLE, 500), "y int, calibrates boolean, at array<int>, n array<int>"), "language-sample")
-    fit = teach.filter("NOT calibrates").select("y", "at", "n").repartition(LEARNERS, F.xxhash64("y", "at", "n"))
-    fit = stored(fit.withColumn("learner", F.spark_partition_id()), "language-fit")
+    learner = F.pmod(F.xxhash64("y", "at", "n"), F.lit(LEARNERS)).alias("learner")
+    fit = teach.filter("NOT calibrates").select(learner, F.crc32(F.to_json("n").cast("binary")).alias("place"), "y", "at", "n")
     z, squares = np.zeros((SIZE, len(languages))), np.zeros((SIZE, len(languages)))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         own_z, own_n = z.copy(), squares.copy()
+        group = group.sort_values(["place", "y"])
         for y, at, n in zip(group["y"], group["at"], group["n"], strict=True):
             at = np.asarray(at)
             x = _row(at, np.asarray(n), idf)
@@ -139,16 +140,12 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, most: int = MOST_TRAIN
             step = (np.sqrt(own_n[at] + g ** 2) - np.sqrt(own_n[at])) / ALPHA
             own_z[at] += g - step * w
             own_n[at] += g ** 2
-        return pd.DataFrame({"n": [len(group)], "z": [own_z.tobytes()], "squares": [own_n.tobytes()]})
+        return pd.DataFrame({"z": [(own_z - z).tobytes()], "squares": [(own_n - squares).tobytes()]})
 
     for _ in range(PASSES):
-        parts = fit.groupBy("learner").applyInPandas(learn, "n long, z binary, squares binary").collect()
-        total = sum(r["n"] for r in parts)
-        if not total:
-            break
-        shape = z.shape
-        z = sum(np.frombuffer(r["z"]) * (r["n"] / total) for r in parts).reshape(shape)
-        squares = sum(np.frombuffer(r["squares"]) * (r["n"] / total) for r in parts).reshape(shape)
+        for r in fit.groupBy("learner").applyInPandas(learn, "z binary, squares binary").collect():
+            z = z + np.frombuffer(r["z"]).reshape(z.shape)
+            squares = squares + np.frombuffer(r["squares"]).reshape(z.shape)
     weights = _weights(z, squares)
     tried = np.exp(np.linspace(np.log(0.02), np.log(5), 60))
 
