@@ -56,39 +56,52 @@ def vocabulary(docs: DataFrame, size: int = SIZE) -> dict[bytes, int]:
     return {bytes(r["word"]): i for i, r in enumerate(top, 2)}
 
 
-def pair_keys(text: str | None, ids: dict[bytes, int], size: int) -> np.ndarray:
-    """previous * size + next for each token of a text; the edge stands before and after it."""
-    found = words(text)
-    row = np.empty(len(found) + 2, np.int64)
-    row[0] = row[-1] = EDGE
-    row[1:-1] = np.fromiter((ids.get(w, UNKNOWN) for w in found), np.int64, len(found))
-    return row[:-1] * size + row[1:]
+def encoded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """(doc_id, ids) of each row of docs (doc_id, text): vocabulary entries of its words as unsigned 16-bit integers."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
+    def encode(batch: pa.RecordBatch):
+        own = shared.value
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = words(text)
+            yield [doc_id, np.fromiter((own.get(w, UNKNOWN) for w in found), "<u2", len(found)).tobytes()]
+
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(encode, schema, 2_000), "doc_id long, ids binary")
+
+
+def pair_keys(ids: bytes, size: int) -> np.ndarray:
+    """previous * size + next for each token of a document; the edge stands before and after it."""
+    row = np.full(len(ids) // 2 + 2, EDGE, np.int64)
+    row[1:-1] = np.frombuffer(ids, "<u2")
+    return row[:-1] * size + row[1:]
 
-def pair_counts(docs: DataFrame, ids: dict[bytes, int], size: int = SIZE) -> DataFrame:
-    """(key, n) over all tokens of docs (text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
+def pair_counts(coded: DataFrame, size: int = SIZE) -> DataFrame:
+    """(key, n) over all tokens of the encoded documents."""
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, own = np.zeros(size * size, np.uint32), shared.value
+        total = np.zeros(size * size, np.uint32)
         held, n = [], 0
+
+        def add() -> None:
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            total[keys] += times.astype(np.uint32)
+
         for batch in source:
-            for text in batch.column(0).to_pylist():
-                held.append(pair_keys(text, own, size))
+            for ids in batch.column(0).to_pylist():
+                held.append(pair_keys(ids, size))
                 n += len(held[-1])
                 if n > 2_000_000:
-                    keys, times = np.unique(np.concatenate(held), return_counts=True)
-                    total[keys] += times.astype(np.uint32)
+                    add()
                     held, n = [], 0
         if held:
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            total[keys] += times.astype(np.uint32)
+            add()
         used = np.flatnonzero(total)
         for i in range(0, len(used), 100_000):
             part = used[i:i + 100_000]
             yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return coded.select("ids").mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def losses(target: DataFrame, background: DataFrame, size: int = SIZE, prior: float = PRIOR) -> np.ndarray:
@@ -119,9 +132,9 @@ def losses(target: DataFrame, background: DataFrame, size: int = SIZE, prior: fl
 
 def _chunks(pairs: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The pairs' counts on the driver: size^2 rows at most."""
-    found = pairs.select("key", F.col("b").cast("double"), F.col("t").cast("double")).toArrow()
+    found = pairs.select("key", F.col("b").cast("float"), F.col("t").cast("float")).toArrow()
     for batch in found.to_batches(1_000_000):
-        yield batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        yield batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy().astype(float)
 
 
 def scores(docs: DataFrame, target_ids: DataFrame, size: int = SIZE) -> DataFrame:
@@ -132,20 +145,21 @@ def scores(docs: DataFrame, target_ids: DataFrame, size: int = SIZE) -> DataFram
     * Without target documents both models are the same but for the counts, and scores say nothing.  Repeated rows count as
       often as they occur.  Null ids are never in the target.  An empty table gives no rows.
     """
-    ids = vocabulary(docs, size)
-    wanted = target_ids.filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    background = pair_counts(docs, ids, size)
-    target = pair_counts(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), ids, size)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, losses(target, background, size)))
+    coded = stored(encoded(docs, vocabulary(docs, size)), "lm-coded")
+    # The target grows with the corpus, so it is never broadcast.
+    wanted = target_ids.filter("doc_id IS NOT NULL").select("doc_id").distinct().hint("merge")
+    background = pair_counts(coded, size)
+    target = pair_counts(coded.join(wanted, "doc_id", "left_semi"), size)
+    shared = docs.sparkSession.sparkContext.broadcast(losses(target, background, size))
 
     def score(batch: pa.RecordBatch):
-        own, loss = shared.value
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys = pair_keys(text, own, size)
+        loss = shared.value
+        for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = pair_keys(ids, size)
             yield [doc_id, len(keys), float(loss[keys].mean(dtype=np.float64))]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(score, schema), "doc_id long, n_tokens long, score double")
+    return coded.mapInArrow(batches(score, schema), "doc_id long, n_tokens long, score double")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
