@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratawave.functions.scalars import clean_double
+
 
 def series_quantile(value: Column | str, p: float) -> Column:
     """Type-7 quantile aggregate (linear between order statistics)."""
@@ -61,13 +63,15 @@ def grid_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str], kind: int = 7, bins: int = 1024, rounds: int = 2,
+                    names: Sequence[str], kind: int = 7, bins: int = 1024, rounds: int = 3,
                     salt: int = 8, also: dict[str, Column] | None = None) -> DataFrame:
     """One row per group with the exact quantiles ``names`` of ``value``.
 
-    Every pass counts values per (group, rank interval, bin).  The interval of a
-    rank shrinks by about ``bins`` per pass; two passes leave about one value in a
-    million.  Groups are joined to their intervals on ``keys`` plus a salt, so a
+    NULL, NaN and infinite values do not count.  Every pass counts values per (group, rank
+    interval, bin).  Bins are equally wide in every first pass and equally wide on a signed
+    logarithmic scale in every second one: values that spread over many powers of ten share
+    the first bins of the one and are parted by the other.  Three passes leave about one value in a
+    million of either kind.  Groups are joined to their intervals on ``keys`` plus a salt, so a
     group with a large part of all rows is spread over ``salt`` tasks, which adaptive
     execution splits further; with few groups Spark broadcasts the intervals instead.
 
@@ -76,7 +80,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     column ``_v`` to the first pass.
     """
     keys, also = list(keys), also or {}
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = df.select(*keys, clean_double(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
     n = F.col("_n")
     positions = [_position(n, p, kind) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[
@@ -111,11 +115,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         covered = F.filter("_ranks", lambda r: (r > F.col("_from")) & (r <= F.col("_upto")))
         return counted.withColumn("_ranks", covered).where(F.size("_ranks") > 0)
 
-    for _ in range(rounds):
-        width = F.col("_hi") - F.col("_lo")
-        bin_no = F.when(width > 0, F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)
-        )).otherwise(F.lit(0)).cast("int")
+    def on_log(c: str) -> Column:
+        # The exponent of a double is above -1100, so the scale keeps the order of all values.
+        return F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.signum(c) * (F.log2(F.abs(c)) + 1100))
+
+    for turn in range(rounds):
+        at, lo, hi = (on_log(c) if turn % 2 else F.col(c) / 2 for c in ("_v", "_lo", "_hi"))
+        width = hi - lo
+        bin_no = F.when(width > 0, F.greatest(F.lit(0), F.least(
+            F.floor((at - lo) / width * bins), F.lit(bins - 1)
+        ))).otherwise(F.lit(0)).cast("int")
         counts = spread(state).withColumn("_bin", bin_no).groupBy(*interval, "_bin").agg(
             F.count("*").alias("_c"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"),
             *[F.first(c).alias(c) for c in group_values],

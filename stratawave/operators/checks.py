@@ -147,9 +147,10 @@ def input_issues(baseline: DataFrame, shocked: DataFrame) -> DataFrame:
 
     def steps(df: DataFrame, name: str) -> DataFrame:
         # A set of steps: at most the horizon.
-        return df.groupBy("regime", "variable").agg(F.array_sort(F.collect_set("t")).alias(name))
+        return df.groupBy(*index, "regime", "variable").agg(F.array_sort(F.collect_set("t")).alias(name))
 
-    joint = steps(baseline, "_b").join(steps(shocked, "_s"), ["regime", "variable"], "full")
+    index = ["uncertainty"] if "uncertainty" in baseline.columns and "uncertainty" in shocked.columns else []
+    joint = steps(baseline, "_b").join(steps(shocked, "_s"), [*index, "regime", "variable"], "full")
     both = F.col("_b").isNotNull() & F.col("_s").isNotNull()
     aligned = joint.agg(
         one_if(F.count_if(both) == 0).alias("none"), F.count_if(both & (F.col("_b") != F.col("_s"))).alias("differ")

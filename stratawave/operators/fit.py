@@ -140,7 +140,7 @@ def threshold_candidates(rows: DataFrame, delays: Sequence[int], trim: float, ng
         return long, grids.select("model", "delay", F.array_distinct("grid").alias("grid"))
     ends = grid_quantiles(long, ["model", "delay"], "q", [trim, 1 - trim], kind=8)
     lo, hi = F.element_at("grid", 1), F.element_at("grid", 2)
-    steps = max(10, ngrid)
+    steps = max(2, ngrid)
     points = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: lo + (hi - lo) * i / (steps - 1))
     return long, ends.where(lo < hi).select("model", "delay", points.alias("grid"))
 

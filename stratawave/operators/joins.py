@@ -1,7 +1,6 @@
 """Panel and scenario joins.
 
-Only date tables are broadcast by hint: distinct dates are bounded by the calendar.
-Elsewhere Spark decides by the measured size of a side.
+No side is broadcast by hint: Spark decides by the measured size.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by:
 def merge_index(panel: DataFrame, index: DataFrame, date: str = "date", value: str = "value") -> DataFrame:
     """Left join of one index series (distinct dates) onto the panel."""
     one = index.select(date, value).dropDuplicates([date])
-    return panel.join(F.broadcast(one), date, "left")
+    return panel.join(one, date, "left")
 
 
 def match_rate(merged: DataFrame, value: str = "value") -> DataFrame:
@@ -39,7 +38,7 @@ def match_rate(merged: DataFrame, value: str = "value") -> DataFrame:
 
 def merge_all_indices(panel: DataFrame, indices: DataFrame, names: Sequence[str], date: str = "date") -> DataFrame:
     """All indices as columns: pivoted once, joined once."""
-    return panel.join(F.broadcast(to_wide(indices, [date], "index", "value", names)), date, "left")
+    return panel.join(to_wide(indices, [date], "index", "value", names), date, "left")
 
 
 def scenario_keys(*frames: DataFrame) -> list[str]:

@@ -36,23 +36,26 @@ def complete_grid(tidy: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Every scenario x regime x variable x t x baseline flag, values joined where they exist.
 
     Scenarios stay rows.  The other axes are the model's own sets (its regimes, its
-    variables, its horizon), bounded by the model, and come in as one scalar subquery.
+    variables, its horizon), bounded by the model.  With an ``uncertainty`` column every
+    index is a model of its own and part of the key.
     """
-    axes = tidy.agg(F.struct(
+    index = ["uncertainty"] if "uncertainty" in tidy.columns else []
+    axes = tidy.groupBy(*index).agg(F.struct(
         F.array_sort(F.collect_set("regime")).alias("regimes"),
         F.array_sort(F.collect_set("variable")).alias("variables"),
         F.sequence(F.min("t"), F.max("t")).alias("steps"),
-    ).alias("axes"))
+    ).alias("_axes"))
+    scenarios = tidy.select(*index, "scenario").distinct()
+    with_axes = scenarios.join(axes, index) if index else scenarios.withColumn("_axes", axes.scalar())
     grid = (
-        tidy.select("scenario").distinct()
-        .withColumn("_axes", axes.scalar())
+        with_axes
         .withColumn("regime", F.explode("_axes.regimes"))
         .withColumn("variable", F.explode("_axes.variables"))
         .withColumn("t", F.explode("_axes.steps"))
         .withColumn("is_baseline", F.explode(F.array(F.lit(True), F.lit(False))))
         .drop("_axes")
     )
-    keys = ["scenario", "regime", "variable", "t", "is_baseline"]
+    keys = [*index, "scenario", "regime", "variable", "t", "is_baseline"]
     return grid.join(tidy.select(*keys, "value", *extra), keys, "left")
 
 

@@ -62,14 +62,15 @@ def profile(horizon: int, start: Column, length: Column, kind: str = "constant",
 
 
 def shock_vector(impulses: DataFrame, variables: DataFrame, normalize: str = "sum1",
-                 aliases: Mapping[str, str] | None = None, ignore_case: bool = False) -> DataFrame:
+                 aliases: Mapping[str, str] | None = None, ignore_case: bool = False, unknown: str = "error") -> DataFrame:
     """Sizes per variable: ``(scenario, variable, size)``.
 
     ``impulses`` is ``(scenario, impulse, size, weight)``; a single impulse takes the size
     itself, a basket shares it by weight (``none``, ``sum1``/``l1`` or ``l2`` norm).
-    Unknown names are dropped here and reported by :func:`shock_vector_issues`.
+    Names that are no variables stop the query; with ``unknown="drop"`` their part of the
+    basket is left out, and the others keep their own share of all weights.
     """
-    named = resolve_names(impulses, variables, aliases, ignore_case)
+    named = resolve_names(impulses, variables, aliases, ignore_case, unknown)
     whole = W.partitionBy("scenario")
     w = F.coalesce("weight", F.lit(1.0))
     scale = {
@@ -80,16 +81,23 @@ def shock_vector(impulses: DataFrame, variables: DataFrame, normalize: str = "su
     single = F.count("*").over(whole) == 1
     return named.select(
         "scenario", "variable", F.when(single, F.col("size")).otherwise(F.col("size") * F.try_divide(w, scale)).alias("size")
-    )
+    ).where(F.col("variable").isNotNull())
 
 
 def resolve_names(impulses: DataFrame, variables: DataFrame, aliases: Mapping[str, str] | None = None,
-                  ignore_case: bool = False) -> DataFrame:
-    """Impulse names to model variables through aliases and, if asked, without case."""
+                  ignore_case: bool = False, unknown: str = "error") -> DataFrame:
+    """Impulse names to model variables through aliases and, if asked, without case.
+
+    A name that is no variable stops the query, or has a null variable with ``unknown="drop"``.
+    """
     name = scalars.lookup(F.col("impulse"), aliases or {}, default=F.col("impulse"))
     fold = F.lower if ignore_case else (lambda c: c)
     known = variables.select("variable", fold(F.col("variable")).alias("_key")).dropDuplicates(["_key"])
-    return impulses.withColumn("_key", fold(name)).join(known, "_key").drop("_key")
+    joined = impulses.withColumn("_key", fold(name)).join(known, "_key", "left").drop("_key")
+    if unknown == "drop":
+        return joined
+    stop = F.raise_error(F.concat(F.lit("no variable of the model: "), F.coalesce("impulse", F.lit("NULL"))))
+    return joined.withColumn("variable", F.when(F.col("variable").isNull(), stop).otherwise(F.col("variable")))
 
 
 def shock_vector_issues(impulses: DataFrame, variables: DataFrame, zero_tol: float = 1e-12) -> DataFrame:
@@ -139,7 +147,8 @@ def scale_by_sigma(sizes: DataFrame, sigma: DataFrame, scale: str = "sd", regime
 
     ``sigma`` is ``(variable, regime, sigma)``.  The regime asked for is used if the table
     has it, else combined, low, high in this order, for all variables alike.
-    ``winsor`` bounds sigma by its quantiles over the variables when there are at least ten.
+    ``winsor`` bounds sigma by its quantiles over the variables, however many there are.  Sizes
+    whose variable has no sigma stay, with null results.
     """
     if not 0 <= winsor < 0.5:
         raise ValueError("winsor must be in [0, 0.5)")
@@ -151,12 +160,11 @@ def scale_by_sigma(sizes: DataFrame, sigma: DataFrame, scale: str = "sd", regime
     if winsor > 0:
         stats = used.agg(
             F.percentile("sigma", F.lit(winsor)).alias("lo"), F.percentile("sigma", F.lit(1 - winsor)).alias("hi"),
-            F.count("*").alias("n"),
         )
         lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
-        value = F.when(stats.select("n").scalar() >= 10, F.least(F.greatest(value, lo), hi)).otherwise(value)
+        value = F.least(F.greatest(value, lo), hi)
     used = used.select("variable", F.col("regime").alias("sigma_regime"), F.greatest(value, F.lit(min_sigma)).alias("sigma_used"))
-    joined = sizes.join(used, "variable")
+    joined = sizes.join(used, "variable", "left")
     units = F.col("size")
     if cap_sd is not None:
         units = F.signum("size") * F.least(F.abs("size"), F.lit(abs(cap_sd)))

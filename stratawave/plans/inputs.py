@@ -168,7 +168,7 @@ def pair_vectors(spark: SparkSession, sf: str) -> DataFrame:
         [(m, s, i) for m, _, a, b in MODELS for i, s in enumerate((a, b))], "model string, series string, pos int"
     )
     drivers = spark.createDataFrame([(m, d) for m, d, _, _ in MODELS], "model string, index string")
-    q = indices(spark, sf, "week").join(F.broadcast(drivers), "index").select("model", "date", F.col("value").alias("q"))
+    q = indices(spark, sf, "week").join(drivers, "index").select("model", "date", F.col("value").alias("q"))
     return cut_lineage(fit.model_vectors(returns, members, q))
 
 

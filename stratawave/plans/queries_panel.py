@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +13,15 @@ from stratawave.operators import aggregate, checks, clean, joins, reshape, serie
 from stratawave.plans import inputs as I
 from stratawave.plans.registry import query
 from stratawave.schemas import LONG_PRICES, PANEL, struct
+from stratawave.session import checkpoint_folder
 from stratawave.sources import readers, specs, writers
 
 IDX = '"index"'
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    """A fresh place for a round trip: the shared folder if the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/roundtrip-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"stratawave-{name}-") + "/out"
+    """A fresh place for a round trip, in the folder that all executors share."""
+    return f"{checkpoint_folder(spark)}/roundtrip-{name}-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------ sources
@@ -548,13 +545,15 @@ def long_summary(spark, sf):
 
 
 @query("complete_grid", """
-SELECT s.scenario, r.regime, v.variable, CAST(x.t AS INTEGER) AS t, f.is_baseline, d.value
-FROM (SELECT DISTINCT scenario FROM tidy WHERE uncertainty = 'vol') s, (SELECT DISTINCT regime FROM tidy WHERE uncertainty = 'vol') r,
-  (SELECT DISTINCT variable FROM tidy WHERE uncertainty = 'vol') v, (SELECT unnest(range(1, 13)) AS t) x, (VALUES (TRUE), (FALSE)) AS f(is_baseline)
-LEFT JOIN (SELECT * FROM tidy WHERE uncertainty = 'vol') d
-  ON d.scenario = s.scenario AND d.regime = r.regime AND d.variable = v.variable AND d.t = x.t AND d.is_baseline = f.is_baseline""", digits=8)
+SELECT s.uncertainty, s.scenario, r.regime, v.variable, CAST(x.t AS INTEGER) AS t, f.is_baseline, d.value
+FROM (SELECT DISTINCT uncertainty, scenario FROM tidy) s JOIN (SELECT DISTINCT uncertainty, regime FROM tidy) r ON r.uncertainty = s.uncertainty
+JOIN (SELECT DISTINCT uncertainty, variable FROM tidy) v ON v.uncertainty = s.uncertainty
+JOIN (SELECT uncertainty, unnest(range(min(t), max(t) + 1)) AS t FROM tidy GROUP BY 1) x ON x.uncertainty = s.uncertainty, (VALUES (TRUE), (FALSE)) AS f(is_baseline)
+LEFT JOIN tidy d
+  ON d.uncertainty = s.uncertainty AND d.scenario = s.scenario AND d.regime = r.regime AND d.variable = v.variable AND d.t = x.t AND d.is_baseline = f.is_baseline""", digits=8)
 def complete_grid(spark, sf):
-    return reshape.complete_grid(I.tidy(spark, sf).where(F.col("uncertainty") == "vol"))
+    """Both indices, each with its own regimes, variables and steps."""
+    return reshape.complete_grid(I.tidy(spark, sf))
 
 
 @query("row_bind", "SELECT series, date, price + 0.0 AS price, NULL::DOUBLE AS value FROM prices UNION ALL SELECT \"index\", date, NULL, value + 0.0 FROM idx")

@@ -18,7 +18,7 @@ SELECT r.series, s."index", CASE s.state WHEN 1 THEN 'low' ELSE 'high' END AS re
 FROM ret r JOIN states s USING (date) WHERE r.ret IS NOT NULL AND s.state IS NOT NULL GROUP BY 1, 2, 3""")
 def returns_by_regime(spark, sf):
     """Flagship: lines to monthly panel, returns, smoothed and delayed index, states, moments."""
-    path = F.broadcast(I.states(spark, sf).where(F.col("state").isNotNull()).select("index", "date", "state"))
+    path = I.states(spark, sf).where(F.col("state").isNotNull()).select("index", "date", "state")
     rows = I.type_returns(spark, sf).where(F.col("ret").isNotNull()).join(path, "date")
     return rows.groupBy("series", "index", states.state_label(F.col("state")).alias("regime")).agg(
         F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.stddev_samp("ret").alias("sd_ret")

@@ -18,11 +18,11 @@ def read_specs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 
 def with_defaults(specs: DataFrame, horizon: int = 48) -> DataFrame:
-    """Type, regime and horizon defaults; the horizon is capped at the configured one."""
+    """Type, regime and horizon defaults; a horizon that is given stays."""
     return specs.withColumns({
         "type": F.lower(F.coalesce("type", F.lit("path"))),
         "regime": F.lower(F.coalesce("regime", F.lit("combined"))),
-        "horizon": F.least(F.coalesce("horizon", F.lit(horizon)), F.lit(horizon)),
+        "horizon": F.coalesce("horizon", F.lit(horizon)),
     })
 
 

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from stratawave.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="stratawave-tests-"),
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")

@@ -45,3 +45,15 @@ def test_grid_type8(spark):
     probs = np.linspace(0.15, 0.85, 15)
     got = grid_quantiles(df, ["key"], "v", probs).collect()[0]["grid"]
     np.testing.assert_allclose(got, np.quantile(values, probs, method="median_unbiased"), rtol=1e-12)
+
+
+def test_missing_and_infinite_values_do_not_count(spark):
+    df = spark.createDataFrame([(x,) for x in (float("nan"), float("inf"), None, 1.0, 2.0, 3.0)], "v double")
+    assert exact_quantiles(df, [], "v", [0.5], ["m"]).first()["m"] == 2.0
+
+
+def test_values_over_many_powers_of_ten(spark):
+    x = np.concatenate([10 ** np.linspace(-20, 20, 4001), -(10 ** np.linspace(-20, 20, 501)), np.zeros(9)])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    got = exact_quantiles(df, [], "v", PROBS, NAMES, bins=64).first()
+    np.testing.assert_allclose([got[n] for n in NAMES], np.quantile(x, PROBS), rtol=1e-12)

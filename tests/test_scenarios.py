@@ -173,3 +173,30 @@ def test_bad_sheet_month_fails(spark):
     df = spark.createDataFrame([("1960M01", 1.0), ("1960X", 2.0)], "m string, p double")
     with pytest.raises(Exception, match="bad month"):
         readers.sheet_dates(df, "m").collect()
+
+
+def test_given_horizon_stays(spark):
+    spec = spark.createDataFrame([("long", 60), ("open", None)], "name string, horizon int").selectExpr("*", "'path' AS type", "'low' AS regime")
+    assert {r["name"]: r["horizon"] for r in specs.with_defaults(spec).collect()} == {"long": 60, "open": 48}
+
+
+def test_unknown_names_stop_or_keep_the_share(spark):
+    basket = spark.createDataFrame([("s", "A", 1.0, 1.0), ("s", "ZZ", 1.0, 3.0)], "scenario string, impulse string, size double, weight double")
+    model = spark.createDataFrame([("A",), ("B",)], "variable string")
+    with pytest.raises(Exception, match="no variable of the model"):
+        scenarios.shock_vector(basket, model).collect()
+    assert [tuple(r) for r in scenarios.shock_vector(basket, model, unknown="drop").collect()] == [("s", "A", 0.25)]
+
+
+def test_sizes_without_sigma_stay(spark):
+    sizes = spark.createDataFrame([("A", 2.0), ("B", 1.0)], "variable string, size double")
+    sigma = spark.createDataFrame([("A", "combined", 0.5)], "variable string, regime string, sigma double")
+    got = {r["variable"]: r["scaled"] for r in scenarios.scale_by_sigma(sizes, sigma).collect()}
+    assert got == {"A": 1.0, "B": None}
+
+
+def test_grid_of_two_indices(spark):
+    rows = [("vol", "s", "low", "A", 1, False, 1.0), ("macro", "s", "low", "A", 1, False, 2.0), ("macro", "s", "low", "A", 2, False, 3.0)]
+    tidy = spark.createDataFrame(rows, "uncertainty string, scenario string, regime string, variable string, t int, is_baseline boolean, value double")
+    got = {(r["uncertainty"], r["t"]): r["shocked"] for r in scenarios.assemble(tidy, fill_grid=True).collect()}
+    assert got == {("vol", 1): 1.0, ("macro", 1): 2.0, ("macro", 2): 3.0}
