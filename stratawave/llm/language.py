@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, stored, summed, table
-from .tokens import batches
+from .tokens import batches, forget
 
 #: n-grams of 1 to 3 characters fall into 2^BITS buckets.
 BITS, GRAMS = 15, 3
@@ -170,6 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches_: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         own = shared.value
         for texts in batches_:
             yield pd.DataFrame([own(t) for t in texts], columns=["lang_pred", "score"])

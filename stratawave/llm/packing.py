@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int = LENGTH) ->
                 yield [doc_id, digest, start, len(piece) // 4, crc(piece), n]
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("hash"))
-    return rows.mapInArrow(batches(cut, _PIECES), "doc_id long, hash long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(batches(cut, _PIECES, encodes=True), "doc_id long, hash long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, room: int = LENGTH) -> DataFrame:

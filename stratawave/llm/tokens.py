@@ -155,6 +155,11 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return own[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this process: tasks of another kind need the memory."""
+    worker_state().pop("encoders", None)
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -165,9 +170,14 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data)
 
 
-def batches(function: Callable[[pa.RecordBatch], Iterator[list]], schema: pa.Schema, rows: int = 20_000) -> Callable:
-    """A function for mapInArrow: ``function`` yields rows (lists) for a batch, which go out ``rows`` at a time."""
+def batches(function: Callable[[pa.RecordBatch], Iterator[list]], schema: pa.Schema, rows: int = 20_000, encodes: bool = False) -> Callable:
+    """A function for mapInArrow: ``function`` yields rows (lists) for a batch, which go out ``rows`` at a time.
+
+    Unless it ``encodes``, the memory of earlier encoding tasks is given back first.
+    """
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget()
         held: list[list] = []
         for batch in source:
             for row in function(batch):
