@@ -450,7 +450,7 @@ def mass_report(spark, sf):
 SELECT 'error' AS level, 'baseline' AS "where", 't not a whole non-negative number' AS what, 0::BIGINT AS n_bad UNION ALL SELECT 'error', 'shocked', 't not a whole non-negative number', 0
 UNION ALL SELECT 'error', 'baseline', 'duplicate rows', 0 UNION ALL SELECT 'error', 'shocked', 'duplicate rows', (SELECT count(*) FROM shocked WHERE scenario = 'econ_drop' AND variable = 'SMALL')
 UNION ALL SELECT 'error', 'overlap', 'no common variables and regimes', 0
-UNION ALL SELECT 'error', 'alignment', 'different sets of t', (SELECT count(DISTINCT (regime, variable)) FROM shocked WHERE regime = 'high')""")
+UNION ALL SELECT 'error', 'alignment', 'different sets of t', (SELECT count(DISTINCT (uncertainty, regime, variable)) FROM shocked WHERE regime = 'high')""")
 def input_issues(spark, sf):
     """Duplicated shocked rows, and a baseline that stops early in one regime."""
     t = I.tidy(spark, sf)
