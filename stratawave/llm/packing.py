@@ -21,6 +21,8 @@ from .common import running, stored, table
 from .tokens import batches, crc, encoder, vocabulary
 
 LENGTH = 1024
+#: Pieces of text whose ids a worker remembers.
+MEMORY = 400_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
@@ -61,13 +63,15 @@ def places(found: list[tuple[int, tuple[int, ...]]]) -> pd.DataFrame:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int = LENGTH) -> DataFrame:
     """(doc_id, hash, start, length, ids_crc32, doc_tokens) of the pieces of docs (doc_id, text); whole texts, read once."""
     def cut(batch: pa.RecordBatch):
-        encode, end = encoder(tokenizer, spaced=True), int(end_id).to_bytes(4, "little")
-        for doc_id, digest, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-            data = ids + end
-            n = len(data) // 4
-            for start in range(0, n, room):
-                piece = data[4 * start:4 * (start + room)]
-                yield [doc_id, digest, start, len(piece) // 4, crc(piece), n]
+        encode, end = encoder(tokenizer, spaced=True, most=MEMORY), int(end_id).to_bytes(4, "little")
+        for first in range(0, batch.num_rows, 1000):
+            ids_, texts, hashes = (c.to_pylist() for c in batch.slice(first, 1000).columns)
+            for doc_id, digest, ids in zip(ids_, hashes, encode(texts), strict=True):
+                data = ids + end
+                n = len(data) // 4
+                for start in range(0, n, room):
+                    piece = data[4 * start:4 * (start + room)]
+                    yield [doc_id, digest, start, len(piece) // 4, crc(piece), n]
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("hash"))
     return rows.mapInArrow(batches(cut, _PIECES, encodes=True), "doc_id long, hash long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -147,11 +147,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, most: int = 1_000_000) -> Encoder:
     """The encoder of a vocabulary file, one in each Python worker."""
     own = worker_state().setdefault("encoders", {})
     if path not in own:
-        own[path] = Encoder(path, spaced)
+        own[path] = Encoder(path, spaced, most)
     return own[path]
 
 
