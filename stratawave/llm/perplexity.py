@@ -1,8 +1,12 @@
 """LM scoring by cross-entropy difference.
 
-A target and a background model of word pairs share one vocabulary, order and smoothing, and the background's counts
-are scaled to the target's total, so that they differ by their texts only.  A document's score is the mean over its
-tokens of target loss minus background loss: low scores are closer to the target.
+A target and a background model share one vocabulary, order and smoothing, and the background's counts are scaled to
+the target's total, so that they differ by their texts only.  The vocabulary holds every word.  The most frequent words
+are classes of their own, all others share one class: a token's loss is that of its class after the class before it,
+plus, for the shared class, that of the word within it.  Class pairs are a table of bounded size; the words of the shared
+class grow with the corpus and are counted and looked up by joins.  None of them is hot, as each is rarer than every
+frequent word.  A document's score is the mean over its tokens of target loss minus background loss: low scores are
+closer to the target.
 """
 
 from __future__ import annotations
@@ -12,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 from .tokens import batches
 
-#: Entries of the vocabulary: unknown word, document edge, and the most frequent words.  Pairs number SIZE^2 at most.
+#: Classes: all other words, document edge, and the most frequent words.  Class pairs number SIZE^2 at most.
 SIZE = 4096
-UNKNOWN, EDGE = 0, 1
+OTHER, EDGE = 0, 1
 #: Weight of the single-word distribution against the counts of a context.
 PRIOR = 50.0
 #: A task passes its counts on when it holds so many words, to bound its memory.
@@ -57,17 +62,20 @@ def vocabulary(docs: DataFrame, size: int = SIZE) -> dict[bytes, int]:
 
 
 def encoded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids) of each row of docs (doc_id, text): vocabulary entries of its words as unsigned 16-bit integers."""
+    """(doc_id, ids, words, times) of each row of docs (doc_id, text): the classes of its words as unsigned 16-bit
+    integers, and its distinct words of the shared class, named by their 64-bit hashes, with their numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def encode(batch: pa.RecordBatch):
         own = shared.value
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = words(text)
-            yield [doc_id, np.fromiter((own.get(w, UNKNOWN) for w in found), "<u2", len(found)).tobytes()]
+            times = Counter(w for w in found if w not in own)
+            names = np.fromiter(map(xxhash.xxh64_intdigest, times), np.uint64, len(times)).view(np.int64)
+            yield [doc_id, np.fromiter((own.get(w, OTHER) for w in found), "<u2", len(found)).tobytes(), names, list(times.values())]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(encode, schema, 2_000), "doc_id long, ids binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(encode, schema, 2_000), "doc_id long, ids binary, words array<long>, times array<int>")
 
 
 def pair_keys(ids: bytes, size: int) -> np.ndarray:
@@ -105,9 +113,9 @@ def pair_counts(coded: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def losses(target: DataFrame, background: DataFrame, size: int = SIZE, prior: float = PRIOR) -> np.ndarray:
-    """Target loss minus background loss for each pair of the background, 0 for pairs that never occur.
+    """Target loss minus background loss for each class pair of the background, 0 for pairs that never occur.
 
-    A pair's probability mixes its count with the single-word distribution (add-one over the vocabulary), which weighs
+    A pair's probability mixes its count with the single-class distribution (add-one over the classes), which weighs
     as much as ``prior`` tokens.  The result has size^2 numbers whatever the input.
     """
     pairs = stored(background.withColumnRenamed("n", "b").join(target.withColumnRenamed("n", "t"), "key", "left").na.fill(0, ["t"]), "lm-pairs")
@@ -137,29 +145,50 @@ def _chunks(pairs: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy().astype(float)
 
 
+def word_gains(coded: DataFrame) -> DataFrame:
+    """(row, gain): for each document, target loss minus background loss of its words within the shared class, summed.
+
+    Both models add one to the counts of every word, and the background's counts are scaled to the target's total in
+    the class, so that the denominators are equal and cancel.  Counts cover every word of every document.
+    """
+    each = coded.select("row", "wanted", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+    counts = stored(each.groupBy("word").agg(F.sum("times").alias("b"), F.sum(F.when(F.col("wanted"), F.col("times")).otherwise(0)).alias("t")), "lm-words")
+    b_all, t_all = counts.agg(F.sum("b"), F.sum("t")).first()
+    scale = (t_all or 0) / b_all if b_all else 0.0
+    gains = counts.select("word", (F.log1p(F.col("b") * F.lit(scale)) - F.log1p("t")).alias("gain"))
+    # The words grow with the corpus, so they are never broadcast.
+    met = each.select("row", "word", "times").join(gains.hint("merge"), "word")
+    return met.groupBy("row").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"))
+
+
 def scores(docs: DataFrame, target_ids: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_tokens, score) of each row of docs (doc_id, text); target_ids (doc_id) names the target documents.
 
-    * Counts cover all documents, those of the target included in the background.
+    * Counts cover all documents and words, those of the target included in the background.
     * n_tokens: words and the closing edge, so an empty or null text has one token and a score.
     * Without target documents both models are the same but for the counts, and scores say nothing.  Repeated rows count as
       often as they occur.  Null ids are never in the target.  An empty table gives no rows.
+    * ``size`` bounds the classes only, never the vocabulary.  Scores are rounded to nine digits, as sums over tasks
+      have no fixed order.
     """
-    coded = stored(encoded(docs, vocabulary(docs, size)), "lm-coded")
     # The target grows with the corpus, so it is never broadcast.
-    wanted = target_ids.filter("doc_id IS NOT NULL").select("doc_id").distinct().hint("merge")
-    background = pair_counts(coded, size)
-    target = pair_counts(coded.join(wanted, "doc_id", "left_semi"), size)
+    wanted = target_ids.filter("doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("wanted")).distinct().hint("merge")
+    coded = encoded(docs, vocabulary(docs, size)).join(wanted, "doc_id", "left")
+    coded = stored(coded.withColumn("wanted", F.coalesce("wanted", F.lit(False))).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+    background, target = pair_counts(coded, size), pair_counts(coded.filter("wanted"), size)
     shared = docs.sparkSession.sparkContext.broadcast(losses(target, background, size))
 
     def score(batch: pa.RecordBatch):
         loss = shared.value
-        for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for row, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             keys = pair_keys(ids, size)
-            yield [doc_id, len(keys), float(loss[keys].mean(dtype=np.float64))]
+            yield [row, doc_id, len(keys), float(loss[keys].sum(dtype=np.float64))]
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-    return coded.mapInArrow(batches(score, schema), "doc_id long, n_tokens long, score double")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("total", pa.float64())])
+    pairs = coded.select("row", "doc_id", "ids").mapInArrow(batches(score, schema), "row long, doc_id long, n_tokens long, total double")
+    both = pairs.join(word_gains(coded).hint("merge"), "row", "left")
+    total = F.col("total") + F.coalesce("gain", F.lit(0.0))
+    return both.select("doc_id", "n_tokens", F.round(total / F.col("n_tokens"), 9).alias("score"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,11 +296,12 @@ def test_language(spark, docs, none, sf):
     assert kept.columns == docs.columns and kept.filter("text IS NULL OR text = '1234 5678 !!'").count() == 0
 
 
-def test_lm_scores_by_hand(spark, docs):
+@pytest.mark.parametrize("size", [7, 12])
+def test_lm_scores_by_hand(spark, docs, size):
     ids = spark.createDataFrame([(1,), (2,), (7,), (None,)], "doc_id long")
-    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in perplexity.scores(docs, ids, 12).collect())
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in perplexity.scores(docs, ids, size).collect())
     split = [[x.encode() for x in words(lower(t))] for _, t, _, _ in TEXTS]
-    top = sorted(Counter(w for x in split for w in x).items(), key=lambda x: (-x[1], x[0]))[:10]
+    top = sorted(Counter(w for x in split for w in x).items(), key=lambda x: (-x[1], x[0]))[:size - 2]
     entry = {w: i for i, (w, _) in enumerate(top, 2)}
     rows = [[1, *(entry.get(w, 0) for w in x), 1] for x in split]
     pairs = [list(zip(r, r[1:], strict=False)) for r in rows]
@@ -311,10 +312,21 @@ def test_lm_scores_by_hand(spark, docs):
     def loss(c, k, p):
         left = sum(n for q, n in c.items() if q[0] == p[0]) * k
         right = sum(n for q, n in c.items() if q[1] == p[1]) * k
-        alone = (right + 1) / (sum(c.values()) * k + 12)
+        alone = (right + 1) / (sum(c.values()) * k + size)
         return -np.log((c[p] * k + perplexity.PRIOR * alone) / (left + perplexity.PRIOR))
 
-    want = Counter((i, len(x), round(float(np.mean([loss(t, 1, p) - loss(b, scale, p) for p in x])), 4)) for (i, *_), x in zip(TEXTS, pairs, strict=True))
+    others = [[w for w in x if w not in entry] for x in split]
+    ob = Counter(w for x in others for w in x)
+    ot = Counter(w for (i, *_), x in zip(TEXTS, others, strict=True) if i in (1, 2, 7) for w in x)
+    assert ob and (ot or size == 12)
+    within = sum(ot.values()) / sum(ob.values())
+
+    def gain(w):
+        n = sum(ot.values()) + len(ob)
+        return np.log((ob[w] * within + 1) / n) - np.log((ot[w] + 1) / n)
+
+    want = Counter((i, len(x), round(float(np.mean([loss(t, 1, p) - loss(b, scale, p) for p in x]) + sum(map(gain, o)) / len(x)), 4))
+                   for (i, *_), x, o in zip(TEXTS, pairs, others, strict=True))
     assert set(k[:2] for k in got) == set(k[:2] for k in want)
     assert sorted(k[2] for k in got.elements()) == pytest.approx(sorted(k[2] for k in want.elements()), abs=2e-3)
 
