@@ -7,7 +7,6 @@ the tables have it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -164,44 +163,34 @@ def by_regime(delta: DataFrame, metric: str = "abs") -> DataFrame:
     ).drop("_g")
 
 
-def shapley(single_delta: DataFrame, shock_map: DataFrame, exact_up_to: int = 7, n_perm: int = 512,
-            seed: int = 1) -> DataFrame:
-    """Shapley value of each shock under superposition.
+def shapley(single_delta: DataFrame, shock_map: DataFrame) -> DataFrame:
+    """Shapley value of each shock under superposition, for any number of shocks.
 
-    All orders of the shocks if a scenario has at most ``exact_up_to``, else ``n_perm``
-    orders sorted by hashes of (seed, scenario, draw, shock).  A shock's marginal change
-    is the running sum of weighted deltas with it minus without it, averaged over orders.
-    Orders are a table of a scenario's shocks (few rows); paths join afterwards.
+    Effects add up, so a shock changes a path by its weighted delta whichever shocks are there before it: the mean over
+    all orders is that delta.
     """
-    counted = shock_map.withColumns({
-        "_pos": F.row_number().over(W.partitionBy("scenario").orderBy("shock_id")),
-        "_k": F.count("*").over(W.partitionBy("scenario")),
-    })
-    orders = {k: [list(p) for p in permutations(range(1, k + 1))] for k in range(1, exact_up_to + 1)}
-    spark = shock_map.sparkSession
-    table = spark.createDataFrame(
-        [(k, i, int(shock), place + 1) for k, perms in orders.items() if k <= exact_up_to
-         for i, perm in enumerate(perms, 1) for place, shock in enumerate(perm)],
-        "_k int, perm int, _pos int, place int",
-    )
-    exact = counted.where(F.col("_k") <= exact_up_to).withColumn("_k", F.col("_k").cast("int")).join(table, ["_k", "_pos"]).select(
-        "scenario", "shock_id", "weight", "perm", "place", F.lit("exact").alias("method")
-    )
-    drawn = counted.where(F.col("_k") > exact_up_to).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    keys = _with_unc(single_delta, ["regime", "variable", "t"])
+    joined = salted_join(single_delta, shock_map, ["shock_id"], ["regime", "variable", "t"])
+    return joined.select("scenario", "shock_id", *keys, F.lit("exact").alias("method"), (F.col("weight") * F.col("delta")).alias("shapley"))
+
+
+def shapley_sampled(single_delta: DataFrame, shock_map: DataFrame, n_perm: int = 512, seed: int = 1) -> DataFrame:
+    """Mean marginal change of each shock over ``n_perm`` orders, sorted by hashes of (seed, scenario, order, shock).
+
+    A marginal change is the running sum of weighted deltas with the shock minus without it.  Every path is repeated for
+    every order: :func:`shapley` gives the same value under superposition, and this shows it.
+    """
+    drawn = shock_map.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     by_hash = W.partitionBy("scenario", "perm").orderBy(F.xxhash64(F.lit(seed), "scenario", "perm", "shock_id"), "shock_id")
-    sampled = drawn.withColumn("place", F.row_number().over(by_hash)).select(
-        "scenario", "shock_id", "weight", "perm", "place", F.lit("sampled").alias("method")
-    )
-    ordered = salted_join(
-        single_delta, exact.unionByName(sampled), ["shock_id"], ["regime", "variable", "t"]
-    ).withColumn("_d", F.col("weight") * F.col("delta"))
-    path_keys = _with_unc(single_delta, ["regime", "variable", "t"])
-    path = W.partitionBy("scenario", "perm", *path_keys).orderBy("place")
+    orders = drawn.withColumn("place", F.row_number().over(by_hash))
+    ordered = salted_join(single_delta, orders, ["shock_id"], ["regime", "variable", "t"]).withColumn(
+        "_d", F.col("weight") * F.col("delta"))
+    keys = _with_unc(single_delta, ["regime", "variable", "t"])
+    path = W.partitionBy("scenario", "perm", *keys).orderBy("place")
     with_it = F.sum("_d").over(path.rowsBetween(W.unboundedPreceding, W.currentRow))
     without = F.coalesce(F.sum("_d").over(path.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return ordered.withColumn("_m", with_it - without).groupBy("scenario", "shock_id", *path_keys, "method").agg(
-        F.avg("_m").alias("shapley"), F.count("*").alias("perms_used")
-    )
+    return ordered.withColumn("_m", with_it - without).groupBy("scenario", "shock_id", *keys).agg(
+        F.lit("sampled").alias("method"), F.avg("_m").alias("shapley"), F.count("*").alias("perms_used"))
 
 
 def mass_balance(contrib: DataFrame, delta: DataFrame, tol: float = 1e-10, include_residual: bool = False) -> DataFrame:
@@ -239,12 +228,12 @@ def peak_horizons(delta: DataFrame) -> DataFrame:
 
 
 def _at(table: DataFrame, delta: DataFrame | None, at: str) -> DataFrame:
-    """Rows at the peak step of their scenario and regime, or at the last step of all."""
+    """Rows at the peak step, or at the last step, of their scenario and regime."""
+    keys = _with_unc(table, ["scenario", "regime"])
     if at == "peak":
-        keys = _with_unc(table, ["scenario", "regime"])
         peaks = peak_horizons(delta).select(*keys, F.col("t_peak").alias("t"))
         return table.join(peaks, [*keys, "t"], "left_semi")
-    return table.where(F.col("t") == table.agg(F.max("t").alias("h")).select("h").scalar())
+    return table.join(table.groupBy(*keys).agg(F.max("t").alias("t")), [*keys, "t"], "left_semi")
 
 
 def _top3(value: str, keys: Sequence[str]) -> Column:

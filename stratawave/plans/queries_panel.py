@@ -390,7 +390,18 @@ def varying_series(spark, sf):
     return clean.varying_series(_with_copies(spark, sf)).groupBy("series").agg(F.count("*").alias("n"))
 
 
-@query("duplicate_series", "SELECT * FROM (VALUES ('X_COPY', 'SMALL'), ('Y_NEAR', 'LARGE')) AS v(series, duplicate_of) WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("duplicate_series", """
+WITH c AS (
+  SELECT series, date, ret FROM ret WHERE ret IS NOT NULL
+  UNION ALL SELECT 'X_COPY', date, ret FROM ret WHERE ret IS NOT NULL AND series = 'SMALL'
+  UNION ALL SELECT 'Y_NEAR', date, ret * (1 + 1e-10::DOUBLE) FROM ret WHERE ret IS NOT NULL AND series = 'LARGE'
+  UNION ALL SELECT 'Z_FLAT', date, 0.25 FROM ret WHERE ret IS NOT NULL AND series = 'SMALL'),
+n AS (SELECT series, count(*) AS n FROM c GROUP BY 1),
+same AS (
+  SELECT a.series AS first, b.series FROM c a JOIN c b ON b.date = a.date AND b.series > a.series
+  JOIN n na ON na.series = a.series JOIN n nb ON nb.series = b.series
+  GROUP BY a.series, b.series, na.n, nb.n HAVING count(*) = na.n AND na.n = nb.n AND sum(abs(a.ret - b.ret)) <= 1.5e-8::DOUBLE * sum(abs(a.ret)))
+SELECT series, min(first) AS duplicate_of FROM same GROUP BY 1""")
 def duplicate_series(spark, sf):
     return clean.duplicate_series(_with_copies(spark, sf))
 

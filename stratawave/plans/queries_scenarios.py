@@ -420,7 +420,7 @@ def effects_by_regime_signed(spark, sf):
     return contrib.by_regime(I.deltas(spark, sf), "signed")
 
 
-_SHAP = f"""SELECT uncertainty, scenario, shock_id, regime, variable, t::INT AS t, {{method}} AS method, round(weight * delta, 8) + 0.0 AS shapley, CASE scenario WHEN 'basket' THEN {{perms}} ELSE 1 END AS perms_used
+_SHAP = f"""SELECT uncertainty, scenario, shock_id, regime, variable, t::INT AS t, {{method}} AS method, round(weight * delta, 8) + 0.0 AS shapley{{perms}}
 FROM single JOIN (VALUES {_map}) AS m(scenario, shock_id, weight) USING (shock_id)"""
 
 
@@ -428,16 +428,16 @@ def _unit_deltas(spark, sf):
     return _single(spark, sf).withColumnRenamed("value", "delta")
 
 
-@query("shapley_exact", _SHAP.format(method="'exact'", perms=6), digits=8)
+@query("shapley_exact", _SHAP.format(method="'exact'", perms=""), digits=8)
 def shapley_exact(spark, sf):
-    """All orders of the shocks; under superposition the value is weight times delta."""
+    """Under superposition the value is weight times delta."""
     return contrib.shapley(_unit_deltas(spark, sf), _shock_map(spark))
 
 
-@query("shapley_sampled", _SHAP.format(method="CASE scenario WHEN 'basket' THEN 'sampled' ELSE 'exact' END", perms=64), digits=8)
+@query("shapley_sampled", _SHAP.format(method="'sampled'", perms=", 64 AS perms_used"), digits=8)
 def shapley_sampled(spark, sf):
-    """Orders drawn by hash, as for scenarios with many shocks."""
-    return contrib.shapley(_unit_deltas(spark, sf), _shock_map(spark), exact_up_to=1, n_perm=64)
+    """Orders drawn by hash."""
+    return contrib.shapley_sampled(_unit_deltas(spark, sf), _shock_map(spark), 64)
 
 
 @query("mass_report", """
@@ -497,19 +497,22 @@ def concentration_peak(spark, sf):
     return contrib.concentration(parts, delta)
 
 
-@query("concentration_terminal", _conc("contrib c WHERE t = (SELECT max(t) FROM contrib)").replace(" WINDOW w AS", " WINDOW w AS"))
+_LAST = "(SELECT * FROM contrib QUALIFY t = max(t) OVER (PARTITION BY uncertainty, scenario, regime))"
+
+
+@query("concentration_terminal", _conc(f"{_LAST} c"))
 def concentration_terminal(spark, sf):
     return contrib.concentration(I.contributions(spark, sf), at="terminal")
 
 
-@query("index_agreement", """
+@query("index_agreement", f"""
 WITH v AS (SELECT scenario, regime, shock_id, sum(CASE WHEN uncertainty = 'vol' THEN contribution ELSE 0 END) AS a, sum(CASE WHEN uncertainty = 'macro' THEN contribution ELSE 0 END) AS b
-  FROM contrib WHERE t = (SELECT max(t) FROM contrib) GROUP BY 1, 2, 3),
+  FROM {_LAST} c GROUP BY 1, 2, 3),
 r AS (SELECT scenario, regime, rank() OVER (PARTITION BY scenario, regime ORDER BY a) + (count(*) OVER (PARTITION BY scenario, regime, a) - 1) / 2.0 AS ra,
   rank() OVER (PARTITION BY scenario, regime ORDER BY b) + (count(*) OVER (PARTITION BY scenario, regime, b) - 1) / 2.0 AS rb FROM v)
 SELECT scenario, regime, 'macro~vol' AS pair, round(corr(ra, rb), 6) + 0.0 AS rho FROM r GROUP BY 1, 2""")
 def index_agreement(spark, sf):
-    """Rank correlation of the shock totals of two indices at the last step."""
+    """Rank correlation of the shock totals of two indices at the last step of each scenario."""
     return contrib.index_agreement(I.contributions(spark, sf), ["vol", "macro"], at="terminal")
 
 

@@ -1,6 +1,7 @@
 """Scenario, decomposition and score rules on small frames and the published tables."""
 
 import math
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,14 +68,32 @@ def test_proportional_scale_falls_back_to_a_residual(spark):
     assert rows[(2, "residual")] == pytest.approx(-0.5)
 
 
-def test_shapley_equals_weighted_delta(spark):
-    single = spark.createDataFrame([(k, "low", "y", 1, v) for k, v in [("a", 1.0), ("b", -2.0), ("c", 0.5)]], "shock_id string, regime string, variable string, t int, delta double")
-    smap = spark.createDataFrame([("s", "a", 2.0), ("s", "b", 1.0), ("s", "c", -1.0)], "scenario string, shock_id string, weight double")
-    want = {"a": 2.0, "b": -2.0, "c": -0.5}
-    for options, perms in (({}, 6), ({"exact_up_to": 2, "n_perm": 20}, 20)):
-        rows = contrib.shapley(single, smap, **options).collect()
-        assert {r["shock_id"]: round(r["shapley"], 12) for r in rows} == want
-        assert {r["perms_used"] for r in rows} == {perms}
+def test_shapley_equals_all_orders(spark):
+    deltas, weights = {"a": 1.0, "b": -2.0, "c": 0.5}, {"a": 2.0, "b": 1.0, "c": -1.0}
+    single = spark.createDataFrame([(k, "low", "y", 1, v) for k, v in deltas.items()], "shock_id string, regime string, variable string, t int, delta double")
+    smap = spark.createDataFrame([("s", k, w) for k, w in weights.items()], "scenario string, shock_id string, weight double")
+    want = dict.fromkeys(deltas, 0.0)
+    for order in permutations(deltas):
+        total = 0.0
+        for k in order:
+            want[k] += ((total + weights[k] * deltas[k]) - total) / 6
+            total += weights[k] * deltas[k]
+    for found in (contrib.shapley(single, smap), contrib.shapley_sampled(single, smap, 20)):
+        assert {r["shock_id"]: r["shapley"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_shapley_with_many_shocks(spark):
+    single = spark.createDataFrame([(f"k{i}", "low", "y", t, float(i * t)) for i in range(12) for t in (1, 2)], "shock_id string, regime string, variable string, t int, delta double")
+    smap = spark.createDataFrame([("s", f"k{i}", 0.5) for i in range(12)], "scenario string, shock_id string, weight double")
+    got = {(r["shock_id"], r["t"]): r["shapley"] for r in contrib.shapley(single, smap).collect()}
+    assert got == {(f"k{i}", t): 0.5 * i * t for i in range(12) for t in (1, 2)}
+
+
+def test_last_step_of_each_scenario(spark):
+    rows = [("s", 1, "a", 1.0), ("s", 2, "a", 3.0), ("s", 2, "b", 1.0), ("short", 1, "a", 2.0)]
+    parts = spark.createDataFrame([(sc, "low", "y", t, k, v) for sc, t, k, v in rows], "scenario string, regime string, variable string, t int, shock_id string, contribution double")
+    got = {r["scenario"]: r["herfindahl"] for r in contrib.concentration(parts, at="terminal").collect()}
+    assert got == pytest.approx({"s": 0.625, "short": 1.0})
 
 
 def test_waterfall_offsets(spark):
