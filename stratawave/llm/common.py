@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from math import ceil, isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -122,7 +121,8 @@ def remainder(column: Column, n: int) -> Column:
 def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """Sum over all rows of the matrix (of fixed shape) that ``matrix`` gives for a batch.
 
-    Each task adds its own part; the parts are added row by row of the matrix, and only the sum goes to the driver.
+    Each task adds its own part; the parts are added entry by entry, so no task holds the parts of all others, and only
+    the sum goes to the driver.  Without rows the result is empty.
     """
     def part(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -133,8 +133,10 @@ def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> n
         if total is not None:
             yield pa.record_batch([pa.array(range(len(total)), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": group["i"].iloc[:1], "v": [np.sum(np.stack(group["v"].to_list()), axis=0)]})
-
-    parts = rows.mapInArrow(part, "i long, v array<double>")
-    return np.array([r["v"] for r in parts.groupBy("i").applyInPandas(add, "i long, v array<double>").orderBy("i").collect()])
+    parts = rows.mapInArrow(part, "i long, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
+    sums = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    if sums.empty:
+        return np.zeros(0)
+    out = np.zeros((int(sums["i"].max()) + 1, int(sums["j"].max()) + 1))
+    out[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["x"].to_numpy()
+    return out
