@@ -8,6 +8,8 @@ and on through everything that is near enough.  Every link found is verified in
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -133,21 +135,28 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, nodes.withColumn("place", F.shiftrightunsigned(F.xxhash64("label", "embedding"), 11) / float(1 << 53))
 
 
-def centres_of(nodes: DataFrame, per_centre: int, most: int) -> pd.DataFrame:
-    """Centres: a bounded sample of the nodes by hash, at least one for each label and vector length."""
-    n = nodes.count()
-    share = min(1.0 / per_centre, most / max(1, n))
-    first = nodes.groupBy("label", "size").agg(F.min("place").alias("first"))
-    chosen = nodes.join(first, ["label", "size"]).filter((F.col("place") < share) | (F.col("place") == F.col("first")))
-    return chosen.select("label", "size", "embedding", "place").dropDuplicates(["label", "size", "place"]).orderBy("label", "size", "place").toPandas()
+def centres_of(nodes: DataFrame, per_centre: int, most: int) -> tuple[DataFrame, pd.DataFrame]:
+    """(nodes to deal, centres): a group is the nodes of one label and vector length.
+
+    A group of one node has no links and is not dealt.  A group that fits a shard is one, ``alone``.  Larger groups have
+    centres: a sample of their nodes by hash, at least one for each.  As every such group holds over n / ``most`` nodes, the
+    centres number about 2 * ``most`` at most, however many labels there are.
+    """
+    room = max(per_centre, ceil(nodes.count() / most))
+    groups = stored(nodes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n_group"), F.min("place").alias("first"), F.min("node").alias("least_node")), "vector-groups")
+    groups = groups.filter("n_group > 1").withColumn("alone", F.when(F.col("n_group") <= room, -1 - F.col("least_node")))
+    marked = nodes.join(groups.drop("n_group", "least_node"), ["label", "size"])
+    chosen = marked.filter(F.col("alone").isNull() & ((F.col("place") < 1.0 / room) | (F.col("place") == F.col("first"))))
+    centres = chosen.select("label", "size", "embedding", "place").dropDuplicates(["label", "size", "place"]).orderBy("label", "size", "place").toPandas()
+    return marked.drop("first"), centres
 
 
-def dealt(nodes: DataFrame, centres: pd.DataFrame, overlap: int) -> DataFrame:
+def dealt(marked: DataFrame, centres: pd.DataFrame, overlap: int) -> DataFrame:
     """(shard, own, node, times, embedding): every node in the shards of its nearest centres, ``own`` in the nearest one's."""
     by_key = {}
     for key, group in centres.groupby(["label", "size"]):
         by_key[key] = (group.index.to_numpy(), _unit(group["embedding"].to_list()))
-    shared = nodes.sparkSession.sparkContext.broadcast(by_key)
+    shared = marked.sparkSession.sparkContext.broadcast(by_key)
 
     def deal(source):
         for frame in source:
@@ -158,7 +167,9 @@ def dealt(nodes: DataFrame, centres: pd.DataFrame, overlap: int) -> DataFrame:
                 for i in range(order.shape[1]):
                     yield pd.DataFrame({"shard": shards[order[:, i]], "own": i == 0, "node": group["node"], "times": group["times"], "embedding": group["embedding"]})
 
-    return nodes.select("label", "size", "node", "times", "embedding").mapInPandas(deal, "shard long, own boolean, node long, times long, embedding array<double>")
+    alone = marked.filter("alone IS NOT NULL").select(F.col("alone").alias("shard"), F.lit(True).alias("own"), "node", "times", "embedding")
+    spread = marked.filter("alone IS NULL").select("label", "size", "node", "times", "embedding")
+    return alone.union(spread.mapInPandas(deal, "shard long, own boolean, node long, times long, embedding array<double>"))
 
 
 def graph(members: DataFrame) -> DataFrame:
@@ -230,23 +241,19 @@ def near_duplicates(vectors: DataFrame, per_centre: int = SHARD, overlap: int =
     * Vectors that are null, empty, zero or hold null or non-finite values link with nothing and stay.
     * Equal vectors are one node and count as links of each other; they are not expanded into pairs.
     * n_links: rows linked directly; component_id: least vec_id over links.  Repeated ids are rows of their own.
-    * Centres are a sample of at most MOST_CENTRES nodes and one for each label; every node is indexed and searched.  If the
+    * Centres are a sample of about 2 * MOST_CENTRES nodes at most; every node with others of its label is indexed and searched.  If the
       audit finds fewer than RECALL of the links, the overlap doubles and the graph is built again.
     """
     rows, nodes = nodes_of(vectors)
-    centres = centres_of(nodes, per_centre, MOST_CENTRES)
-    recall, links = 1.0, None
-    if len(centres):
-        for _ in range(ROUNDS):
-            members = stored(dealt(nodes, centres, overlap), "vector-shards")
-            lists = stored(graph(members), "vector-graph")
-            links = stored(found_links(nodes, members, lists), "vector-links")
-            recall = audit(nodes, links.filter("n IS NOT NULL").select("node", "n"))
-            if recall >= RECALL:
-                break
-            overlap *= 2
-    if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), recall
+    marked, centres = centres_of(nodes, per_centre, MOST_CENTRES)
+    for _ in range(ROUNDS):
+        members = stored(dealt(marked, centres, overlap), "vector-shards")
+        lists = stored(graph(members), "vector-graph")
+        links = stored(found_links(nodes, members, lists), "vector-links")
+        recall = audit(nodes, links.filter("n IS NOT NULL").select("node", "n"))
+        if recall >= RECALL:
+            break
+        overlap *= 2
     parts = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
     counts = links.groupBy("node").agg(F.max("n").alias("n"))
     named = nodes.select("node", "label", "embedding", "times", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counts, "node", "left")
