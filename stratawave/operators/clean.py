@@ -7,7 +7,6 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -283,8 +282,3 @@ def canonical_panel(df: DataFrame, series: str = "series") -> DataFrame:
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Row bind; columns that a frame lacks become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")

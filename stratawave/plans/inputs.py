@@ -99,6 +99,10 @@ cte("bret", """
 SELECT series, date, price,
   CASE WHEN lag(price) OVER w > 0 AND price > 0 THEN ln(price / lag(price) OVER w) END AS ret
 FROM gappy WINDOW w AS (PARTITION BY series ORDER BY date)""")
+cte("fret", """
+SELECT series, date, price,
+  CASE WHEN lag(price) OVER w > 0 AND price > 0 THEN ln(price / lag(price) OVER w) END AS ret
+FROM brands WINDOW w AS (PARTITION BY series ORDER BY date)""")
 cte("wret", """
 SELECT series, date, CASE WHEN lag(price) OVER w > 0 AND price > 0 THEN ln(price / lag(price) OVER w) END AS ret
 FROM weekly WINDOW w AS (PARTITION BY series ORDER BY date)""")

@@ -183,12 +183,12 @@ def threshold_search_wide(spark, sf):
 
 _ROOT = """CASE WHEN (b11 + b22) * (b11 + b22) - 4 * (b11 * b22 - b12 * b21) >= 0
   THEN (abs(b11 + b22) + sqrt((b11 + b22) * (b11 + b22) - 4 * (b11 * b22 - b12 * b21))) / 2 ELSE sqrt(b11 * b22 - b12 * b21) END"""
-cte("sroot", f"SELECT model, regime, n, {_ROOT} AS rho, ln(g11 * g22 - g12 * g12) AS log_det FROM sfit")
+cte("sroot", f"SELECT model, regime, n, {_ROOT} AS rho, g11 > 0 AND g11 * g22 > g12 * g12 AS pd, ln(g11 * g22 - g12 * g12) AS log_det FROM sfit")
 
 
 @query("stability_checks", """
-SELECT model, regime, n AS n_obs, 2 AS k, 1 AS p, round(rho, 6) + 0.0 AS rho, rho < 1 AS stable, TRUE AS sigma_pd, round(log_det, 6) + 0.0 AS log_det,
-  n >= 10 AS enough_obs, rho < 1 - 1e-6 AND n >= 10 AS ok FROM sroot""")
+SELECT model, regime, n AS n_obs, 2 AS k, 1 AS p, round(rho, 6) + 0.0 AS rho, rho < 1 AS stable, pd AS sigma_pd, round(log_det, 6) + 0.0 AS log_det,
+  n >= 10 AS enough_obs, pd AND rho < 1 - 1e-6 AND n >= 10 AS ok FROM sroot""")
 def stability_checks(spark, sf):
     return fit.stability(_split(spark, sf)[1])
 
@@ -300,7 +300,10 @@ def impact_sign(spark, sf):
 
 
 @query("model_readiness", """
-SELECT DISTINCT model, FALSE AS ok, 'regime_index' AS reason, 4 AS horizon FROM pairs WHERE s1 = 'ECONOMY' UNION ALL SELECT DISTINCT model, TRUE, 'ready', 4 FROM pairs WHERE s1 <> 'ECONOMY'""")
+SELECT model, reason = 'ready' AS ok, reason, 4 AS horizon FROM (
+  SELECT model, CASE WHEN f.n_regimes < 2 THEN 'basic_schema' WHEN coalesce(n_state, 0) <> n_fit OR coalesce(n_states, 0) <> 2 THEN 'regime_index' ELSE 'ready' END AS reason
+  FROM (SELECT model, sum(n) AS n_fit, count(*) AS n_regimes FROM sfit GROUP BY 1) f LEFT JOIN (
+    SELECT model, count(*) AS n_state, count(DISTINCT regime) AS n_states FROM srows WHERE NOT (model LIKE '%ECONOMY%' AND regime <> 'low') GROUP BY 1) s USING (model)) r""")
 def model_readiness(spark, sf):
     """Complete models, and some whose state path lost its rows of one state."""
     rows, fits = _split(spark, sf)

@@ -364,13 +364,13 @@ def coverage_with_reason(spark, sf):
     return aggregate.coverage_with_reason(_brand_panel(spark, sf), ["price", "ret", "value"])
 
 
-@query("complete_dates", """SELECT series, date, round(ret, 6) + 0.0 AS ret FROM bret
-WHERE series IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') AND date IN
-  (SELECT date FROM bret WHERE series IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') GROUP BY 1 HAVING count(ret) = 5)""")
+@query("complete_dates", """SELECT series, date, round(ret, 6) + 0.0 AS ret FROM fret
+WHERE date IN (SELECT date FROM fret GROUP BY 1 HAVING count(ret) = (SELECT count(DISTINCT p_brand) FROM part))""")
 def complete_dates(spark, sf):
-    """Months on which five brands all have a return."""
-    five = clean.study_set(I.gappy_brands(spark, sf), [f"Brand#{i}" for i in range(1, 6)])
-    return clean.complete_dates(series.log_return(five, out="ret"), 5).select("series", "date", "ret")
+    """Months on which all brands have a return."""
+    n = readers.read_table(spark, sf, "part").agg(F.count_distinct("p_brand")).first()[0]
+    returns = series.log_return(I.unit_prices(spark, sf, "p_brand"), out="ret")
+    return clean.complete_dates(returns, n).select("series", "date", "ret")
 
 
 def _with_copies(spark, sf) -> DataFrame:
@@ -453,10 +453,10 @@ def study_groups(spark, sf):
 
 @query("canonical_panel", """
 SELECT date, regexp_replace(lower(series), '[^a-z0-9]+', '_', 'g') AS series_id, series AS series_name, CAST(NULL AS VARCHAR) AS unit,
-  price + 0.0 AS price, round(ln(price), 6) + 0.0 AS ln_price, round(ret, 6) + 0.0 AS ret, round(ret * ret, 6) + 0.0 AS vol_proxy FROM bret""")
+  price + 0.0 AS price, round(ln(price), 6) + 0.0 AS ln_price, round(ret, 6) + 0.0 AS ret, round(ret * ret, 6) + 0.0 AS vol_proxy FROM fret""")
 def canonical_panel(spark, sf):
     """Long prices to the eight-column panel: returns, volatility, slug ids."""
-    priced = series.volatility_proxy(series.panel_returns(I.gappy_brands(spark, sf)))
+    priced = series.volatility_proxy(series.panel_returns(I.unit_prices(spark, sf, "p_brand")))
     return spark.createDataFrame([], PANEL).unionByName(clean.canonical_panel(priced))
 
 
@@ -497,7 +497,7 @@ def parsed_checks(spark, sf):
 SELECT "index", unnest(['too_few_rows', 'duplicate_dates', 'null_values', 'infinite_values', 'negative_values', 'near_constant',
     'irregular_steps', 'spikes', 'early_start']) AS "check",
   unnest(['error', 'error', 'error', 'error', 'error', 'warning', 'warning', 'warning', 'warning']) AS level,
-  unnest([(count(*) < 10)::INT, 0, (count(*) - count(value))::INT, 0, 0, (stddev_samp(value) < 1e-6)::INT, (count(DISTINCT step) > 1)::INT,
+  unnest([(count(*) < 10)::INT, (count(*) - count(DISTINCT date))::INT, (count(*) - count(value))::INT, (count(*) FILTER (isinf(value)))::INT, (count(*) FILTER (value < 0))::INT, (stddev_samp(value) < 1e-6)::INT, (count(DISTINCT step) > 1)::INT,
     (max(abs(value)) / (quantile_cont(value, 0.99) - quantile_cont(value, 0.01) + 1e-5) > 10)::INT, (min(year(date)) < 1980)::INT])::BIGINT AS n_bad
 FROM (SELECT *, date - lag(date) OVER (PARTITION BY "index" ORDER BY date) AS step FROM idx) s GROUP BY 1""")
 def index_checks(spark, sf):
@@ -505,7 +505,7 @@ def index_checks(spark, sf):
 
 
 @query("merged_checks", """
-SELECT 'duplicate_keys' AS "check", 'error' AS level, 0::BIGINT AS n_bad
+SELECT 'duplicate_keys' AS "check", 'error' AS level, count(*) AS n_bad FROM (SELECT series, date FROM prices GROUP BY 1, 2 HAVING count(*) > 1) k
 UNION ALL SELECT 'series_with_low_coverage', 'warning', count(*) FROM (SELECT p.series FROM prices p
   LEFT JOIN (SELECT date, value FROM idx WHERE "index" = 'vol' AND date < DATE '1997-06-01') i USING (date) GROUP BY 1 HAVING avg((value IS NOT NULL)::INT) < 0.4) s""")
 def merged_checks(spark, sf):
@@ -611,12 +611,10 @@ def baseline_vs_shocked(spark, sf):
 
 
 def _events(spark, sf) -> DataFrame:
-    """Event values; every value below 2 counts as missing."""
-    e = readers.read_table(spark, sf, "events")
-    return e.select("event_type", "ts", F.when(F.col("value") >= 2, F.col("value")).alias("value"))
+    return readers.read_table(spark, sf, "events").select("event_type", "ts", "value")
 
 
-_EV = "(SELECT event_type, ts, CASE WHEN value >= 2 THEN value END AS value FROM events) e"
+_EV = "(SELECT event_type, ts, value FROM events) e"
 
 
 @query("bucket_mean", f"SELECT event_type, last_day(ts::DATE) AS date, round(avg(value), 6) + 0.0 AS value FROM {_EV} GROUP BY 1, 2")
@@ -645,9 +643,9 @@ def missingness(spark, sf):
     return aggregate.missingness(I.gappy_brands(spark, sf), coverage=0.86)
 
 
-@query("date_range", "SELECT min(date) AS start, max(date) AS \"end\", count(date) AS n_obs FROM gappy")
+@query("date_range", "SELECT min(date) AS start, max(date) AS \"end\", count(date) AS n_obs FROM brands")
 def date_range(spark, sf):
-    return aggregate.date_range(I.gappy_brands(spark, sf))
+    return aggregate.date_range(I.unit_prices(spark, sf, "p_brand"))
 
 
 @query("missing_cells", "SELECT series, date, bool_or(price IS NULL) AS missing FROM gappy GROUP BY 1, 2")
@@ -663,9 +661,9 @@ def column_coverage(spark, sf):
     return aggregate.column_coverage(wide, ["vol", "macro"])
 
 
-@query("date_means", "SELECT date, count(*) AS n_obs, round(avg(ret), 6) + 0.0 AS ret_mean FROM bret GROUP BY 1")
+@query("date_means", "SELECT date, count(*) AS n_obs, round(avg(ret), 6) + 0.0 AS ret_mean FROM fret GROUP BY 1")
 def date_means(spark, sf):
-    return aggregate.date_means(series.log_return(I.gappy_brands(spark, sf), out="ret"))
+    return aggregate.date_means(series.log_return(I.unit_prices(spark, sf, "p_brand"), out="ret"))
 
 
 @query("coverage_table", """SELECT 'Other' AS "group", upper(left(series_id, 1)) || substr(series_id, 2) AS name, series_id, strftime(min(date), '%Y-%m') AS start,

@@ -129,13 +129,13 @@ def _sigmas(spark, sf):
     """Return sd per brand and half of the year as the regimes."""
     from stratawave.operators import series
 
-    ret = series.log_return(I.gappy_brands(spark, sf), out="ret").where(F.col("ret").isNotNull())
+    ret = series.log_return(I.unit_prices(spark, sf, "p_brand"), out="ret").where(F.col("ret").isNotNull())
     return ret.groupBy(F.col("series").alias("variable"), F.when(F.month("date") <= 6, "low").otherwise("high").alias("regime")).agg(
         F.round(F.stddev_samp("ret"), 10).alias("sigma"))
 
 
 @query("scaled_shocks", """
-WITH s AS (SELECT series AS variable, round(stddev_samp(ret), 10) AS sigma FROM bret WHERE ret IS NOT NULL AND month(date) > 6 GROUP BY 1),
+WITH s AS (SELECT series AS variable, round(stddev_samp(ret), 10) AS sigma FROM fret WHERE ret IS NOT NULL AND month(date) > 6 GROUP BY 1),
 b AS (SELECT quantile_cont(sigma, 0.1) AS lo, quantile_cont(sigma, 0.9) AS hi FROM s), u AS (SELECT variable, least(greatest(sigma, lo, 1e-8), hi) AS su FROM s, b),
 z AS (SELECT variable, CAST(regexp_extract(variable, '(\\d+)', 1) AS DOUBLE) - 12 AS size FROM s),
 c AS (SELECT variable, size, su, sign(size) * least(abs(size), 8) * su AS raw FROM z JOIN u USING (variable))
@@ -447,9 +447,11 @@ def mass_report(spark, sf):
 
 
 @query("input_issues", """
-SELECT 'error' AS level, 'baseline' AS "where", 't not a whole non-negative number' AS what, 0::BIGINT AS n_bad UNION ALL SELECT 'error', 'shocked', 't not a whole non-negative number', 0
-UNION ALL SELECT 'error', 'baseline', 'duplicate rows', 0 UNION ALL SELECT 'error', 'shocked', 'duplicate rows', (SELECT count(*) FROM shocked WHERE scenario = 'econ_drop' AND variable = 'SMALL')
-UNION ALL SELECT 'error', 'overlap', 'no common variables and regimes', 0
+WITH b AS (SELECT DISTINCT uncertainty, regime, variable, t, value FROM tidy WHERE is_baseline AND (regime <> 'high' OR t <= 6))
+SELECT 'error' AS level, 'baseline' AS "where", 't not a whole non-negative number' AS what, count(*) FILTER (t IS NULL OR t < 0 OR t <> round(t)) AS n_bad FROM b
+UNION ALL SELECT 'error', 'shocked', 't not a whole non-negative number', count(*) FILTER (t IS NULL OR t < 0 OR t <> round(t)) FROM shocked
+UNION ALL SELECT 'error', 'baseline', 'duplicate rows', (SELECT count(*) FROM (SELECT uncertainty, regime, variable, t FROM b GROUP BY ALL HAVING count(*) > 1) d) UNION ALL SELECT 'error', 'shocked', 'duplicate rows', (SELECT count(*) FROM shocked WHERE scenario = 'econ_drop' AND variable = 'SMALL')
+UNION ALL SELECT 'error', 'overlap', 'no common variables and regimes', (SELECT (count(*) = 0)::INT FROM b JOIN shocked USING (uncertainty, regime, variable))
 UNION ALL SELECT 'error', 'alignment', 'different sets of t', (SELECT count(DISTINCT (uncertainty, regime, variable)) FROM shocked WHERE regime = 'high')""")
 def input_issues(spark, sf):
     """Duplicated shocked rows, and a baseline that stops early in one regime."""

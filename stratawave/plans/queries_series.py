@@ -28,9 +28,9 @@ def returns_by_regime(spark, sf):
 # ----------------------------------------------------------------- series
 
 
-@query("log_returns", "SELECT series, date, round(ret, 6) + 0.0 AS log_return FROM bret")
+@query("log_returns", "SELECT series, date, round(ret, 6) + 0.0 AS log_return FROM fret")
 def log_returns(spark, sf):
-    return series.log_return(I.gappy_brands(spark, sf)).select("series", "date", "log_return")
+    return series.log_return(I.unit_prices(spark, sf, "p_brand")).select("series", "date", "log_return")
 
 
 @query("percent_log_returns", "SELECT series, date, round(100 * ret, 6) + 0.0 AS ret FROM ret")
@@ -49,12 +49,12 @@ def volatility_abs(spark, sf):
 
 
 @query("volatility_clipped", """
-WITH v AS (SELECT series, date, round(round(ret, 9) * round(ret, 9), 12) AS x FROM bret)
+WITH v AS (SELECT series, date, round(round(ret, 9) * round(ret, 9), 12) AS x FROM fret)
 SELECT series, date, round(least(x, (SELECT quantile_cont(x, 0.9) FROM v)), 6) + 0.0 AS vol_proxy FROM v WHERE x IS NOT NULL
 UNION ALL SELECT series, date, NULL FROM v WHERE x IS NULL""")
 def volatility_clipped(spark, sf):
     """Squared returns cut at a quantile of the whole panel."""
-    returns = series.log_return(I.gappy_brands(spark, sf), out="ret").withColumn("ret", F.round("ret", 9))
+    returns = series.log_return(I.unit_prices(spark, sf, "p_brand"), out="ret").withColumn("ret", F.round("ret", 9))
     sized = series.volatility_proxy(returns, "squared").withColumn("ret", F.sqrt(F.round("vol_proxy", 12)))
     squared = sized.select("series", "date", F.round("vol_proxy", 12).alias("vol_proxy"))
     limit = series.exact_quantiles(squared, [], "vol_proxy", [0.9], ["limit"]).select("limit").scalar()
@@ -323,7 +323,8 @@ def interval_midpoints(spark, sf):
 @query("chain_summary", f"""
 SELECT "index", round(p21 / (p12 + p21), 6) + 0.0 AS pi_low, round(p12 / (p12 + p21), 6) + 0.0 AS pi_high, round(1 / (1 - p11), 6) + 0.0 AS expected_low,
   round(1 / (1 - p22), 6) + 0.0 AS expected_high, round(ln(0.5) / ln(p11), 6) + 0.0 AS half_life_low, round(ln(0.5) / ln(p22), 6) + 0.0 AS half_life_high,
-  round(abs(p11 + p22 - 1), 6) + 0.0 AS lambda2, p11 > 0 AND p12 > 0 AND p21 > 0 AND p22 > 0 AS ergodic, TRUE AS reversible FROM ({_P}) q""")
+  round(abs(p11 + p22 - 1), 6) + 0.0 AS lambda2, p11 > 0 AND p12 > 0 AND p21 > 0 AND p22 > 0 AS ergodic,
+  abs(p21 / (p12 + p21) * p12 - p12 / (p12 + p21) * p21) < 1e-9 AS reversible FROM ({_P}) q""")
 def chain_summary(spark, sf):
     out = states.chain_summary(states.transition_probs(states.transition_counts(_holes(spark, sf))))
     return out.drop("n11", "n12", "n21", "n22", "p11", "p12", "p21", "p22")
