@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import components, keep_rows, stored, table
 from .tokens import batches, worker_state
 
@@ -170,8 +171,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies."""
-    found = stored(near_duplicates(docs), "simhash-found")
+    """The document with the least doc_id of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    The digest contract (three words, two bits) binds op6 only; at two bits nearly all pairs of similarity 0.8 are missed.
+    """
+    found = shingles.near_duplicates(docs)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     kept = found.groupBy("component").agg(F.min(first).alias("first"))
     return keep_rows(docs, kept.select("first.doc_id", "first.digest", F.lit(1).alias("copies")))
