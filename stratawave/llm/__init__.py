@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline and their queries."""
 
-from . import exact, language, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, vectors
+from . import exact, language, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, trie, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_exact_dedup": exact.op8,
     "op9_language": language.op9,
     "op10_vector_dedup": vectors.op10,
+    "op11_conversation_trie": trie.op11,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
 }

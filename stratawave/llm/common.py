@@ -63,6 +63,20 @@ def running(df: DataFrame, group: str, key: str, order: list[Column], value: Col
     return out.withColumn(name, F.coalesce("_local", F.lit(0)) + F.coalesce("_base", F.lit(0))).drop("_local", "_base", "_range")
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], name: str, label: str) -> DataFrame:
+    """``df``, stored, with ``name``: the place (from 0) of a row among its group's rows in this order.
+
+    All rows are sorted by ranges of (group, order), so a hot group lies in many tasks.  What meets in one task are
+    the row counts of a group, one for each range that it lies in.  ``group`` is not null; fully equal rows follow each other.
+    """
+    rows = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()), label).withColumn("_range", F.shiftright("_at", 33))
+    starts = rows.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(group, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(starts, [group, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (doc_id, digest, copies), each ``copies`` times, with all their columns.
 
