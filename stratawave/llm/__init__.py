@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline and their queries."""
 
-from . import exact, language, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, trie, vectors
+from . import exact, language, manifest, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, trie, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_language": language.op9,
     "op10_vector_dedup": vectors.op10,
     "op11_conversation_trie": trie.op11,
+    "op13_merkle_manifest": manifest.op13,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact.ORACLE,
     "op11_conversation_trie": trie.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }

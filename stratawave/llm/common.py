@@ -132,6 +132,13 @@ def remainder(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % n
 
 
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII text: one step for each bit, the byte enters with its first."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295)"
+
+
 def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """Sum over all rows of the matrix (of fixed shape) that ``matrix`` gives for a batch.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, stored, table
+from .common import crc32_sql, numbered, stored, table
 from .tokens import batches, forget
 
 #: Turns of a segment; bytes of a name.
@@ -344,15 +344,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(*rebuilt(ordered(table(spark, sf_dir, "conversations"))))
 
 
-ORACLE = r"""
+ORACLE = f"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
     strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS name, strlen(coalesce(text, '')) AS size
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
-  SELECT conv_id, count(*) AS n, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT,
-      flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 END AS h
+  SELECT conv_id, count(*) AS n, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE {crc32_sql("conv_id::VARCHAR")} % 9 END AS h
   FROM t GROUP BY conv_id),
 p AS (SELECT c.conv_id, c.h, least(c.h, coalesce(l.n, 0)) AS taken, c.conv_id - c.conv_id % 5 AS lender FROM c LEFT JOIN c l ON l.conv_id = c.conv_id - c.conv_id % 5),
 r AS (
