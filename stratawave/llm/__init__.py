@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline and their queries."""
 
-from . import exact, language, manifest, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, trie, vectors
+from . import exact, language, licenses, manifest, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, trie, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_language": language.op9,
     "op10_vector_dedup": vectors.op10,
     "op11_conversation_trie": trie.op11,
+    "op12_license_scan": licenses.op12,
     "op13_merkle_manifest": manifest.op13,
 }
 

@@ -15,7 +15,7 @@ def test_oracle(spark, sf, name):
 
 
 def test_names():
-    assert sorted(int(x[2:].split("_")[0]) for x in llm.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in llm.QUERIES) == list(range(1, 14))
     assert {"pipeline", *llm.QUERIES} <= set(entry.queries())
 
 
