@@ -2,9 +2,9 @@
 
 ``series_quantile`` is for groups whose size is bounded (a series has at most one
 row per calendar step).  ``exact_quantiles`` is for groups of any size: no group
-is ever sorted inside one task.  It narrows each wanted rank to a value interval
-by histogram passes (counts combine on the map side) and only ranks the distinct
-values left in the last interval.
+is ever sorted inside one task.  One pass counts the values of each group in fine
+buckets, which tells the bucket of every wanted rank; a second pass counts the
+distinct values of these buckets only, and only they are ranked.
 """
 
 from __future__ import annotations
@@ -16,6 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratawave.functions.scalars import clean_double
+from stratawave.session import cut_lineage
+
+#: Buckets for each power of two, so a bucket's ends differ by 0.5 %.
+FINE = 128
+#: Most distinct values that one task ranks.
+MOST = 1 << 20
+#: Most wanted buckets that are broadcast to the second pass.
+FEW = 100_000
 
 
 def series_quantile(value: Column | str, p: float) -> Column:
@@ -62,88 +70,120 @@ def grid_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
     return arr.select(*keys, grid.alias(out), n.alias("n"))
 
 
+def bucket(v: Column, fine: int = FINE) -> Column:
+    """Number of the bucket of a finite double, in the order of the values.
+
+    The scale is logarithmic on both sides of zero; the exponent of a double is above -1100.
+    """
+    size = F.floor((F.log2(F.abs(v)) + 1100) * fine)
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+
+
+def _wanted(table: DataFrame, group: Sequence[str], order: str, start: Column) -> DataFrame:
+    """Rows of ``table`` with the ranks (of array ``_ranks``) that they cover.
+
+    A row has ``_c`` values; those of earlier rows of its group and ``start`` come before them.
+    """
+    over = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = table.withColumn("_upto", start + F.sum("_c").over(over)).withColumn("_before", F.col("_upto") - F.col("_c"))
+    covered = F.filter("_ranks", lambda r: (r > F.col("_before")) & (r <= F.col("_upto")))
+    return counted.withColumn("_ranks", covered).where(F.size("_ranks") > 0).drop("_upto")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str], kind: int = 7, bins: int = 1024, rounds: int = 3,
-                    salt: int = 8, also: dict[str, Column] | None = None) -> DataFrame:
+                    names: Sequence[str], kind: int = 7, fine: int = FINE, most: int = MOST, few: int = FEW,
+                    salt: int = 8, moments: tuple[str, str] | None = None) -> DataFrame:
     """One row per group with the exact quantiles ``names`` of ``value``.
 
-    NULL, NaN and infinite values do not count.  Every pass counts values per (group, rank
-    interval, bin).  Bins are equally wide in every first pass and equally wide on a signed
-    logarithmic scale in every second one: values that spread over many powers of ten share
-    the first bins of the one and are parted by the other.  Three passes leave about one value in a
-    million of either kind.  Groups are joined to their intervals on ``keys`` plus a salt, so a
-    group with a large part of all rows is spread over ``salt`` tasks, which adaptive
-    execution splits further; with few groups Spark broadcasts the intervals instead.
-
-    There are ``rounds + 2`` passes over ``df``, so its values must be reproducible: stored columns, or
-    aggregates that were rounded or checkpointed.  ``also`` adds plain aggregates of the
-    column ``_v`` to the first pass.
+    NULL, NaN and infinite values do not count.  ``df`` is read twice, so its values must be
+    reproducible: stored columns, or aggregates that were rounded or checkpointed.
+
+    1. Values are counted per (group, bucket) with map-side combining.  Counts of buckets add up in any
+       order, and they are exact, so running sums give the bucket of each wanted rank.
+    2. The distinct values of the wanted buckets are counted per (group, bucket, value).  The rows meet their
+       buckets by broadcast if these are ``few``, else by a join salted by value.
+    3. A bucket with more than ``most`` distinct values is cut into equal parts between its ends, in the counted
+       table, until no part that holds a wanted rank has more.  Ends and the rest are then ranked.
+
+    A bucket of equal values, however many, is solved by its ends.  ``moments`` names the mean and the sample
+    standard deviation, which are put together from those of the buckets.
     """
-    keys, also = list(keys), also or {}
-    rows = df.select(*keys, clean_double(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    given, keys = list(keys), list(keys) or ["_all"]
+    if not given:
+        df = df.withColumn("_all", F.lit(0))
+    v = F.col("_v")
+    rows = df.select(*keys, clean_double(F.col(value).cast("double")).alias("_v")).where(v.isNotNull())
+    rows = rows.withColumn("_b", bucket(v, fine))
+    parts = [F.avg("_v").alias("_mean"), F.var_pop("_v").alias("_var")] if moments else []
+    first = cut_lineage(rows.groupBy(*keys, "_b").agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *parts))
     n = F.col("_n")
     positions = [_position(n, p, kind) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(pos).cast("long"), F.least(F.floor(pos) + 1, n).cast("long")) for pos in positions
     ])))
-    # A state row is one value interval of a group: its bounds, the number of values
-    # before it and the wanted ranks inside it.  The group's own numbers ride along, so
-    # each pass uses the state once and reads the rows once.
-    state = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"),
-        *[c.alias(name) for name, c in also.items()],
-    ).select(*keys, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), ranks.alias("_ranks"), "_n", *also)
-    group_values = ["_ranks", "_n", *also]
-    interval = [*keys, "_lo", "_hi", "_before"]
-
-    def spread(intervals: DataFrame) -> DataFrame:
-        """Rows inside a wanted interval with that interval."""
-        per_group = intervals.groupBy(*keys).agg(
-            F.collect_list(F.struct("_lo", "_hi", "_before", "_ranks")).alias("_iv"),
-            *[F.first(c).alias(c) for c in ("_n", *also)],
-        ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salt)).cast("int"))
-        joined = salted.join(per_group, [*keys, "_salt"])
-        hit = F.filter("_iv", lambda s: (s["_lo"] <= F.col("_v")) & (F.col("_v") <= s["_hi"]))
-        return joined.select(*keys, "_v", "_n", *also, F.inline(hit))
-
-    def inside(table: DataFrame, order: str) -> DataFrame:
-        """Running counts within an interval, and the wanted ranks each row covers."""
-        over = W.partitionBy(*interval).orderBy(order)
-        upto = F.col("_before") + F.sum("_c").over(over)
-        counted = table.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-        covered = F.filter("_ranks", lambda r: (r > F.col("_from")) & (r <= F.col("_upto")))
-        return counted.withColumn("_ranks", covered).where(F.size("_ranks") > 0)
-
-    def on_log(c: str) -> Column:
-        # The exponent of a double is above -1100, so the scale keeps the order of all values.
-        return F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.signum(c) * (F.log2(F.abs(c)) + 1100))
-
-    for turn in range(rounds):
-        at, lo, hi = (on_log(c) if turn % 2 else F.col(c) / 2 for c in ("_v", "_lo", "_hi"))
-        width = hi - lo
-        bin_no = F.when(width > 0, F.greatest(F.lit(0), F.least(
-            F.floor((at - lo) / width * bins), F.lit(bins - 1)
-        ))).otherwise(F.lit(0)).cast("int")
-        counts = spread(state).withColumn("_bin", bin_no).groupBy(*interval, "_bin").agg(
-            F.count("*").alias("_c"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"),
-            *[F.first(c).alias(c) for c in group_values],
-        )
-        state = inside(counts, "_bin").select(
-            *keys, F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), F.col("_from").alias("_before"), *group_values
-        )
-
-    values = spread(state).groupBy(*interval, "_v").agg(
-        F.count("*").alias("_c"), *[F.first(c).alias(c) for c in group_values]
-    )
-    found = inside(values, "_v").select(*keys, "_n", *also, F.explode("_ranks").alias("_rank"), "_v").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
-        *[F.first(c).alias(c) for c in ("_n", *also)],
-    )
+    whole = W.partitionBy(*keys)
+    state = _wanted(first.select(*keys, "_b", "_c", "_lo", "_hi", F.sum("_c").over(whole).alias("_n"))
+                    .withColumn("_ranks", ranks), keys, "_b", F.lit(0))
+    state = cut_lineage(state.select(*keys, "_b", "_before", "_c", "_lo", "_hi", "_ranks", "_n"))
+
+    # What the ends of a part tell needs no ranking.
+    at_end = F.filter("_ranks", lambda r: (F.col("_lo") == F.col("_hi")) | (r == F.col("_before") + 1) | (r == F.col("_before") + F.col("_c")))
+
+    def ends(parts_: DataFrame) -> DataFrame:
+        told = F.transform(at_end, lambda r: F.struct(r.alias("_rank"), F.when(r == F.col("_before") + 1, F.col("_lo")).otherwise(F.col("_hi")).alias("_value")))
+        return parts_.select(*keys, F.inline(told))
+
+    def inner(parts_: DataFrame) -> DataFrame:
+        return parts_.withColumn("_ranks", F.array_except("_ranks", at_end)).where(F.size("_ranks") > 0)
+
+    found = [ends(state)]
+    part = [*keys, "_b"]
+    asked = inner(state).select(*part, "_before", "_ranks")
+    n_asked = asked.count()
+    if n_asked:
+        if n_asked <= few:
+            hit = rows.join(F.broadcast(asked), part)
+        else:
+            salts = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+            hit = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salt)).cast("int")).join(salts, [*part, "_salt"])
+        values = cut_lineage(hit.groupBy(*part, "_before", "_ranks", "_v").agg(F.count("*").alias("_c")))
+        while True:
+            sizes = values.groupBy(*part, "_before", "_ranks").agg(F.count("*").alias("_d"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+            if (sizes.agg(F.max("_d")).first()[0] or 0) <= most:
+                break
+            cells = max(2, min(4096, most))
+            at = F.floor((v / 2 - F.col("_from") / 2) / (F.col("_to") / 2 - F.col("_from") / 2) * cells)
+            cut = values.join(sizes, [*part, "_before", "_ranks"]).withColumn(
+                "_cell", F.when(F.col("_d") > most, F.least(at, F.lit(cells - 1))).otherwise(F.lit(0)).cast("long"))
+            cut = cut_lineage(cut.drop("_d", "_from", "_to"))
+            counted = cut.groupBy(*part, "_before", "_ranks", "_cell").agg(
+                F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumnRenamed("_before", "_start")
+            kept = cut_lineage(_wanted(counted, [*part, "_start"], "_cell", F.col("_start")))
+            found.append(ends(kept))
+            kept = inner(kept).select(*part, "_start", "_cell", "_before", "_ranks")
+            values = cut.withColumnRenamed("_before", "_start").drop("_ranks").join(kept, [*part, "_start", "_cell"])
+            values = cut_lineage(values.select(*part, "_before", "_ranks", "_v", "_c"))
+        ranked = _wanted(values.withColumnRenamed("_before", "_start"), [*part, "_start"], "_v", F.col("_start"))
+        found.append(ranked.select(*keys, F.explode("_ranks").alias("_rank"), F.col("_v").alias("_value")))
+    told = found[0]
+    for more in found[1:]:
+        told = told.unionByName(more)
+    told = told.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_value"))).alias("_at"))
+    sums = [F.sum("_c").alias("_n")]
+    if moments:
+        mean = (F.sum(F.col("_c") * F.col("_mean")) / F.sum("_c")).alias("_m")
+        middle = first.groupBy(*keys).agg(*sums, mean)
+        far = F.sum(F.col("_c") * (F.col("_var") + (F.col("_mean") - F.col("_m")) * (F.col("_mean") - F.col("_m"))))
+        of = first.join(middle.select(*keys, "_m"), keys)
+        totals = of.groupBy(*keys).agg(*sums, F.first("_m").alias(moments[0]), F.when(F.sum("_c") > 1, F.sqrt(far / (F.sum("_c") - 1))).alias(moments[1]))
+    else:
+        totals = first.groupBy(*keys).agg(*sums)
+    joined = totals.join(told, keys)
     out = []
     for pos, name in zip(positions, names):
         lo = F.element_at("_at", F.floor(pos).cast("long"))
         hi = F.element_at("_at", F.least(F.floor(pos) + 1, n).cast("long"))
         frac = pos - F.floor(pos)
         out.append((lo + frac * (hi - lo)).alias(name))
-    return found.select(*keys, *out, *also)
+    return joined.select(*given, *out, *(moments or ()))

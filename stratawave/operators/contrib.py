@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratawave.functions import scalars
-from stratawave.functions.quantiles import exact_quantiles
+from stratawave.functions.quantiles import exact_quantiles, series_quantile
 from stratawave.operators.aggregate import peak_step
 from stratawave.operators.joins import delta_from_baseline, salted_join, scenario_keys
 from stratawave.operators.reshape import to_wide
@@ -30,16 +30,20 @@ def _with_unc(df: DataFrame, names: Sequence[str]) -> list[str]:
 # ------------------------------------------------------------ inputs, deltas
 
 
-def extract_baseline(tidy: DataFrame, variables: Sequence[str] | None = None) -> DataFrame:
+def extract_baseline(tidy: DataFrame, variables: Sequence[str] | None = None, bounded: bool = False) -> DataFrame:
     """Median of the baseline rows per key.
 
     Each scenario and draw adds a row, so a key may be large: the exact median does
-    not bring its rows together.
+    not bring its rows together.  With ``bounded`` the caller states that a key has a row for
+    each of a list of scenarios only; one aggregation in memory is then enough.
     """
     rows = tidy.where("is_baseline")
     if variables is not None:
         rows = rows.where(F.col("variable").isin(*variables))
-    return exact_quantiles(rows, _with_unc(tidy, ["regime", "variable", "t"]), "value", [0.5], ["value"])
+    keys = _with_unc(tidy, ["regime", "variable", "t"])
+    if bounded:
+        return rows.groupBy(*keys).agg(series_quantile(scalars.clean_double(F.col("value").cast("double")), 0.5).alias("value")).where("value IS NOT NULL")
+    return exact_quantiles(rows, keys, "value", [0.5], ["value"])
 
 
 def extract_shocked(tidy: DataFrame, scenarios: Sequence[str] | None = None,

@@ -325,8 +325,7 @@ def bands(tidy: DataFrame, levels: Sequence[float] = (0.90,), method: str = "per
     probs = [q for p in levels for q in ((1 - p) / 2, 1 - (1 - p) / 2)] if method == "percentile" else []
     want = list(zip(probs, names)) + ([(0.5, "_median")] if center == "median" else [])
     if want:
-        moments = {"_mean": F.avg("_v"), "_sd": F.stddev_samp("_v")}
-        out = exact_quantiles(tidy, keys, value, [p for p, _ in want], [n for _, n in want], also=moments)
+        out = exact_quantiles(tidy, keys, value, [p for p, _ in want], [n for _, n in want], moments=("_mean", "_sd"))
     else:
         out = tidy.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     if method == "normal":

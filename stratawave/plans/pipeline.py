@@ -148,7 +148,7 @@ def scenario_run(specs: DataFrame, kernels: DataFrame, sigma: DataFrame | None =
     tidy = cut_lineage(scenarios.run_scenarios(specs, kernels, sigma))
     variables = tidy.select("uncertainty", "variable").distinct()
     shares = S.shares_per_step(kernels, variables, ("combined", "low", "high"))
-    base = contrib.extract_baseline(tidy)
+    base = contrib.extract_baseline(tidy, bounded=True)
     parts = contrib.decompose(contrib.extract_shocked(tidy), base, shares=shares, how=how)
     balance = contrib.mass_balance(parts["reconciled"], parts["delta"], include_residual=True)
     return {

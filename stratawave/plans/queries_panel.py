@@ -474,9 +474,9 @@ def folded_labels(spark, sf):
 
 
 @query("panel_checks", """
-SELECT 'duplicate_keys' AS "check", 'error' AS level, count(*) AS n_bad FROM (SELECT series, date FROM bret GROUP BY 1, 2 HAVING count(*) > 1) d
-UNION ALL SELECT 'series_with_null_returns', 'warning', count(*) FROM (SELECT series FROM bret GROUP BY 1 HAVING count(*) - count(ret) > 1) r
-UNION ALL SELECT 'series_with_null_volatility', 'warning', count(*) FROM (SELECT series FROM bret GROUP BY 1 HAVING count(*) - count(ret) > 1) v""")
+SELECT 'duplicate_keys' AS "check", 'error' AS level, count(*) AS n_bad FROM (SELECT series, date FROM fret GROUP BY 1, 2 HAVING count(*) > 1) d
+UNION ALL SELECT 'series_with_null_returns', 'warning', count(*) FROM (SELECT series FROM fret GROUP BY 1 HAVING count(*) - count(ret) > 1) r
+UNION ALL SELECT 'series_with_null_volatility', 'warning', count(*) FROM (SELECT series FROM fret GROUP BY 1 HAVING count(*) - count(ret) > 1) v""")
 def panel_checks(spark, sf):
     return checks.panel_checks(canonical_panel(spark, sf))
 
@@ -702,6 +702,33 @@ def exact_quantiles(spark, sf):
     return quantiles(readers.read_table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.999], ["q01", "q50", "q999"])
 
 
+@query("quantiles_heavy_tail", """
+WITH h AS (SELECT l_linestatus, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END * power(l_extendedprice / 1000, 9) AS x FROM lineitem),
+q AS (SELECT l_linestatus, unnest([0.001, 0.25, 0.5, 0.99, 0.9999]) AS prob, unnest([quantile_cont(x, 0.001), quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.99),
+  quantile_cont(x, 0.9999)]) AS x FROM h GROUP BY 1)
+SELECT l_linestatus, prob, round(sign(x) * ln(1 + abs(x)), 6) + 0.0 AS log_value FROM q""")
+def quantiles_heavy_tail(spark, sf):
+    """Values of both signs over some twenty powers of ten."""
+    from stratawave.functions.quantiles import exact_quantiles as quantiles
+
+    lines = readers.read_table(spark, sf, "lineitem").select(
+        "l_linestatus", (F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(1) * F.pow(F.col("l_extendedprice") / 1000, F.lit(9))).alias("x"))
+    probs = [0.001, 0.25, 0.5, 0.99, 0.9999]
+    wide = quantiles(lines, ["l_linestatus"], "x", probs, [f"q{i}" for i in range(5)])
+    rows = wide.select("l_linestatus", F.inline(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"q{i}").alias("x")) for i, p in enumerate(probs)])))
+    return rows.select("l_linestatus", "prob", (F.signum("x") * F.log1p(F.abs("x"))).alias("log_value"))
+
+
+@query("quantiles_equal_values", """SELECT l_returnflag, round(quantile_cont(x, 0.1), 6) + 0.0 AS low, round(quantile_cont(x, 0.5), 6) + 0.0 AS mid, round(quantile_cont(x, 0.9), 6) + 0.0 AS high
+FROM (SELECT l_returnflag, CASE WHEN l_extendedprice > 0 THEN 1.5 ELSE l_extendedprice END AS x FROM lineitem) h GROUP BY 1""")
+def quantiles_equal_values(spark, sf):
+    """Groups whose values are all equal: the buckets' ends solve them."""
+    from stratawave.functions.quantiles import exact_quantiles as quantiles
+
+    lines = readers.read_table(spark, sf, "lineitem").select("l_returnflag", F.when(F.col("l_extendedprice") > 0, 1.5).otherwise(F.col("l_extendedprice")).alias("x"))
+    return quantiles(lines, ["l_returnflag"], "x", [0.1, 0.5, 0.9], ["low", "mid", "high"])
+
+
 @query("quantiles_type8", """WITH r AS (SELECT "index", value, row_number() OVER (PARTITION BY "index" ORDER BY value) AS rn, count(*) OVER (PARTITION BY "index") AS n FROM idx WHERE value IS NOT NULL),
 p AS (SELECT DISTINCT "index", n, q, (n + 1.0::DOUBLE / 3) * q + 1.0::DOUBLE / 3 AS pos FROM r, (VALUES (0.15::DOUBLE), (0.5::DOUBLE), (0.85::DOUBLE)) AS v(q))
 SELECT p."index", p.q AS prob, round(a.value + (pos - floor(pos)) * (b.value - a.value), 6) + 0.0 AS value

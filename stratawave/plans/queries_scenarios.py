@@ -324,7 +324,7 @@ def scenario_envelope(spark, sf):
 def baseline_extraction(spark, sf):
     """Median over scenarios of baseline rows that differ."""
     t = I.tidy(spark, sf).where(~F.col("is_baseline")).withColumns({"value": F.col("value") / 4, "is_baseline": F.lit(True)})
-    return contrib.extract_baseline(t)
+    return contrib.extract_baseline(t, bounded=True)
 
 
 @query("shocked_extraction", "SELECT uncertainty, scenario, regime, variable, t::INT AS t, value FROM shocked WHERE scenario IN ('econ_drop', 'late_promo') AND variable IN ('SMALL', 'LARGE')", digits=8)

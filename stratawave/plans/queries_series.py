@@ -55,10 +55,7 @@ UNION ALL SELECT series, date, NULL FROM v WHERE x IS NULL""")
 def volatility_clipped(spark, sf):
     """Squared returns cut at a quantile of the whole panel."""
     returns = series.log_return(I.unit_prices(spark, sf, "p_brand"), out="ret").withColumn("ret", F.round("ret", 9))
-    sized = series.volatility_proxy(returns, "squared").withColumn("ret", F.sqrt(F.round("vol_proxy", 12)))
-    squared = sized.select("series", "date", F.round("vol_proxy", 12).alias("vol_proxy"))
-    limit = series.exact_quantiles(squared, [], "vol_proxy", [0.9], ["limit"]).select("limit").scalar()
-    return squared.withColumn("vol_proxy", F.when(F.col("vol_proxy").isNotNull(), F.least("vol_proxy", limit)))
+    return series.volatility_proxy(returns, "squared", clip=0.9).select("series", "date", "vol_proxy")
 
 
 @query("moving_average", sel("index date", "value ma", "smooth"))

@@ -20,13 +20,34 @@ def skewed(spark):
 
 
 def test_matches_numpy_with_a_hot_key(skewed):
-    got = {r["key"]: r for r in exact_quantiles(skewed, ["key"], "v", PROBS, NAMES, bins=64).collect()}
+    got = {r["key"]: r for r in exact_quantiles(skewed, ["key"], "v", PROBS, NAMES, fine=4).collect()}
     data = skewed.toPandas()
     for key, part in data.groupby("key"):
         want = np.quantile(part["v"], PROBS)
         np.testing.assert_allclose([got[key][n] for n in NAMES], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize(("fine", "most", "few"), [(1, 100, 100_000), (1, 3, 0), (1024, 1 << 20, 0), (1, 1 << 20, 0)])
+def test_parts_are_cut_until_they_are_small(skewed, fine, most, few):
+    got = {r["key"]: r for r in exact_quantiles(skewed, ["key"], "v", PROBS, NAMES, fine=fine, most=most, few=few).collect()}
+    for key, part in skewed.toPandas().groupby("key"):
+        np.testing.assert_allclose([got[key][n] for n in NAMES], np.quantile(part["v"], PROBS), rtol=1e-12)
+
+
+def test_moments_of_buckets(skewed):
+    for r in exact_quantiles(skewed, ["key"], "v", [0.5], ["m"], moments=("mean", "sd")).collect():
+        part = skewed.where(F.col("key") == r["key"]).toPandas()["v"]
+        np.testing.assert_allclose([r["mean"], r["sd"]], [part.mean(), part.std()], rtol=1e-9)
+
+
+def test_all_equal_and_nearly_equal(spark):
+    same = spark.range(20_000).select(F.lit(-3.25).alias("v"))
+    assert exact_quantiles(same, [], "v", [0.1, 0.5], ["a", "b"]).first()[:] == (-3.25, -3.25)
+    near = spark.range(20_000).select((1e9 + F.col("id") * 1e-4).alias("v"))
+    got = exact_quantiles(near, [], "v", PROBS, NAMES, most=50).first()
+    np.testing.assert_allclose([got[n] for n in NAMES], np.quantile(near.toPandas()["v"], PROBS), rtol=1e-15)
+
+
 def test_type8_and_no_key(skewed):
     row = exact_quantiles(skewed, [], "v", PROBS[1:-1], NAMES[1:-1], kind=8).collect()[0]
     want = np.quantile(skewed.toPandas()["v"], PROBS[1:-1], method="median_unbiased")
@@ -55,5 +76,5 @@ def test_missing_and_infinite_values_do_not_count(spark):
 def test_values_over_many_powers_of_ten(spark):
     x = np.concatenate([10 ** np.linspace(-20, 20, 4001), -(10 ** np.linspace(-20, 20, 501)), np.zeros(9)])
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
-    got = exact_quantiles(df, [], "v", PROBS, NAMES, bins=64).first()
+    got = exact_quantiles(df, [], "v", PROBS, NAMES, fine=4).first()
     np.testing.assert_allclose([got[n] for n in NAMES], np.quantile(x, PROBS), rtol=1e-12)
