@@ -67,8 +67,13 @@ def lag_columns(k: Column, p: Column) -> Column:
 # --------------------------------------------------------- sums of products
 
 
+#: Bytes of sums that a task holds before it hands them on.
+HELD = 64 << 20
+
+
 def product_sums(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """Partial sums of ``z z'`` per key, one row per key and Arrow batch, no shuffle.
+    """Partial sums of ``z z'`` per key, no shuffle: one row per key and task, more only where a task's sums
+    would take more than ``HELD`` bytes.
 
     ``rows`` has the keys and ``z ARRAY<DOUBLE>``; the result has ``m`` and the flat
     ``gram`` of length m * m.  :func:`total_products` adds the parts.  Columns in
@@ -78,12 +83,27 @@ def product_sums(rows: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()
     schema = rows.select(*keys, *carry).schema.add("m", T.IntegerType()).add("gram", T.ArrayType(T.DoubleType()))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        held = 0
+
+        def out() -> pd.DataFrame:
+            table = pd.DataFrame([[*key, *rest, gram.ravel()] for key, (*rest, gram) in sums.items()], columns=[*keys, *carry, "m", "gram"])
+            sums.clear()
+            return table
+
         for batch in batches:
-            out = []
-            for key, part in batch.groupby(keys, sort=False):
+            for key, part in batch.groupby(keys, sort=False, dropna=False):
                 z = np.vstack(part["z"].to_numpy())
-                out.append([*key, *(part[c].iloc[0] for c in carry), z.shape[1], (z.T @ z).ravel()])
-            yield pd.DataFrame(out, columns=[*keys, *carry, "m", "gram"])
+                if key in sums:
+                    sums[key][-1] += z.T @ z
+                    continue
+                sums[key] = [*(part[c].iloc[0] for c in carry), z.shape[1], z.T @ z]
+                held += 8 * z.shape[1] ** 2
+                if held > HELD:
+                    yield out()
+                    held = 0
+        if sums:
+            yield out()
 
     return rows.select(*keys, *carry, "z").mapInPandas(partial, schema)
 
@@ -124,6 +144,9 @@ _SEARCH = (
 )
 
 
+_SCORED = _SEARCH.rsplit(", ", 1)[0]
+
+
 def threshold_candidates(rows: DataFrame, delays: Sequence[int], trim: float, ngrid: int,
                          grid: str = "quantile") -> tuple[DataFrame, DataFrame]:
     """Rows per (model, delay) with their driver, and the candidate thresholds.
@@ -150,11 +173,12 @@ def search_threshold(vectors: DataFrame, lags: Sequence[int], delays: Sequence[i
                      grid: str = "quantile", given: DataFrame | None = None) -> DataFrame:
     """Best (delay, threshold, lag order) of every model.
 
-    A row falls into the bin of the number of candidates below its driver, so the
-    products of the low regime at every candidate are running sums over bins and those
-    of the high regime the rest: the rows are read once, whatever the grid.  Lag order
-    p uses the leading block of the largest order, on the same rows.  Equal scores go
-    to the earlier delay, then the smaller threshold, then the earlier lag order.
+    A row falls into the bin of the number of candidates below its driver, and the products of a bin are one
+    matrix, added up within each task.  A (model, delay) is then one stream of parts in the order of its bins: their
+    prefix sums are the products of the low regime at every candidate, and the rest are those of the high
+    regime.  That task holds a matrix for each candidate, whatever the number of rows.  The winner of a model is a
+    minimum over its scored candidates.  Lag order p uses the leading block of the largest order, on the same rows.
+    Equal scores go to the earlier delay, then the smaller threshold, then the earlier lag order.
     ``given`` (model, theta) replaces the search of the threshold.
     """
     pmax = max(lags)
@@ -164,52 +188,67 @@ def search_threshold(vectors: DataFrame, lags: Sequence[int], delays: Sequence[i
     if given is not None:
         grids = given.select("model", F.explode(F.array(*[F.lit(d) for d in delays])).alias("delay"),
                              F.array(F.col("theta").cast("double")).alias("grid"))
+    bin_ = F.size(F.filter("grid", lambda g: g < F.col("q")))
     binned = long.join(grids, ["model", "delay"]).select(
-        "model", "delay", F.size(F.filter("grid", lambda g: g < F.col("q"))).alias("bin"),
-        F.concat("x", "y").alias("z"), F.size("y").alias("k"),
+        "model", "delay", bin_.alias("bin"), F.get("grid", bin_).alias("theta"), F.concat("x", "y").alias("z"), F.size("y").alias("k"),
     )
-    parts = product_sums(binned, ["model", "delay", "bin", "k"]).join(grids, ["model", "delay"])
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, m = int(pdf["k"].iloc[0]), int(pdf["m"].iloc[0])
-        model = pdf["model"].iloc[0]
-        found: tuple | None = None
-        for delay in delays:
-            part = pdf[pdf["delay"] == delay]
-            if part.empty:
-                continue
-            theta = np.asarray(part["grid"].iloc[0], dtype=float)
-            sums = np.zeros((len(theta) + 1, m * m))
-            np.add.at(sums, part["bin"].to_numpy(), np.vstack(part["gram"].to_numpy()))
-            upto = np.cumsum(sums, axis=0)
-            low = upto[:-1].reshape(-1, m, m)
-            high = upto[-1].reshape(m, m) - low
-            n_low, n_high = np.rint(low[:, 0, 0]), np.rint(high[:, 0, 0])
-            share = n_low / (n_low + n_high)
-            ok = (share >= min_share) & (1 - share >= min_share) & (n_low >= min_obs) & (n_high >= min_obs)
-            if not ok.any():
-                continue
-            at = np.flatnonzero(ok)
-            score = np.full((len(at), len(lags)), np.inf)
-            for c, p in enumerate(lags):
-                total = np.zeros(len(at))
-                for gram, n in ((low[at], n_low[at]), (high[at], n_high[at])):
-                    _, ssp = linalg.residual_products(gram, 1 + k * p, k)
-                    rss = np.diagonal(ssp, axis1=1, axis2=2)
-                    total = total + linalg.information_criterion(rss, n, 1 + k * p, criterion)
-                score[:, c] = total
-            spot = int(np.argmin(score))
-            i, c = divmod(spot, len(lags))
-            if np.isfinite(score[i, c]) and (found is None or score[i, c] < found[4]):
-                g = at[i]
-                found = (model, lags[c], delay, float(theta[g]), float(score[i, c]), float(share[g]),
-                         float(1 - share[g]), int(n_low[g]), int(n_high[g]), None)
-        row = found or (model, None, None, None, None, None, None, None, None, "no admissible threshold")
-        return pd.DataFrame([row], columns=[f.split()[0] for f in _SEARCH.split(", ")]).astype(
-            {"p": "Int32", "delay": "Int32", "n_low": "Int64", "n_high": "Int64"}
-        )
-
-    return parts.groupBy("model").applyInPandas(best, _SEARCH)
+    parts = product_sums(binned, ["model", "delay", "bin"], ["theta", "k"])
+    ordered = parts.repartition("model", "delay").sortWithinPartitions("model", "delay", "bin")
+    scored = ordered.mapInPandas(_scored(lags, criterion, min_share, min_obs), _SCORED)
+    order = F.array_position(F.array(*[F.lit(d) for d in delays]), F.col("delay"))
+    first = F.array_position(F.array(*[F.lit(p) for p in lags]), F.col("p"))
+    ranked = F.struct("score", order.alias("_d"), "theta", first.alias("_p"), "p", "delay", "share_low", "share_high", "n_low", "n_high")
+    best = scored.groupBy("model").agg(F.min(F.when(F.col("score").isNotNull(), ranked)).alias("_b")).select("model", "_b.*")
+    names = [f.split()[0] for f in _SEARCH.split(", ")]
+    return best.withColumn("issue", F.when(F.col("score").isNull(), F.lit("no admissible threshold"))).select(*names)
+
+
+def _scored(lags: list[int], criterion: str, min_share: float, min_obs: int):
+    """Function for mapInPandas over parts in order: the admissible candidates of each (model, delay) with their
+    score at each lag order, or one row without a score."""
+    columns = [f.split()[0] for f in _SCORED.split(", ")]
+    types = {"p": "Int32", "delay": "Int32", "n_low": "Int64", "n_high": "Int64"}
+
+    def candidates(group: tuple, theta: list, sums: list[np.ndarray]) -> list[list]:
+        model, delay, k, m = group
+        upto = np.cumsum(np.array(sums), axis=0).reshape(-1, m, m)
+        real = np.array([t is not None and t == t for t in theta])  # the rows above the last candidate belong to no split
+        low = upto[real]
+        high = upto[-1] - low
+        theta = [t for t, r in zip(theta, real, strict=True) if r]
+        n_low, n_high = np.rint(low[:, 0, 0]), np.rint(high[:, 0, 0])
+        share = n_low / (n_low + n_high)
+        at = np.flatnonzero((share >= min_share) & (1 - share >= min_share) & (n_low >= min_obs) & (n_high >= min_obs))
+        out = []
+        for p in lags if len(at) else ():
+            score = np.zeros(len(at))
+            for gram, n in ((low[at], n_low[at]), (high[at], n_high[at])):
+                _, ssp = linalg.residual_products(gram, 1 + k * p, k)
+                score = score + linalg.information_criterion(np.diagonal(ssp, axis1=1, axis2=2), n, 1 + k * p, criterion)
+            out += [[model, p, delay, float(theta[g]), float(x), float(share[g]), float(1 - share[g]), int(n_low[g]), int(n_high[g])]
+                    for g, x in zip(at, score, strict=True) if np.isfinite(x)]
+        return out or [[model, None, delay, None, None, None, None, None, None]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, bins, theta, sums = None, [], [], []
+        for batch in batches:
+            out = []
+            for model, delay, bin_, t, k, m, gram in batch[["model", "delay", "bin", "theta", "k", "m", "gram"]].itertuples(index=False, name=None):
+                if (model, delay, k, m) != current:
+                    out += candidates(current, theta, sums) if current else []
+                    current, bins, theta, sums = (model, delay, k, m), [], [], []
+                if bins and bins[-1] == bin_:
+                    sums[-1] = sums[-1] + gram
+                else:
+                    bins.append(bin_)
+                    theta.append(t)
+                    sums.append(gram)
+            if out:
+                yield pd.DataFrame(out, columns=columns).astype(types)
+        if current:
+            yield pd.DataFrame(candidates(current, theta, sums), columns=columns).astype(types)
+
+    return run
 
 
 def search_with_fallback(vectors: DataFrame, lags: Sequence[int], delays: Sequence[int], smooth: int = 1,

@@ -164,18 +164,50 @@ def threshold_search_linear(spark, sf):
     return fit.search_with_fallback(I.pair_vectors(spark, sf), [1], [1], smooth=3, ngrid=20, trim=0.15)
 
 
-def wide_vectors(spark, sf, n: int = 18):
-    """Two models with eighteen weekly series each."""
-    returns = series.log_return(I.unit_prices(spark, sf, "p_brand", "week"), out="ret")
-    members = spark.createDataFrame(
-        [(d, f"Brand#{i}", i) for d in ("vol", "macro") for i in range(1, n + 1)], "model string, series string, pos int")
+cte("uz", """
+SELECT model, date, q, row_number() OVER m AS t, (ret - avg(ret) OVER a) / stddev_samp(ret) OVER a AS y FROM (
+  SELECT d."index" || ':' || series AS model, r.date, ret, value AS q FROM wret r JOIN widx d ON d.date = r.date WHERE ret IS NOT NULL AND value IS NOT NULL) j
+WINDOW m AS (PARTITION BY model ORDER BY date), a AS (PARTITION BY model)""")
+cte("ud", """
+SELECT model, u.delay, x1, x2, y, CASE u.delay WHEN 1 THEN q1 ELSE q2 END AS q FROM (
+  SELECT *, lag(y) OVER w AS x1, lag(y, 2) OVER w AS x2, lag(q) OVER w AS q1, lag(q, 2) OVER w AS q2 FROM uz WINDOW w AS (PARTITION BY model ORDER BY date)) s, (VALUES (1), (2)) AS u(delay)
+WHERE t > 2 AND CASE u.delay WHEN 1 THEN q1 ELSE q2 END IS NOT NULL""")
+cte("uranked", "SELECT model, delay, q AS v, row_number() OVER (PARTITION BY model, delay ORDER BY q) AS rn, count(*) OVER (PARTITION BY model, delay) AS n FROM ud")
+_few_probs = ", ".join(f"({float(p)!r}::DOUBLE)" for p in np.linspace(0.15, 0.85, 20))
+
+
+@query("threshold_search_lags", f"""
+WITH g AS (SELECT DISTINCT model, delay, theta FROM ({_type8("uranked", _few_probs)}) t),
+m AS (SELECT model, d.delay, theta, q <= theta AS low, count(*) AS n, covar_pop(x1, x1) AS x1x1, covar_pop(x1, x2) AS x1x2, covar_pop(x2, x2) AS x2x2, covar_pop(x1, y) AS x1y,
+  covar_pop(x2, y) AS x2y, covar_pop(y, y) AS yy FROM ud d JOIN g USING (model, delay) GROUP BY 1, 2, 3, 4),
+f AS (SELECT model, delay, theta, low, n, unnest([1, 2]) AS p, unnest([yy - x1y * x1y / x1x1,
+  yy - (x1y * (x1y * x2x2 - x2y * x1x2) + x2y * (x2y * x1x1 - x1y * x1x2)) / (x1x1 * x2x2 - x1x2 * x1x2)]) AS s2 FROM m),
+r AS (SELECT model, delay, theta, p, count(*) AS k, min(n) AS least, sum(n) AS n, sum(CASE WHEN low THEN n ELSE 0 END) AS n_low, sum(n * ln(s2) + (1 + p) * ln(n)) AS score FROM f GROUP BY 1, 2, 3, 4),
+b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score, delay, theta, p) AS rn FROM r WHERE k = 2 AND n_low / n >= 0.15 AND 1 - n_low / n >= 0.15 AND least >= 30)
+SELECT model, p::INT AS p, delay::INT AS delay, round(theta, 4) + 0.0 AS theta, round(score, 4) + 0.0 AS score, round(n_low / n, 4) + 0.0 AS share_low,
+  round(1 - n_low / n, 4) + 0.0 AS share_high, n_low::BIGINT AS n_low, (n - n_low)::BIGINT AS n_high, NULL AS issue FROM b WHERE rn = 1""", digits=4)
+def threshold_search_lags(spark, sf):
+    """Lag order, delay and threshold of every type on its own, with each index as the driver."""
+    returns = cut_lineage(series.log_return(I.unit_prices(spark, sf, unit="week"), out="ret"))
+    q = I.indices(spark, sf, "week")
+    models = returns.select("series").distinct().withColumn("index", F.explode(F.array(F.lit("vol"), F.lit("macro")))).withColumn("model", F.concat_ws(":", "index", "series"))
+    members = models.select("model", "series", F.lit(0).alias("pos"))
+    drivers = models.join(q, "index").select("model", "date", F.col("value").alias("q"))
+    return fit.search_threshold(cut_lineage(fit.model_vectors(returns, members, drivers)), [1, 2], [1, 2], ngrid=20)
+
+
+def wide_vectors(spark, sf):
+    """Two models with the weekly series of all brands."""
+    returns = cut_lineage(series.log_return(I.unit_prices(spark, sf, "p_brand", "week"), out="ret"))
+    pos = F.regexp_extract("series", r"(\d+)", 1).cast("int").alias("pos")
+    members = returns.select("series").distinct().select(F.explode(F.array(F.lit("vol"), F.lit("macro"))).alias("model"), "series", pos)
     q = I.indices(spark, sf, "week").select(F.col("index").alias("model"), "date", F.col("value").alias("q"))
     return cut_lineage(fit.model_vectors(returns, members, q))
 
 
 @query("threshold_search_wide")
 def threshold_search_wide(spark, sf):
-    """Search over three lag orders, two delays and a hundred thresholds with eighteen series."""
+    """Search over three lag orders, two delays and a hundred thresholds with every brand."""
     return fit.search_threshold(wide_vectors(spark, sf), [2, 3, 4], [1, 2], ngrid=100, min_obs=30)
 
 
