@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, isqrt
 
 import numpy as np
@@ -77,19 +78,23 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str, label: s
     return rows.join(starts, [group, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` named by ``kept`` (doc_id, digest, copies), each ``copies`` times, with all their columns.
+def keep_rows(docs: DataFrame, kept: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs`` named by ``kept`` (doc_id, digest, ``by``, copies), each ``copies`` times, with all their columns.
 
-    A pair (doc_id, digest) stands once in ``kept``; of repeated rows of ``docs`` one is taken.  Extra columns of
-    ``docs`` may have any names.
+    A name stands once in ``kept``.  Of rows of ``docs`` with one name the one with the least hash of its other columns is
+    taken.  Extra columns of ``docs`` may have any names.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("a"), digest(F.col("text")).alias("b"))
-    twice = rows.groupBy("a", "b").count().filter("count > 1").limit(1).count()
+    names = [f"k{i}" for i in range(len(by) + 2)]
+    own = [F.col("doc_id"), digest(F.col("text")), *(F.col(c) for c in by)]
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(n) for c, n in zip(own, names, strict=True)))
+    twice = rows.groupBy(*names).count().filter("count > 1").limit(1).count()
     if twice:
-        rows = rows.groupBy("a", "b").agg(F.first("row").alias("row"))
-    names = kept.select(F.col("doc_id").alias("c"), F.col("digest").alias("d"), F.col("copies").cast("int").alias("copies"))
-    joined = rows.join(names, F.col("a").eqNullSafe(F.col("c")) & (F.col("b") == F.col("d")))
-    return joined.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("row.*")
+        others = [F.col("row")[c] for c in docs.columns if c != "text"]
+        rows = rows.groupBy(*names).agg(F.min_by("row", F.xxhash64(F.to_json(F.struct(*others)))).alias("row"))
+    given = kept.select(*(F.col(c).alias(f"g{i}") for i, c in enumerate(("doc_id", "digest", *by))), F.col("copies").cast("int").alias("copies"))
+    same = [F.col(n).eqNullSafe(F.col(f"g{i}")) for i, n in enumerate(names)]
+    joined = rows.join(given, reduce(Column.__and__, same)).filter("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("row.*")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -139,12 +144,16 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295)"
 
 
-def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray], groups: int = 256) -> np.ndarray:
     """Sum over all rows of the matrix (of fixed shape) that ``matrix`` gives for a batch.
 
-    Each task adds its own part; the parts are added entry by entry, so no task holds the parts of all others, and only
-    the sum goes to the driver.  Without rows the result is empty.
+    Each task adds its own part.  Parts are added within ``groups`` groups of tasks, then across the groups; both read
+    their parts as a stream in order, so a task holds two matrices and only the sum goes to the driver.  Without rows the
+    result is empty.
     """
+    schema = pa.schema([("of", pa.int32()), ("width", pa.int32()), ("sum", pa.binary())])
+    ddl = "of int, width int, sum binary"
+
     def part(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in source:
@@ -152,12 +161,21 @@ def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> n
                 m = matrix(batch)
                 total = m if total is None else total + m
         if total is not None:
-            yield pa.record_batch([pa.array(range(len(total)), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
-
-    parts = rows.mapInArrow(part, "i long, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
-    sums = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-    if sums.empty:
-        return np.zeros(0)
-    out = np.zeros((int(sums["i"].max()) + 1, int(sums["j"].max()) + 1))
-    out[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["x"].to_numpy()
-    return out
+            yield pa.record_batch([[0], [total.shape[1]], [total.astype("<f8").tobytes()]], schema=schema)
+
+    def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, width, total = None, 0, None
+        for batch in source:
+            for i in range(batch.num_rows):
+                of, m = batch.column(0)[i].as_py(), np.frombuffer(batch.column(2)[i].as_py(), "<f8")
+                if of != current and current is not None:
+                    yield pa.record_batch([[current], [width], [total.tobytes()]], schema=schema)
+                total = m if of != current else total + m
+                current, width = of, batch.column(1)[i].as_py()
+        if current is not None:
+            yield pa.record_batch([[current], [width], [total.tobytes()]], schema=schema)
+
+    parts = rows.mapInArrow(part, ddl).select((F.spark_partition_id() % groups).alias("of"), "width", "sum", F.spark_partition_id().alias("task"))
+    some = parts.repartition("of").sortWithinPartitions("of", "task").select("of", "width", "sum").mapInArrow(add, ddl)
+    whole = some.repartition(1).sortWithinPartitions("of").select(F.lit(0).alias("of"), "width", "sum").mapInArrow(add, ddl).first()
+    return np.frombuffer(whole["sum"], "<f8").reshape(-1, whole["width"]).copy() if whole else np.zeros(0)

@@ -29,7 +29,8 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.3
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_SAMPLE = pa.schema([("y", pa.int32()), ("calibrates", pa.bool_()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+_SAMPLE = pa.schema([("y", pa.int32()), ("calibrates", pa.bool_()), ("grams", pa.binary())])
+_STEP = pa.schema([("learner", pa.int32()), ("z", pa.binary()), ("squares", pa.binary())])
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +62,12 @@ def _row(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / size if size else x
 
 
+def _grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often) of a stored row."""
+    pair = np.frombuffer(data, "<i4").reshape(2, -1)
+    return pair[0], pair[1]
+
+
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The regularised leader: coordinates whose sum stays within the first penalty are zero."""
     w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
@@ -92,8 +99,8 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, most: int = MOST_TRAIN
 
     Languages and document frequencies cover all of these rows.  The weights are fitted on about ``most`` of them at most,
     chosen by a hash of the id with the same number for each language; a fifth of those set the temperature instead.
-    Learners work on their own rows; what they add to the leader's sums is added up after each pass.  Rows without id, language or letters do
-    not teach.  Without any teaching row the model knows no language.
+    Equal rows are one row that counts 1 + ln(copies) times.  Each learner reads its own rows as a stream in the order of a
+    hash; what the learners add to the leader's sums is added up after each pass.  Rows without id, language or letters do not teach.  Without any teaching row the model knows no language.
     """
     known = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != held)).select("doc_id", "text", "lang")
     rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").collect()}
@@ -117,33 +124,38 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, most: int = MOST_TRAIN
         for text, lang, calibrates in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if has_letter(text):
                 at, n = counts(text)
-                yield [languages.index(lang), calibrates, at.tolist(), n.tolist()]
+                yield [languages.index(lang), calibrates, np.stack([at, n]).astype("<i4").tobytes()]
 
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 11) / float(1 << 53)
     wanted = F.element_at(F.create_map(*[F.lit(v) for x in share.items() for v in x]), F.col("lang"))
     chosen = known.filter(place < wanted).select("text", "lang", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0).alias("calibrates"))
-    teach = stored(chosen.mapInArrow(batches(sample, _SAMPLE, 500), "y int, calibrates boolean, at array<int>, n array<int>"), "language-sample")
-    learner = F.pmod(F.xxhash64("y", "at", "n"), F.lit(LEARNERS)).alias("learner")
-    fit = teach.filter("NOT calibrates").select(learner, F.crc32(F.to_json("n").cast("binary")).alias("place"), "y", "at", "n")
+    teach = chosen.mapInArrow(batches(sample, _SAMPLE, 100), "y int, calibrates boolean, grams binary")
+    teach = stored(teach.groupBy("y", "calibrates", "grams").agg(F.count(F.lit(1)).alias("copies")), "language-sample")
+    place = F.xxhash64("grams", "y")
+    fit = teach.filter("NOT calibrates").select(F.pmod(place, F.lit(LEARNERS)).cast("int").alias("learner"), place.alias("place"), "y", "grams", "copies")
+    fit = fit.repartitionById(LEARNERS, "learner").sortWithinPartitions("place", "grams", "y").select("learner", "y", "grams", "copies")
     z, squares = np.zeros((SIZE, len(languages))), np.zeros((SIZE, len(languages)))
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        own_z, own_n = z.copy(), squares.copy()
-        group = group.sort_values(["place", "y"])
-        for y, at, n in zip(group["y"], group["at"], group["n"], strict=True):
-            at = np.asarray(at)
-            x = _row(at, np.asarray(n), idf)
-            w = _weights(own_z[at], own_n[at])
-            error = _softmax(x @ w)
-            error[y] -= 1
-            g = x[:, None] * error
-            step = (np.sqrt(own_n[at] + g ** 2) - np.sqrt(own_n[at])) / ALPHA
-            own_z[at] += g - step * w
-            own_n[at] += g ** 2
-        return pd.DataFrame({"z": [(own_z - z).tobytes()], "squares": [(own_n - squares).tobytes()]})
+    def learn(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        own_z, own_n, learner = z.copy(), squares.copy(), None
+        for batch in source:
+            for i in range(batch.num_rows):
+                learner, y, grams, copies = (c[i].as_py() for c in batch.columns)
+                at, n = _grams(grams)
+                x = _row(at, n, idf)
+                w = _weights(own_z[at], own_n[at])
+                error = _softmax(x @ w)
+                error[y] -= 1
+                g = x[:, None] * error * (1 + np.log(copies))
+                step = (np.sqrt(own_n[at] + g ** 2) - np.sqrt(own_n[at])) / ALPHA
+                own_z[at] += g - step * w
+                own_n[at] += g ** 2
+        if learner is not None:
+            yield pa.record_batch([[learner], [(own_z - z).tobytes()], [(own_n - squares).tobytes()]], schema=_STEP)
 
     for _ in range(PASSES):
-        for r in fit.groupBy("learner").applyInPandas(learn, "z binary, squares binary").collect():
+        for r in fit.mapInArrow(learn, "learner int, z binary, squares binary").orderBy("learner").toLocalIterator():
             z = z + np.frombuffer(r["z"]).reshape(z.shape)
             squares = squares + np.frombuffer(r["squares"]).reshape(z.shape)
     weights = _weights(z, squares)
@@ -151,13 +163,14 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0, most: int = MOST_TRAIN
 
     def losses(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros((1, len(tried)))
-        for y, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            at = np.array(at)
-            p = _softmax(_row(at, np.array(n), idf) @ weights[at] / tried[:, None])
-            total[0] -= np.log(np.maximum(p[:, y], 1e-300))
+        for i in range(batch.num_rows):
+            y, grams, copies = (c[i].as_py() for c in batch.columns)
+            at, n = _grams(grams)
+            p = _softmax(_row(at, n, idf) @ weights[at] / tried[:, None])
+            total[0] -= copies * np.log(np.maximum(p[:, y], 1e-300))
         return total
 
-    loss = summed(teach.filter("calibrates").select("y", "at", "n"), losses)
+    loss = summed(teach.filter("calibrates").select("y", "grams", "copies"), losses)
     return Model(languages, idf, weights, float(tried[loss[0].argmin()]) if len(loss) else 1.0)
 
 

@@ -81,10 +81,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, whole and as often as it takes them."""
+    """The documents of the mix, whole and as often as it takes them.
+
+    Rows of one id and text count for their own sources.
+    """
     parts = mix(docs)
-    kept = parts.groupBy("doc_id", "digest").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    return keep_rows(docs, kept)
+    kept = parts.groupBy("doc_id", "digest", "source").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    return keep_rows(docs, kept, ("source",))
 
 
 ORACLE = r"""
