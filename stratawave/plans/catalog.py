@@ -7,6 +7,7 @@ from stratawave.plans import (  # noqa: F401
     queries_scenarios,
     queries_series,
 )
+from stratawave.plans import queries_chain  # noqa: F401  (its table expressions follow those of the others)
 from stratawave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

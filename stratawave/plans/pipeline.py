@@ -100,9 +100,12 @@ def pooled_benchmark(vectors: DataFrame, lags: int) -> DataFrame:
     return fit.ols(fit.pooled_rows(vectors, lags), "resid")
 
 
-def regime_dynamics(path: DataFrame, keys: Sequence[str] = ("model",), min_len: int = 1, draws: int = 2000) -> dict[str, DataFrame]:
+def regime_dynamics(path: DataFrame, keys: Sequence[str] = ("model",), min_len: int = 1, draws: int = 2000,
+                    roots: DataFrame | None = None) -> dict[str, DataFrame]:
     """Spells, transitions, bootstrap interval and the one-row summary of state paths.
 
+    ``roots`` (keys, regime, rho) are those of the fits, as :func:`fit.stability` gives them.
+
     The paths (one row per step) are checkpointed, as every table here reads them.
     """
     if min_len > 1:
@@ -114,7 +117,7 @@ def regime_dynamics(path: DataFrame, keys: Sequence[str] = ("model",), min_len:
         "spells": spells, "spell_summary": R.spell_summary(spells, keys), "transitions": R.tidy_transitions(probs, keys),
         "chain": R.chain_summary(R.renormalize(probs)), "interval": R.persistence_interval(probs, keys),
         "bootstrap": R.bootstrap_transitions(path, R.block_length(spells, keys), draws, keys),
-        "summary": R.regime_statistics(path, spells, probs, keys=keys),
+        "summary": R.regime_statistics(path, spells, probs, roots, keys=keys),
     }
 
 
