@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stratawave.operators import fit, states
+from stratawave.operators import fit
 from stratawave.plans import inputs as I
 from stratawave.plans import pipeline
 from stratawave.plans.queries_models import H, _pooled, _split
