@@ -97,6 +97,11 @@ def keep_rows(docs: DataFrame, kept: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("row.*")
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """The distinct nodes of ``edges`` (a, b); each side is combined where it lies, so no edge becomes two rows."""
+    return edges.select(F.col("a").alias("node")).distinct().union(edges.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
@@ -120,7 +125,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     def sign(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = ends(edges)
     pairs = stored(edges.filter("a <> b").select("a", "b").distinct(), f"{label}-edges")
     seen = sign(pairs)
     while True:
