@@ -3,7 +3,8 @@
 Equal vectors of a label are one node.  Nodes are dealt to the shards of their nearest centres, so shards overlap.  Each
 shard builds its part of the graph; the adjacency lists of a node are united.  Each shard then searches for the nodes
 that it is nearest to, from its medoid and from the node itself, over the united lists: greedily towards the node,
-and on through everything that is near enough.  Every link found is verified in double precision.
+and on through everything that is near enough.  Every link found is verified in double precision.  Where the audit finds too few links, every node
+visits all shards that can hold a link of it, so the result is whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ SHARD, MOST_CENTRES, OVERLAP = 1000, 8192, 2
 CANDIDATES, DEGREE, SLACK = 48, 24, 1.2
 #: Nodes that a search opens on its way, besides all that are near enough.
 STEPS = 12
-#: Audit: queries compared with all rows, the recall wanted, and the rounds in which the overlap may double.
-AUDITED, RECALL, ROUNDS = 200, 0.95, 3
+#: Audit: queries of each kind compared with all rows, and the recall below which the graph's links are completed.
+AUDITED, RECALL = 200, 0.99
+#: Visitors that a task of the completion compares with a shard, and those of one product.
+VISITORS, BLOCK = 4096, 512
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -213,12 +216,18 @@ def found_links(nodes: DataFrame, members: DataFrame, lists: DataFrame) -> DataF
 
 
 def audit(nodes: DataFrame, counts: DataFrame, audited: int = AUDITED) -> float:
-    """Share of the links that the search has found, of ``audited`` nodes chosen by hash, held against all nodes."""
-    n = max(1, nodes.count())
-    sample = nodes.filter(F.col("place") < audited / n).join(counts, "node").select("label", "size", "node", "embedding", "n").toPandas()
+    """Share of their links that the search has found for audited nodes, held against all nodes.
+
+    About ``audited`` of all nodes and as many of those with links are chosen by hash.  The result is the smaller of the
+    share of all their links and the mean of the nodes' shares, as dense groups weigh most in the first, small ones in the second.
+    """
+    known = nodes.join(counts, "node")
+    n, linked = known.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > 0, 1))).first()
+    chosen = (F.col("place") < audited / max(1, n)) | ((F.col("n") > 0) & (F.col("place") < audited / max(1, linked)))
+    sample = known.filter(chosen).select("label", "size", "node", "embedding", "n").toPandas()
     if sample.empty:
         return 1.0
-    by_key = {key: (g.index.to_numpy(), g["node"].to_numpy(), _unit(g["embedding"].to_list())) for key, g in sample.reset_index(drop=True).groupby(["label", "size"])}
+    by_key = {key: (g.index.to_numpy(), g["node"].to_numpy(), _unit(g["embedding"].to_list())) for key, g in sample.groupby(["label", "size"])}
 
     def exact(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros((1, len(sample)))
@@ -231,7 +240,82 @@ def audit(nodes: DataFrame, counts: DataFrame, audited: int = AUDITED) -> float:
         return total
 
     truth = summed(nodes.select("label", "size", "node", "times", "embedding"), exact)[0]
-    return float(np.minimum(sample["n"].to_numpy(), truth).sum() / truth.sum()) if truth.sum() else 1.0
+    some = truth > 0
+    if not some.any():
+        return 1.0
+    got, truth = np.minimum(sample["n"].to_numpy()[some], truth[some]), truth[some]
+    return float(min(got.sum() / truth.sum(), (got / truth).mean()))
+
+
+def completed(marked: DataFrame, centres: pd.DataFrame) -> DataFrame:
+    """(node, n, root) as of ``found_links``, with all links of all nodes.
+
+    Every node lives in the shard of its nearest centre.  A link spans an angle of at most t = arccos(NEAR), so the home of
+    a linked node is at most 2t farther from a node than its own centre is, and its centre is no farther than t beyond the
+    widest member of that shard; groups that fit a shard are one.  A node visits the shards that both bounds allow.  Visitors of a shard are
+    split into tasks of about ``VISITORS``, each with the shard's members; a task keeps counts and one root for each row, never pairs.
+    """
+    turn, rounding = float(np.arccos(NEAR)), 1e-6
+    by_key = {key: (g.index.to_numpy(), _unit(g["embedding"].to_list())) for key, g in centres.groupby(["label", "size"])}
+    context = marked.sparkSession.sparkContext
+    shared = context.broadcast(by_key)
+
+    def angles(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(x @ c.T, -1, 1))
+
+    def settle(source):
+        for frame in source:
+            for key, group in frame.groupby(["label", "size"]):
+                shards, c = shared.value[key]
+                away = angles(_unit(group["embedding"].to_list()), c)
+                at = away.argmin(axis=1)
+                yield pd.DataFrame({"shard": shards[at], "node": group["node"], "away": away.min(axis=1)})
+
+    given = marked.select("label", "size", "node", "times", "embedding")
+    spread = marked.filter("alone IS NULL").select(given.columns)
+    homes = stored(spread.mapInPandas(settle, "shard long, node long, away double"), "vector-homes")
+    widest = dict(homes.groupBy("shard").agg(F.max("away")).toPandas().itertuples(index=False))  # one row a centre
+    reach = context.broadcast({key: np.array([widest.get(s, -np.inf) for s in shards]) for key, (shards, _) in by_key.items()})
+
+    def visit(source):
+        for frame in source:
+            for key, group in frame.groupby(["label", "size"]):
+                shards, c = shared.value[key]
+                for i in range(0, len(group), BLOCK):
+                    part = group.iloc[i:i + BLOCK]
+                    away = angles(_unit(part["embedding"].to_list()), c)
+                    at, to = np.nonzero(away <= np.minimum(away.min(axis=1)[:, None] + 2 * turn, reach.value[key] + turn) + rounding)
+                    yield pd.DataFrame({"shard": shards[to], "node": part["node"].to_numpy()[at]})
+
+    one = marked.filter("alone IS NOT NULL").select(F.col("alone").alias("shard"), "node")
+    visits = stored(spread.mapInPandas(visit, "shard long, node long").union(one), "vector-visits")
+    rooms = stored(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("tasks")), "vector-rooms")
+    tasks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task")
+    members = homes.select("shard", "node").union(one).join(rooms, "shard").select("shard", tasks, "node", F.lit(True).alias("own"))
+    guests = visits.join(rooms, "shard").select("shard", F.pmod(F.xxhash64("node"), F.col("tasks")).alias("task"), "node", F.lit(False).alias("own"))
+    full = members.union(guests).join(given.select("node", "times", "embedding"), "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["own"].to_numpy()
+        home, guest = group[own], group[~own]
+        x, names, times = _unit(home["embedding"].to_list()), home["node"].to_numpy(), home["times"].to_numpy()
+        every, at = np.unique(np.concatenate([names, guest["node"].to_numpy()]), return_inverse=True)
+        mine, theirs = at[:len(home)], at[len(home):]
+        root, counts = np.arange(len(every)), np.zeros(len(guest), np.int64)
+        for i in range(0, len(guest), BLOCK):
+            part = guest.iloc[i:i + BLOCK]
+            near = (_unit(part["embedding"].to_list()) @ x.T >= NEAR) & (part["node"].to_numpy()[:, None] != names[None, :])
+            counts[i:i + BLOCK] = near @ times
+            q, other = np.nonzero(near)
+            a, b = root[theirs[i + q]], root[mine[other]]
+            root = _roots(len(every), a, b)[root]
+        out = pd.DataFrame({"node": guest["node"].to_numpy(), "n": pd.array(counts, "Int64"), "root": every[root[theirs]]})
+        rest = pd.DataFrame({"node": names, "n": pd.array([pd.NA] * len(names), "Int64"), "root": every[root[mine]]})
+        return pd.concat([out[counts > 0], rest[rest["root"] != rest["node"]]])
+
+    found = stored(full.groupBy("shard", "task").applyInPandas(compare, "node long, n long, root long"), "vector-completed")
+    sums = found.groupBy("node").agg(F.sum("n").alias("n")).filter("n IS NOT NULL")
+    return sums.select("node", "n", F.col("node").alias("root")).union(found.select("node", F.lit(None).cast("long").alias("n"), "root").distinct())
 
 
 def near_duplicates(vectors: DataFrame, per_centre: int = SHARD, overlap: int = OVERLAP) -> tuple[DataFrame, float]:
@@ -242,18 +326,17 @@ def near_duplicates(vectors: DataFrame, per_centre: int = SHARD, overlap: int =
     * Equal vectors are one node and count as links of each other; they are not expanded into pairs.
     * n_links: rows linked directly; component_id: least vec_id over links.  Repeated ids are rows of their own.
     * Centres are a sample of about 2 * MOST_CENTRES nodes at most; every node with others of its label is indexed and searched.  If the
-      audit finds fewer than RECALL of the links, the overlap doubles and the graph is built again.
+      audit finds fewer than RECALL of the links, ``completed`` adds all that are missing and the recall is audited again.
     """
     rows, nodes = nodes_of(vectors)
     marked, centres = centres_of(nodes, per_centre, MOST_CENTRES)
-    for _ in range(ROUNDS):
-        members = stored(dealt(marked, centres, overlap), "vector-shards")
-        lists = stored(graph(members), "vector-graph")
-        links = stored(found_links(nodes, members, lists), "vector-links")
-        recall = audit(nodes, links.filter("n IS NOT NULL").select("node", "n"))
-        if recall >= RECALL:
-            break
-        overlap *= 2
+    members = stored(dealt(marked, centres, overlap), "vector-shards")
+    lists = stored(graph(members), "vector-graph")
+    links = stored(found_links(nodes, members, lists), "vector-links")
+    recall = audit(nodes, links.filter("n IS NOT NULL").select("node", "n"))
+    if recall < RECALL:
+        links = stored(links.union(completed(marked, centres)), "vector-links")
+        recall = audit(nodes, links.filter("n IS NOT NULL").groupBy("node").agg(F.max("n").alias("n")))
     parts = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors")
     counts = links.groupBy("node").agg(F.max("n").alias("n"))
     named = nodes.select("node", "label", "embedding", "times", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counts, "node", "left")

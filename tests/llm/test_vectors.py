@@ -50,6 +50,25 @@ def test_dense_group_is_reached(spark):
     assert found == (unit @ unit.T >= vectors.NEAR).sum() - 300
 
 
+def test_group_over_many_shards_is_completed(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(32)
+    x = base / np.linalg.norm(base) + 0.13 * rng.standard_normal((4000, 32)) / np.sqrt(32)
+    x = np.concatenate([x, rng.standard_normal((500, 32))]).astype(np.float32)
+    rows = [(i, v.tolist(), 1, 7) for i, v in enumerate(x)] + [(5000 + i, x[i].tolist(), 2, 7) for i in range(30)]
+    got, recall = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), per_centre=100)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= vectors.NEAR
+    got = {r["vec_id"]: r for r in got.collect()}
+    assert recall == 1.0
+    assert [got[i]["n_links"] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    small = near[:30, :30].sum(axis=1) - 1
+    assert [got[5000 + i]["n_links"] for i in range(30)] == small.tolist()
+    root = np.arange(len(x))
+    a, b = np.nonzero(near)
+    assert [got[i]["component_id"] for i in range(len(x))] == vectors._roots(len(x), a, b)[root].tolist()
+
+
 def test_empty(spark):
     got, recall = vectors.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert got.count() == 0 and recall == 1.0
