@@ -137,6 +137,19 @@ def latest_per_key(spark, sf):
     )
 
 
+@query("latest_by_file_time", """
+SELECT o_custkey, coalesce(recent, whole) AS n, CASE WHEN recent IS NULL THEN 'first' ELSE 'second' END AS version FROM (
+  SELECT o_custkey, count(*) AS whole, nullif(count(*) FILTER (o_orderdate >= DATE '1997-01-01'), 0) AS recent FROM orders GROUP BY 1) s""")
+def latest_by_file_time(spark, sf):
+    """Orders of each customer from the newer of two stored versions; the second one holds the customers of late orders only."""
+    orders = readers.read_table(spark, sf, "orders").select("o_custkey", "o_orderdate")
+    path = _target(spark, "versions")
+    for version, rows in (("first", orders), ("second", orders.where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("date")))):
+        counts = rows.groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("version", F.lit(version))
+        writers.save(counts, f"{path}/{version}")
+    return writers.latest_by_file(spark, path, ["o_custkey"])
+
+
 @query("summary_upsert", """
 SELECT series, n, src FROM (SELECT series, count(*) AS n, 'new' AS src FROM prices WHERE date >= DATE '1999-01-01' AND series < 'M' GROUP BY 1)
 UNION ALL SELECT series, count(*), 'old' FROM prices WHERE series >= 'M' GROUP BY 1""")

@@ -82,6 +82,17 @@ def latest(df: DataFrame, keys: Sequence[str], stamp: str, ties: Sequence[str] =
     return best.select(*keys, "_row.*")
 
 
+def latest_by_file(spark: SparkSession, path: str, keys: Sequence[str], fmt: str = "parquet", ties: Sequence[str] = ()) -> DataFrame:
+    """Row of each key from the file written last, over all versions stored below ``path``.
+
+    The time is the file's own, which the scan gives as hidden metadata; files of one time are
+    ordered by their paths, rows of one file by ``ties``.
+    """
+    rows = spark.read.format(fmt).option("recursiveFileLookup", True).load(path)
+    stamped = rows.select("*", F.col("_metadata.file_modification_time").alias("_at"), F.col("_metadata.file_path").alias("_file"))
+    return latest(stamped, keys, "_at", ["_file", *ties]).drop("_at", "_file")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``new`` replaces the rows of ``old`` that have the same keys."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

@@ -1,8 +1,10 @@
 """Readers of files that no registered query reads."""
 
 import json
+import os
 
-from stratawave.sources import readers, specs
+import pytest
+from stratawave.sources import readers, specs, writers
 
 
 def test_quoted_lines_of_a_file(spark, tmp_path):
@@ -17,3 +19,22 @@ def test_specs_of_a_file(spark, tmp_path):
     path.write_text(json.dumps([{"name": "long", "horizon": 60, "regime": "LOW"}, {"name": "plain"}]))
     got = {r["name"]: (r["type"], r["regime"], r["horizon"]) for r in specs.read_specs(spark, f"file:{path}").collect()}
     assert got == {"long": ("path", "low", 60), "plain": ("path", "combined", 48)}
+
+
+@pytest.mark.parametrize("newer", ["a", "b"])
+def test_latest_by_file_takes_the_newer_file(spark, tmp_path, newer):
+    rows = {"a": [(1, 10), (2, 20), (None, 5)], "b": [(2, 21), (3, 30)]}
+    for name, values in rows.items():
+        writers.save(spark.createDataFrame(values, "k int, v int"), f"file:{tmp_path}/{name}")
+        for file in (tmp_path / name).glob("*.parquet"):
+            os.utime(file, (2_000_000_000, 2_000_000_000 + (name == newer)))
+    got = {r["k"]: r["v"] for r in writers.latest_by_file(spark, f"file:{tmp_path}", ["k"]).collect()}
+    assert got == {1: 10, 2: 20 if newer == "a" else 21, 3: 30, None: 5}
+
+
+def test_latest_by_file_of_one_time(spark, tmp_path):
+    for name, values in (("a", [(1, 3), (1, 9)]), ("b", [(1, 4), (1, 6)])):
+        writers.save(spark.createDataFrame(values, "k int, v int").coalesce(1), f"file:{tmp_path}/{name}")
+        for file in (tmp_path / name).glob("*.parquet"):
+            os.utime(file, (2_000_000_000, 2_000_000_000))
+    assert [tuple(r) for r in writers.latest_by_file(spark, f"file:{tmp_path}", ["k"], ties=["v"]).collect()] == [(1, 6)]
