@@ -109,5 +109,5 @@ def impact_matrix(sigma: np.ndarray, method: str, order: list[int] | None = None
         score = [sum(np.sign(f * a[r, shock]) == w or (w == 0 and abs(a[r, shock]) < 1e-12) for r, w in wanted)
                  for f in (1, -1)]
         if score[1] > score[0]:
-            a[:, shock] = -a[:, shock]
+            a[:, shock] = 0.0 - a[:, shock]
     return a

@@ -553,7 +553,10 @@ def complete_ordering(ordering: Sequence[str] | None, variables: Sequence[str])
 def impact_matrices(covs: DataFrame, method: str = "cholesky", ordering: Sequence[str] | None = None,
                     shrink: float = 0.0, floor: float = 1e-8, signs: Sequence[tuple[str, str, str]] = (),
                     custom: Sequence[float] | None = None) -> DataFrame:
-    """Impact matrix per covariance as a flat column ``a`` next to the keys."""
+    """Impact matrix per covariance as a flat column ``a`` next to the keys.
+
+    A sign constraint binds the models that have both of its variables.
+    """
     if not 0 <= shrink < 1:
         raise ValueError("shrink must be in [0, 1)")
     if method == "custom" and custom is None:
@@ -568,7 +571,7 @@ def impact_matrices(covs: DataFrame, method: str = "cholesky", ordering: Sequenc
         for s, nm, n in zip(sigma, names, k):
             nm, n = list(nm), int(n)
             order = [nm.index(v) for v in complete_ordering(ordering, nm)]
-            sc = [(nm.index(r), nm.index(c), wanted[w]) for r, c, w in signs]
+            sc = [(nm.index(r), nm.index(c), wanted[w]) for r, c, w in signs if r in nm and c in nm]
             a = linalg.impact_matrix(np.asarray(s, float).reshape(n, n), method, order, shrink, floor, sc,
                                      None if custom is None else np.asarray(custom, float))
             out.append(a.ravel())

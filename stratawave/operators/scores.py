@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +15,25 @@ from stratawave.sources.writers import latest
 YES, PARTLY, NO, NONE = "✓", "△", "✗", "–"
 
 
-def index_wedge(table: DataFrame, value: str, out: str, a: str = "Volatility", b: str = "JLN") -> DataFrame:
-    """High-regime measure of one index minus that of the other, per group."""
+def index_wedge(table: DataFrame, value: str, out: str, a: str = "Volatility", b: str = "JLN",
+                keys: Sequence[str] = ("group",)) -> DataFrame:
+    """High-regime measure of one index minus that of the other, per key."""
     high = table.where(F.upper("regime") == "H").withColumn("proxy", scalars.fold_proxy(F.col("proxy")))
 
     def side(name: str) -> Column:
         return F.median(F.when(F.col("proxy") == name, F.col(value)))
 
-    return high.groupBy("group").agg((side(a) - side(b)).alias(out))
+    return high.groupBy(*keys).agg((side(a) - side(b)).alias(out))
 
 
-def wedges(shares: DataFrame, half_lives: DataFrame, persistence: DataFrame) -> DataFrame:
-    """Differences of the two indices per group: shares at 12 and 24, persistence, half-life."""
-    dd12 = share_wedge(shares, 12).select("group", F.col("value").alias("dd12"))
-    dd24 = share_wedge(shares, 24).select("group", F.col("value").alias("dd24"))
-    dpi = index_wedge(persistence, "PI", "dpi")
-    dhl = index_wedge(half_lives, "half_life", "dhl")
-    return dd12.join(dd24, "group", "full").join(dpi, "group", "left").join(dhl, "group", "left")
+def wedges(shares: DataFrame, half_lives: DataFrame, persistence: DataFrame, keys: Sequence[str] = ("group",)) -> DataFrame:
+    """Differences of the two indices per key: shares at 12 and 24, persistence, half-life."""
+    keys = list(keys)
+    dd12 = share_wedge(shares, 12, keys=keys).select(*keys, F.col("value").alias("dd12"))
+    dd24 = share_wedge(shares, 24, keys=keys).select(*keys, F.col("value").alias("dd24"))
+    dpi = index_wedge(persistence, "PI", "dpi", keys=keys)
+    dhl = index_wedge(half_lives, "half_life", "dhl", keys=keys)
+    return dd12.join(dd24, keys, "full").join(dpi, keys, "left").join(dhl, keys, "left")
 
 
 def graded(x: Column, good: float, fair: float) -> Column:
@@ -80,11 +84,11 @@ def splice_mark(selection: DataFrame) -> DataFrame:
     )
 
 
-def robustness(wedge_table: DataFrame, selection: DataFrame) -> DataFrame:
-    """Marks per group."""
+def robustness(wedge_table: DataFrame, selection: DataFrame, keys: Sequence[str] = ("group",)) -> DataFrame:
+    """Marks per key."""
     d12, d24 = F.col("dd12"), F.col("dd24")
     return wedge_table.select(
-        "group", score_shares(d12, d24).alias("dd"), score_horizon(d12, d24).alias("horizon"),
+        *keys, score_shares(d12, d24).alias("dd"), score_horizon(d12, d24).alias("horizon"),
         graded(F.col("dpi"), 0.15, 0.05).alias("d_pi"), graded(F.col("dhl"), 0.05, 0.02).alias("d_half_life"),
         diagnostics_mark(selection).scalar().alias("diagnostics"), splice_mark(selection).scalar().alias("splice"),
     )

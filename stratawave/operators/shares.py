@@ -90,8 +90,9 @@ def trivial_shares(delta: DataFrame) -> DataFrame:
 
 
 def share_wedge(shares: DataFrame, horizon: int, a: str = "Volatility", b: str = "JLN",
-                synonyms: dict[str, str] = PROXY_SYNONYMS, horizons: Sequence[int] = (12, 24)) -> DataFrame:
-    """(high - low) of index ``a`` minus (high - low) of index ``b`` per group, at the
+                synonyms: dict[str, str] = PROXY_SYNONYMS, horizons: Sequence[int] = (12, 24),
+                keys: Sequence[str] = ("group",)) -> DataFrame:
+    """(high - low) of index ``a`` minus (high - low) of index ``b`` per key, at the
     available horizon nearest to ``horizon``."""
     nearest = min(horizons, key=lambda h: (abs(h - horizon), h))
     folded = shares.where(F.col("horizon") == nearest).withColumn("proxy", scalars.fold_proxy(F.col("proxy"), synonyms))
@@ -99,6 +100,6 @@ def share_wedge(shares: DataFrame, horizon: int, a: str = "Volatility", b: str =
     def cell(proxy: str, regime: str) -> Column:
         return F.max(F.when((F.col("proxy") == proxy) & (F.upper("regime") == regime), F.col("share")))
 
-    return folded.groupBy("group").agg(
+    return folded.groupBy(*keys).agg(
         ((cell(a, "H") - cell(a, "L")) - (cell(b, "H") - cell(b, "L"))).alias("value")
     ).withColumn("horizon", F.lit(nearest))

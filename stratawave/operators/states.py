@@ -127,33 +127,21 @@ def smooth_short_spells(df: DataFrame, min_len: int = 2, keys: Sequence[str] = (
     """Give short spells the state of a neighbour: the first takes the next one's, the
     last the previous one's, a middle one that of the longer neighbour (right on a tie).
 
-    Decisions run left to right on already changed values with the original lengths:
-    a fold over the spells of one path.  Rows are not collected, only spells.
+    Decisions run left to right on already changed values with the original lengths.
+    A spell either fixes its state, whatever came before, or hands on the state before
+    it; so its state is the last fixed one of the spells up to it, a running window.
     """
     runs = number_runs(df, keys, order, state)
-    per_path = runs.where(F.col("run").isNotNull()).groupBy(*keys, "run").agg(
-        F.first(state).alias("s"), F.count("*").alias("n")
-    ).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("run", "s", "n"))).alias("_spells"))
-    n = F.size("_spells")
-
-    def step(acc: Column, i: Column) -> Column:
-        here = F.element_at("_spells", i)
-        left_state = F.get(acc, i - 2)
-        left_len = F.get(F.col("_spells.n"), i - 2)
-        right_state = F.get(F.col("_spells.s"), i)
-        right_len = F.get(F.col("_spells.n"), i)
-        new = (
-            F.when(here["n"] >= min_len, here["s"])
-            .when((i == 1) & (n > 1), right_state)
-            .when(i == n, F.coalesce(left_state, here["s"]))
-            .when(right_len >= left_len, right_state)
-            .otherwise(left_state)
-        )
-        return F.array_append(acc, new)
-
-    empty = F.slice(F.col("_spells.s"), 1, 0)
-    fixed = F.aggregate(F.sequence(F.lit(1), n), empty, step)
-    changed = per_path.select(*keys, F.inline(F.arrays_zip(F.col("_spells.run").alias("run"), fixed.alias("_new"))))
+    spell = runs.where(F.col("run").isNotNull()).groupBy(*keys, "run").agg(F.first(state).alias("_s"), F.count("*").alias("_n"))
+    path = W.partitionBy(*keys).orderBy("run")
+    right, after, before = F.lead("_s").over(path), F.lead("_n").over(path), F.lag("_n").over(path)
+    fixed = (
+        F.when(F.col("_n") >= min_len, F.col("_s"))
+        .when(before.isNull(), F.coalesce(right, F.col("_s")))
+        .when(after >= before, right)
+    )
+    so_far = path.rowsBetween(W.unboundedPreceding, W.currentRow)
+    changed = spell.withColumn("_f", fixed).select(*keys, "run", F.last("_f", ignorenulls=True).over(so_far).alias("_new"))
     joined = runs.join(changed, [*keys, "run"], "left")
     return joined.withColumn(out, F.col("_new")).drop("_new", "run", "idx")
 

@@ -322,13 +322,49 @@ def impact_cholesky(spark, sf):
     return fit.square_table(fit.impact_matrices(fit.residual_covariance(_split(spark, sf)[1])), "a", ["model"])
 
 
+_FLIP1 = "CASE WHEN s1 = 'ECONOMY' OR (s1 = 'SMALL' AND g12 > 0) THEN -1 ELSE 1 END"
+
+
 @query("impact_sign", "SELECT model, i, j, round(value, 6) + 0.0 AS value FROM (" + _long_cells(
-    "rcov", [("s1 AS i, s1 AS j", "CASE WHEN s1 = 'ECONOMY' THEN -sqrt(g11) ELSE sqrt(g11) END"), ("s1, s2", "0.0::DOUBLE"),
-             ("s2, s1", "CASE WHEN s1 = 'ECONOMY' THEN -1 ELSE 1 END * 0.9::DOUBLE * g12 / sqrt(g11)"), ("s2, s2", "sqrt(g22 - 0.81::DOUBLE * g12 * g12 / g11)")], "model") + ") c WHERE model LIKE '%ECONOMY%'")
+    "rcov", [("s1 AS i, s1 AS j", f"{_FLIP1} * sqrt(g11)"), ("s1, s2", "0.0::DOUBLE"), ("s2, s1", f"{_FLIP1} * 0.9::DOUBLE * g12 / sqrt(g11)"),
+             ("s2, s2", "CASE WHEN s2 = 'PROMO' THEN -1 ELSE 1 END * sqrt(g22 - 0.81::DOUBLE * g12 * g12 / g11)")], "model") + ") c")
 def impact_sign(spark, sf):
-    """Shrunk covariance, and a column flipped to satisfy a sign constraint."""
-    covs = fit.residual_covariance(_split(spark, sf)[1]).where(F.array_contains("names", "ECONOMY"))
-    return fit.square_table(fit.impact_matrices(covs, "sign", shrink=0.1, signs=[("ECONOMY", "ECONOMY", "-")]), "a", ["model"])
+    """Shrunk covariance, and columns flipped to satisfy sign constraints: on the own effect
+    of two shocks, and on the effect of a third on the other variable."""
+    signs = [("ECONOMY", "ECONOMY", "-"), ("PROMO", "PROMO", "-"), ("STANDARD", "SMALL", "-")]
+    covs = fit.residual_covariance(_split(spark, sf)[1])
+    return fit.square_table(fit.impact_matrices(covs, "sign", shrink=0.1, signs=signs), "a", ["model"])
+
+
+@query("impact_given", "SELECT model, method, i, j, round(value, 6) + 0.0 AS value FROM (" + " UNION ALL ".join(
+    _long_cells(f"(SELECT *, '{m}' AS method FROM rcov)", list(zip(["s1 AS i, s1 AS j", "s1, s2", "s2, s1", "s2, s2"], v)), "model, method")
+    for m, v in (("unit", ["1.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE", "1.0::DOUBLE"]), ("custom", ["1.0::DOUBLE", "0.25::DOUBLE", "-0.5::DOUBLE", "2.0::DOUBLE"]),
+                 ("reordered", ["sqrt(g11 - g12 * g12 / g22)", "g12 / sqrt(g22)", "0.0::DOUBLE", "sqrt(g22)"]))) + ") c")
+def impact_given(spark, sf):
+    """Impact matrices that need no decomposition, and one whose second variable comes first."""
+    covs = cut_lineage(fit.residual_covariance(_split(spark, sf)[1]))
+    parts = {"unit": fit.impact_matrices(covs, "unit"), "custom": fit.impact_matrices(covs, "custom", custom=[1.0, 0.25, -0.5, 2.0]),
+             "reordered": fit.impact_matrices(covs, ordering=["LARGE", "PROMO", "STANDARD"])}
+    tables = [fit.square_table(p, "a", ["model"]).withColumn("method", F.lit(m)) for m, p in parts.items()]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+@query("residual_covariance_choices", """
+WITH w AS (SELECT model, any_value(s1) AS s1, any_value(s2) AS s2, sum((n - 1) * g11) / (sum(n) - 2) AS g11, sum((n - 1) * g12) / (sum(n) - 2) AS g12,
+  sum((n - 1) * g22) / (sum(n) - 2) AS g22 FROM sfit GROUP BY 1),
+t AS (SELECT 'weighted' AS choice, * FROM w
+  UNION ALL SELECT 'stored', model, s1, s2, CASE WHEN model LIKE 'vol%' THEN 2.0 ELSE g11 END, CASE WHEN model LIKE 'vol%' THEN 0.5 ELSE g12 END, CASE WHEN model LIKE 'vol%' THEN 1.0 ELSE g22 END FROM rcov
+  UNION ALL SELECT 'identity', model, s1, s2, 1.0, 0.0, 1.0 FROM rcov)
+SELECT choice, model, i, j, round(value, 6) + 0.0 AS value FROM (""" + _long_cells("t", _COV, "choice, model") + ") c")
+def residual_covariance_choices(spark, sf):
+    """Residual covariances by degrees of freedom, with stored ones before fitted ones, and of
+    fits without a usable covariance."""
+    fits = cut_lineage(_split(spark, sf)[1])
+    stored = fits.where(F.col("model").startswith("vol")).select("model", F.array(*[F.lit(v) for v in (2.0, 0.5, 0.5, 1.0)]).alias("sigma")).distinct()
+    parts = {"weighted": fit.residual_covariance(fits, "weighted"), "stored": fit.residual_covariance(fits, stored=stored),
+             "identity": fit.residual_covariance(fits.withColumn("sigma", F.slice("sigma", 1, 2)))}
+    tables = [fit.square_table(p, keys=["model"]).withColumn("choice", F.lit(c)) for c, p in parts.items()]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 @query("model_readiness", """
@@ -545,20 +581,20 @@ def trivial_shares(spark, sf):
     return shares.trivial_shares(I.deltas(spark, sf))
 
 
-# Shares of the two pairs' models as index tables: proxy per driver, regime initial.
+# Shares of the models as index tables: a study per pair of series, proxy per driver, regime initial.
 def _proxy_table(df, value):
-    return df.where(F.col("model").endswith("MEDIUM+PROMO")).select(
-        F.when(F.col("model").startswith("vol"), "vxo_vix").otherwise("jln").alias("proxy"),
+    return df.select(
+        F.split_part("model", F.lit(":"), F.lit(2)).alias("pair"), F.when(F.col("model").startswith("vol"), "vxo_vix").otherwise("jln").alias("proxy"),
         F.upper(F.substring("regime", 1, 1)).alias("regime"), "group", *value)
 
 
 _PX = "CASE WHEN model LIKE 'vol%' THEN 'vxo_vix' ELSE 'jln' END"
-cte("pshare", f"""SELECT {_PX} AS proxy, upper(left(regime, 1)) AS regime, "group", horizon, share FROM ({_GSH}) g WHERE model LIKE '%MEDIUM+PROMO'""")
+cte("pshare", f"""SELECT {_PX} AS proxy, upper(left(regime, 1)) AS regime, split_part(model, ':', 2) AS pair, "group", horizon, share FROM ({_GSH}) g""")
 
 
 @query("share_wedge", """
-SELECT "group", round(max(CASE WHEN proxy = 'vxo_vix' AND regime = 'H' THEN share END) - max(CASE WHEN proxy = 'vxo_vix' AND regime = 'L' THEN share END)
-  - max(CASE WHEN proxy = 'jln' AND regime = 'H' THEN share END) + max(CASE WHEN proxy = 'jln' AND regime = 'L' THEN share END), 6) + 0.0 AS value, 12 AS horizon FROM pshare WHERE horizon = 12 GROUP BY 1""")
+SELECT pair, "group", round(max(CASE WHEN proxy = 'vxo_vix' AND regime = 'H' THEN share END) - max(CASE WHEN proxy = 'vxo_vix' AND regime = 'L' THEN share END)
+  - max(CASE WHEN proxy = 'jln' AND regime = 'H' THEN share END) + max(CASE WHEN proxy = 'jln' AND regime = 'L' THEN share END), 6) + 0.0 AS value, 12 AS horizon FROM pshare WHERE horizon = 12 GROUP BY 1, 2""")
 def share_wedge(spark, sf):
     """Difference in differences at the horizon nearest to ten."""
-    return shares.share_wedge(_proxy_table(_group_shares(spark, sf), ["horizon", "share"]), 10)
+    return shares.share_wedge(_proxy_table(_group_shares(spark, sf), ["horizon", "share"]), 10, keys=["pair", "group"])

@@ -59,13 +59,12 @@ def quoted_lines(spark, sf):
     return readers.split_quoted_lines(orders.select(line.alias("value")), ["date", "time_period", "ciss_value"])
 
 
-@query("sheet_dates", """SELECT date, max(CASE WHEN series = 'ECONOMY' THEN price END) + 0.0 AS economy,
-max(CASE WHEN series = 'SMALL' THEN price END) + 0.0 AS small FROM prices GROUP BY 1""")
+@query("sheet_dates", "SELECT date, " + ", ".join(f"max(CASE WHEN series = '{t}' THEN price END) + 0.0 AS {t.lower()}" for t in I.TYPES) + " FROM prices GROUP BY 1")
 def sheet_dates(spark, sf):
     """Wide sheet whose months are written 1995M01."""
-    wide = reshape.to_wide(I.unit_prices(spark, sf), ["date"], "series", "price", ["ECONOMY", "SMALL"])
+    wide = reshape.to_wide(I.unit_prices(spark, sf), ["date"], "series", "price", list(I.TYPES))
     sheet = wide.select(F.concat(F.year("date"), F.lit("M"), F.date_format("date", "MM")).alias("month"),
-                        F.col("ECONOMY").alias("economy"), F.col("SMALL").alias("small"))
+                        *[F.col(t).alias(t.lower()) for t in I.TYPES])
     return readers.sheet_dates(sheet, "month")
 
 
@@ -697,13 +696,13 @@ _MOM = """count(*) AS n, round((avg(x*x*x) - 3*avg(x)*avg(x*x) + 2*power(avg(x),
   round((avg(x*x*x*x) - 4*avg(x)*avg(x*x*x) + 6*power(avg(x),2)*avg(x*x) - 3*power(avg(x),4)) / power(var_pop(x), 2), 4) + 0.0 AS kurtosis"""
 
 
-@query("shape_by_regime", f"""WITH s AS (SELECT value / 1000 - (SELECT avg(value) / 1000 FROM idx WHERE {IDX} = 'vol') AS x, value <= (SELECT quantile_cont(value, 0.5) FROM idx WHERE {IDX} = 'vol') AS low
-FROM idx WHERE {IDX} = 'vol')
-SELECT CASE WHEN low THEN 'low' ELSE 'high' END AS regime, {_MOM} FROM s GROUP BY 1 UNION ALL SELECT NULL, {_MOM} FROM s""", digits=4)
+@query("shape_by_regime", f"""WITH m AS (SELECT {IDX}, avg(value) / 1000 AS mean, quantile_cont(value, 0.5) AS theta FROM idx GROUP BY 1),
+s AS (SELECT {IDX}, value / 1000 - mean AS x, value <= theta AS low FROM idx JOIN m USING ({IDX}) WHERE value IS NOT NULL)
+SELECT {IDX}, CASE WHEN low THEN 'low' ELSE 'high' END AS regime, {_MOM} FROM s GROUP BY 1, 2 UNION ALL SELECT {IDX}, NULL, {_MOM} FROM s GROUP BY 1""", digits=4)
 def shape_by_regime(spark, sf):
-    vol = I.indices(spark, sf).where(F.col("index") == "vol")
-    theta = vol.agg(F.median("value").alias("m")).select("m").scalar()
-    return aggregate.shape_by_regime(vol, "value", theta)
+    """Each index against its own median."""
+    rows = I.indices(spark, sf).withColumn("theta", F.median("value").over(series.whole(["index"])))
+    return aggregate.shape_by_regime(rows, "value", F.col("theta"), ["index"])
 
 
 @query("exact_quantiles", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 6) + 0.0 AS q01, round(quantile_cont(l_extendedprice, 0.5), 6) + 0.0 AS q50,

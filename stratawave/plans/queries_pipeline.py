@@ -8,34 +8,39 @@ from stratawave.operators import series
 from stratawave.plans import inputs as I
 from stratawave.plans import pipeline
 from stratawave.plans.registry import cte, query
+from stratawave.session import cut_lineage
 
 cte("stage_panel", """
 SELECT regexp_replace(lower(series), '[^a-z0-9]+', '_', 'g') AS series_id, date, price,
   CASE WHEN lag(price) OVER w > 0 THEN ln(price / lag(price) OVER w) END AS ret
-FROM (SELECT * FROM gappy WHERE series IN (SELECT series FROM gappy GROUP BY 1 HAVING count(price) >= 60)) g WINDOW w AS (PARTITION BY series ORDER BY date)""")
+FROM (SELECT * FROM brands WHERE series IN (SELECT series FROM brands GROUP BY 1 HAVING count(price) >= 60)) g WINDOW w AS (PARTITION BY series ORDER BY date)""")
 cte("stage_merged", """
-SELECT p.*, i.value FROM stage_panel p LEFT JOIN (SELECT date, value FROM idx WHERE "index" = 'macro') i USING (date)
-WHERE date >= (SELECT min(date) FROM idx WHERE "index" = 'macro') AND date <= (SELECT max(date) FROM idx WHERE "index" = 'macro') AND date >= DATE '1995-06-01'""")
+SELECT s."index", p.*, i.value FROM stage_panel p CROSS JOIN (SELECT "index", min(date) AS lo, max(date) AS hi FROM idx GROUP BY 1) s
+LEFT JOIN idx i ON i."index" = s."index" AND i.date = p.date WHERE p.date >= s.lo AND p.date <= s.hi AND p.date >= DATE '1995-06-01'""")
 
 
-def _input(spark, sf):
-    panel = pipeline.panel(I.gappy_brands(spark, sf), min_obs=60)
-    macro = I.indices(spark, sf).where(F.col("index") == "macro")
-    return pipeline.model_input(panel, macro, start="1995-06-01")
+def _input(spark, sf, part):
+    """One part of the model input, for each of the indices."""
+    panel = cut_lineage(pipeline.panel(I.unit_prices(spark, sf, "p_brand"), min_obs=60))
+    both = cut_lineage(I.indices(spark, sf))
+    tables = [pipeline.model_input(panel, both.where(F.col("index") == name), start="1995-06-01")[part].withColumn("index", F.lit(name))
+              for name in I.INDEX_SCALE]
+    return tables[0].unionByName(tables[1])
 
 
 @query("stage_model_input", """
-SELECT series_id, date, round(price, 6) + 0.0 AS price, round(ret, 6) + 0.0 AS ret, round(value, 4) + 0.0 AS value FROM stage_merged WHERE ret IS NOT NULL AND value IS NOT NULL""")
+SELECT "index", series_id, date, round(price, 6) + 0.0 AS price, round(ret, 6) + 0.0 AS ret, round(value, 4) + 0.0 AS value FROM stage_merged WHERE ret IS NOT NULL AND value IS NOT NULL""")
 def stage_model_input(spark, sf):
-    """Long prices to the rows a model can use."""
-    return _input(spark, sf)["rows"].select("series_id", "date", "price", "ret", F.round("value", 4).alias("value"))
+    """Long prices to the rows a model can use, with each index."""
+    return _input(spark, sf, "rows").select("index", "series_id", "date", "price", "ret", F.round("value", 4).alias("value"))
 
 
 @query("stage_input_coverage", """
-SELECT series_id, round(avg((ret IS NOT NULL AND value IS NOT NULL)::INT), 6) + 0.0 AS coverage,
-  CASE WHEN sum((ret IS NULL)::INT) > 0 THEN 'ret' WHEN sum((value IS NULL)::INT) > 0 THEN 'value' END AS top_reason FROM stage_merged GROUP BY 1""")
+SELECT "index", series_id, round(avg((ret IS NOT NULL AND value IS NOT NULL)::INT), 6) + 0.0 AS coverage,
+  CASE WHEN sum((ret IS NULL)::INT) > 0 AND sum((ret IS NULL)::INT) >= sum((ret IS NOT NULL AND value IS NULL)::INT) THEN 'ret' WHEN sum((value IS NULL)::INT) > 0 THEN 'value' END AS top_reason
+FROM stage_merged GROUP BY 1, 2""")
 def stage_input_coverage(spark, sf):
-    return _input(spark, sf)["coverage"]
+    return _input(spark, sf, "coverage")
 
 
 @query("stage_estimated_models")

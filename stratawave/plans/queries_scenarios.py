@@ -621,26 +621,27 @@ def _table_inputs(spark, sf):
     )
 
 
-cte("phl", """SELECT CASE WHEN model LIKE 'vol%' THEN 'vxo_vix' ELSE 'jln' END AS proxy, CASE WHEN response IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'A' ELSE 'B' END AS "group", quantile_cont(m, 0.5) AS half_life
-FROM (SELECT model, response, quantile_cont(half_life, 0.5) AS m FROM hlife WHERE regime = 'high' AND model LIKE '%MEDIUM+PROMO' GROUP BY 1, 2) s GROUP BY 1, 2""")
-cte("ppi", """SELECT CASE WHEN model LIKE 'vol%' THEN 'vxo_vix' ELSE 'jln' END AS proxy, CASE WHEN response IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'A' ELSE 'B' END AS "group", quantile_cont(m, 0.5) AS pi
-FROM (SELECT model, response, quantile_cont(pi, 0.5) AS m FROM (SELECT model, impulse, response, sum(abs(value)) AS pi FROM irf WHERE h <= 24 AND regime = 'high' AND model LIKE '%MEDIUM+PROMO' GROUP BY 1, 2, 3) p GROUP BY 1, 2) s GROUP BY 1, 2""")
+cte("phl", """SELECT split_part(model, ':', 2) AS pair, CASE WHEN model LIKE 'vol%' THEN 'vxo_vix' ELSE 'jln' END AS proxy, CASE WHEN response IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'A' ELSE 'B' END AS "group", quantile_cont(m, 0.5) AS half_life
+FROM (SELECT model, response, quantile_cont(half_life, 0.5) AS m FROM hlife WHERE regime = 'high' GROUP BY 1, 2) s GROUP BY 1, 2, 3""")
+cte("ppi", """SELECT split_part(model, ':', 2) AS pair, CASE WHEN model LIKE 'vol%' THEN 'vxo_vix' ELSE 'jln' END AS proxy, CASE WHEN response IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'A' ELSE 'B' END AS "group", quantile_cont(m, 0.5) AS pi
+FROM (SELECT model, response, quantile_cont(pi, 0.5) AS m FROM (SELECT model, impulse, response, sum(abs(value)) AS pi FROM irf WHERE h <= 24 AND regime = 'high' GROUP BY 1, 2, 3) p GROUP BY 1, 2) s GROUP BY 1, 2, 3""")
 
 
 def _dd(h: int) -> str:
     cell = lambda p, r: f"max(CASE WHEN proxy = '{p}' AND regime = '{r}' THEN share END)"
-    return f"""SELECT "group", {cell('vxo_vix', 'H')} - {cell('vxo_vix', 'L')} - {cell('jln', 'H')} + {cell('jln', 'L')} AS v FROM pshare WHERE horizon = {h} GROUP BY 1"""
+    return f"""SELECT pair, "group", {cell('vxo_vix', 'H')} - {cell('vxo_vix', 'L')} - {cell('jln', 'H')} + {cell('jln', 'L')} AS v FROM pshare WHERE horizon = {h} GROUP BY 1, 2"""
 
 
 cte("wedge", f"""
-SELECT a."group", a.v AS dd12, b.v AS dd24, p.d AS dpi, h.d AS dhl FROM ({_dd(12)}) a JOIN ({_dd(24)}) b ON a."group" = b."group"
-LEFT JOIN (SELECT "group", max(CASE WHEN proxy = 'vxo_vix' THEN pi END) - max(CASE WHEN proxy = 'jln' THEN pi END) AS d FROM ppi GROUP BY 1) p ON p."group" = a."group"
-LEFT JOIN (SELECT "group", max(CASE WHEN proxy = 'vxo_vix' THEN half_life END) - max(CASE WHEN proxy = 'jln' THEN half_life END) AS d FROM phl GROUP BY 1) h ON h."group" = a."group" """)
+SELECT a.pair, a."group", a.v AS dd12, b.v AS dd24, p.d AS dpi, h.d AS dhl FROM ({_dd(12)}) a JOIN ({_dd(24)}) b ON a.pair = b.pair AND a."group" = b."group"
+LEFT JOIN (SELECT pair, "group", max(CASE WHEN proxy = 'vxo_vix' THEN pi END) - max(CASE WHEN proxy = 'jln' THEN pi END) AS d FROM ppi GROUP BY 1, 2) p ON p.pair = a.pair AND p."group" = a."group"
+LEFT JOIN (SELECT pair, "group", max(CASE WHEN proxy = 'vxo_vix' THEN half_life END) - max(CASE WHEN proxy = 'jln' THEN half_life END) AS d FROM phl GROUP BY 1, 2) h ON h.pair = a.pair AND h."group" = a."group" """)
+_STUDY = ["pair", "group"]
 
 
-@query("index_wedges", sel("group", "dd12 dd24 dpi dhl", "wedge"))
+@query("index_wedges", sel("pair group", "dd12 dd24 dpi dhl", "wedge"))
 def index_wedges(spark, sf):
-    return scores.wedges(*_table_inputs(spark, sf))
+    return scores.wedges(*_table_inputs(spark, sf), _STUDY)
 
 
 def _selection(spark, sf):
@@ -654,17 +655,20 @@ def _selection(spark, sf):
         F.when(vol, "vxo_vix").otherwise("jln").alias("proxy"), "s_H", "lambda_max_L", "lambda_max_H", "lb_p_L", "lb_p_H", F.lit(1).alias("run_at"))
 
 
-@query("diagnostics_mark", """
+cte("dmark", """
 WITH s AS (SELECT s.model LIKE 'vol%' AS vol, rl < 1 AND rh < 1 AS stable, pl >= 0.01 AND ph >= 0.01 AS white FROM sides s
   JOIN (SELECT model, min(CASE WHEN regime = 'low' THEN p END) AS pl, min(CASE WHEN regime = 'high' THEN p END) AS ph FROM lbox GROUP BY 1) l ON l.model = s.model),
 f AS (SELECT vol, bool_and(stable) AS st, bool_and(white) AS wh FROM s GROUP BY 1)
 SELECT CASE WHEN bool_or(st AND wh) THEN '✓' WHEN bool_or(st) THEN '△' ELSE '✗' END AS mark FROM f""")
+
+
+@query("diagnostics_mark", "SELECT mark FROM dmark")
 def diagnostics_mark(spark, sf):
     return scores.diagnostics_mark(_selection(spark, sf))
 
 
 @query("robustness_marks", """
-SELECT "group", CASE WHEN dd12 IS NULL OR dd24 IS NULL THEN '△' WHEN sign(dd12) = sign(dd24) AND greatest(abs(dd12), abs(dd24)) >= 0.03 THEN '✓' WHEN greatest(abs(dd12), abs(dd24)) >= 0.01 THEN '△' ELSE '✗' END AS dd,
+SELECT pair, "group", (SELECT mark FROM dmark) AS diagnostics, CASE WHEN dd12 IS NULL OR dd24 IS NULL THEN '△' WHEN sign(dd12) = sign(dd24) AND greatest(abs(dd12), abs(dd24)) >= 0.03 THEN '✓' WHEN greatest(abs(dd12), abs(dd24)) >= 0.01 THEN '△' ELSE '✗' END AS dd,
   CASE WHEN dd12 IS NULL OR dd24 IS NULL THEN '△' WHEN sign(dd12) <> sign(dd24) THEN '✗' WHEN abs(dd24 - dd12) / greatest(abs(dd12), 1e-6) <= 0.5 THEN '✓' ELSE '△' END AS horizon,
   CASE WHEN dpi IS NULL THEN '△' WHEN abs(dpi) >= 0.15 THEN '✓' WHEN abs(dpi) >= 0.05 THEN '△' ELSE '✗' END AS d_pi,
   CASE WHEN dhl IS NULL THEN '△' WHEN abs(dhl) >= 0.05 THEN '✓' WHEN abs(dhl) >= 0.02 THEN '△' ELSE '✗' END AS d_half_life,
@@ -672,7 +676,7 @@ SELECT "group", CASE WHEN dd12 IS NULL OR dd24 IS NULL THEN '△' WHEN sign(dd12
      WHEN abs(max(CASE WHEN model LIKE '%ECONOMY%' THEN s END) - max(CASE WHEN model LIKE '%MEDIUM%' THEN s END)) <= 0.05 THEN '△' ELSE '✗' END FROM (SELECT model, nh / (nl + nh) AS s FROM sides WHERE model LIKE 'vol%') q) AS splice
 FROM wedge""")
 def robustness_marks(spark, sf):
-    return scores.robustness(scores.wedges(*_table_inputs(spark, sf)), _selection(spark, sf)).drop("diagnostics")
+    return scores.robustness(scores.wedges(*_table_inputs(spark, sf), _STUDY), cut_lineage(_selection(spark, sf)), _STUDY)
 
 
 @query("run_info", """SELECT 'lines' AS key, CAST(count(*) AS VARCHAR) AS value FROM lineitem UNION ALL SELECT 'orders', CAST(count(*) AS VARCHAR) FROM orders""")

@@ -142,11 +142,13 @@ def filled_states(spark, sf):
 @query("clean_returns", """
 WITH l AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, max(l_shipdate::DATE) AS date,
   arg_max(CASE WHEN l_returnflag = 'A' THEN p END, CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS a,
-  arg_max(CASE WHEN l_returnflag = 'N' THEN p END, CASE WHEN l_returnflag = 'N' THEN l_shipdate END) AS n
+  arg_max(CASE WHEN l_returnflag = 'N' THEN p END, CASE WHEN l_returnflag = 'N' THEN l_shipdate END) AS n,
+  arg_max(CASE WHEN l_returnflag = 'R' THEN p END, CASE WHEN l_returnflag = 'R' THEN l_shipdate END) AS r
   FROM (SELECT l_shipdate, l_returnflag, round(avg(l_extendedprice), 4) AS p FROM lineitem GROUP BY 1, 2) d GROUP BY 1),
-r AS (SELECT date, ln(a / lag(a) OVER (ORDER BY m)) AS a, ln(n / lag(n) OVER (ORDER BY m)) AS n FROM l),
-c AS (SELECT * FROM r WHERE a IS NOT NULL AND n IS NOT NULL)
-SELECT date, round((a - avg(a) OVER ()) / stddev_samp(a) OVER (), 6) + 0.0 AS "A", round((n - avg(n) OVER ()) / stddev_samp(n) OVER (), 6) + 0.0 AS "N" FROM c""")
+r AS (SELECT date, ln(a / lag(a) OVER (ORDER BY m)) AS a, ln(n / lag(n) OVER (ORDER BY m)) AS n, ln(r / lag(r) OVER (ORDER BY m)) AS r FROM l),
+c AS (SELECT * FROM r WHERE a IS NOT NULL AND n IS NOT NULL AND r IS NOT NULL)
+SELECT date, round((a - avg(a) OVER ()) / stddev_samp(a) OVER (), 6) + 0.0 AS "A", round((n - avg(n) OVER ()) / stddev_samp(n) OVER (), 6) + 0.0 AS "N",
+  round((r - avg(r) OVER ()) / stddev_samp(r) OVER (), 6) + 0.0 AS "R" FROM c""")
 def clean_returns(spark, sf):
     """Daily price table to standardised monthly returns of the last values."""
     from stratawave.operators.reshape import to_wide
@@ -154,7 +156,8 @@ def clean_returns(spark, sf):
 
     day = read_table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"), "l_returnflag").agg(
         F.round(F.avg("l_extendedprice"), 4).alias("p"))
-    return series.clean_returns(to_wide(day, ["date"], "l_returnflag", "p", ["A", "N"]), ["A", "N"])
+    flags = ["A", "N", "R"]
+    return series.clean_returns(to_wide(day, ["date"], "l_returnflag", "p", flags), flags)
 
 
 @query("prepare_indices", f"""
