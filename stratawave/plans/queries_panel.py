@@ -463,13 +463,17 @@ def study_groups(spark, sf):
         scalars.display_name(F.col("id")).alias("name"), "n")
 
 
+def _canonical(prices: DataFrame) -> DataFrame:
+    priced = series.volatility_proxy(series.panel_returns(prices))
+    return prices.sparkSession.createDataFrame([], PANEL).unionByName(clean.canonical_panel(priced))
+
+
 @query("canonical_panel", """
 SELECT date, regexp_replace(lower(series), '[^a-z0-9]+', '_', 'g') AS series_id, series AS series_name, CAST(NULL AS VARCHAR) AS unit,
   price + 0.0 AS price, round(ln(price), 6) + 0.0 AS ln_price, round(ret, 6) + 0.0 AS ret, round(ret * ret, 6) + 0.0 AS vol_proxy FROM fret""")
 def canonical_panel(spark, sf):
     """Long prices to the eight-column panel: returns, volatility, slug ids."""
-    priced = series.volatility_proxy(series.panel_returns(I.unit_prices(spark, sf, "p_brand")))
-    return spark.createDataFrame([], PANEL).unionByName(clean.canonical_panel(priced))
+    return _canonical(I.unit_prices(spark, sf, "p_brand"))
 
 
 @query("folded_labels", """
@@ -485,12 +489,19 @@ def folded_labels(spark, sf):
 # ------------------------------------------------------------------- checks
 
 
-@query("panel_checks", """
-SELECT 'duplicate_keys' AS "check", 'error' AS level, count(*) AS n_bad FROM (SELECT series, date FROM fret GROUP BY 1, 2 HAVING count(*) > 1) d
-UNION ALL SELECT 'series_with_null_returns', 'warning', count(*) FROM (SELECT series FROM fret GROUP BY 1 HAVING count(*) - count(ret) > 1) r
-UNION ALL SELECT 'series_with_null_volatility', 'warning', count(*) FROM (SELECT series FROM fret GROUP BY 1 HAVING count(*) - count(ret) > 1) v""")
+_panel_checks = " UNION ALL ".join(f"""
+SELECT '{panel}' AS panel, 'duplicate_keys' AS "check", 'error' AS level, count(*) AS n_bad FROM (SELECT series, date FROM {rows} GROUP BY 1, 2 HAVING count(*) > 1) d
+UNION ALL SELECT '{panel}', 'series_with_null_returns', 'warning', count(*) FROM (SELECT series FROM {rows} GROUP BY 1 HAVING count(*) - count(ret) > 1) r
+UNION ALL SELECT '{panel}', 'series_with_null_volatility', 'warning', count(*) FROM (SELECT series FROM {rows} GROUP BY 1 HAVING count(*) - count(ret) > 1) v"""
+    for panel, rows in (("gaps", "bret"), ("whole", "fret")))
+
+
+@query("panel_checks", _panel_checks)
 def panel_checks(spark, sf):
-    return checks.panel_checks(canonical_panel(spark, sf))
+    """Checks of the canonical panel with blanked months and of the whole one."""
+    panels = {"gaps": _canonical(I.gappy_brands(spark, sf)), "whole": canonical_panel(spark, sf)}
+    gaps, whole = (checks.panel_checks(df).select(F.lit(name).alias("panel"), "*") for name, df in panels.items())
+    return gaps.unionByName(whole)
 
 
 @query("parsed_checks", """
