@@ -1,13 +1,16 @@
 """Near-dedup by the Jaccard similarity of five-word shingles.
 
-Two documents link at a similarity of 0.8 or more.  Candidates share a band: 4 of 96 minima of the shingles' hashes are
-equal.  A pair at similarity s shares one of the 24 bands with probability 1 - (1 - s^4)^24, which is 0.999997 at 0.8.
-Every candidate is verified with the exact sets of hashes, so no link is below 0.8.
+Two documents link at a similarity of 0.8 or more.  First come the pairs whose SimHash fingerprints link; at 0.8 two
+fingerprints differ in about 10 of 64 bits, so they are only the closest.  The other candidates share a band: 4 of 96
+minima of the shingles' hashes are equal.  A pair at similarity s shares one of the 24 bands with probability
+1 - (1 - s^4)^24, which is 0.999997 at 0.8.  Every candidate is verified with the exact sets of hashes, so no link is
+below 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -34,13 +37,12 @@ SKETCH, MOST_BITS = SHARP_BANDS * SHARP_MINIMA // 16, 360
 START, MOST_START = 8, 98
 
 
-
 def _mixers(n: int, seed: int) -> np.ndarray:
     return np.array([[xxhash.xxh64_intdigest(b"%d" % i, s) for i in range(n)] for s in (seed, seed + 1)], np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 _MIX, _SHARP = _mixers(BANDS * MINIMA, 1), _mixers(SHARP_BANDS * SHARP_MINIMA, 3)
-_ROWS = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("node", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_ROWS = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("node", pa.int64()), ("n", pa.int32()), ("print", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _SHARPER = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
@@ -59,6 +61,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[WORDS - 1:].tolist(), strict=True)), np.uint64, len(starts)))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint: bits that are set in over half of the hashes; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 16_384):
+        counts += np.unpackbits(hashes[i:i + 16_384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(sum(1 << int(i) for i in np.flatnonzero(counts * 2 > len(hashes))))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def node_of(hashes: np.ndarray) -> int:
     """Name of a set of shingles."""
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
@@ -87,13 +101,14 @@ def sketch_of(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, n, keys) of each row of docs (doc_id, text), whole texts; n: shingles of the set."""
+    """(doc_id, digest, node, n, print, keys) of each row of docs (doc_id, text), whole texts; n: shingles of the set,
+    print: its fingerprint."""
     def make(batch: pa.RecordBatch):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x = shingles(text)
-            yield [doc_id, hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest(), node_of(x), len(x), band_keys(x)]
+            yield [doc_id, hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest(), node_of(x), len(x), signed(majority(x)), band_keys(x)]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(make, _ROWS), "doc_id long, digest string, node long, n int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(make, _ROWS), "doc_id long, digest string, node long, n int, print long, keys array<long>")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -165,20 +180,35 @@ def across(left: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return _compared(few).union(_compared(keyed)).distinct()
 
 
-def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def close(rows: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or linked by ``near``.
+
+    The least set of a fingerprint stands for it: it is paired with the others of the same one, and with those that
+    stand for the linked ones.
+    """
+    sets = rows.filter("n > 0").select("print", "node").distinct()
+    first = stored(sets.groupBy("print").agg(F.min("node").alias("first")), "shingle-prints")
+    equal = sets.join(first, "print").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = near(first.select("print"))
+    of = [first.select(F.col("print").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab"]
+    return equal.union(found.join(of[0], "a").join(of[1], "b").select(*_ordered("first_a", "first_b")))
+
+
+def links(rows: DataFrame, docs: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between sets that connect all that share a band and reach the least similarity.
 
-    First all sets of a band are compared with a few of them, and what is connected by then needs no further
-    comparison: a group of near copies is settled with a few pairs a set.  Of the bands with several parts left, the
-    sets of different parts get a sketch, and those with like sketches are compared.  Beyond ``CROWD`` sets in a band, as
-    in documents that share one frequent passage and little else, they must share a sharper key too.
+    ``near`` gives the links between SimHash fingerprints.  First the sets of linked fingerprints are compared, and all
+    sets of a band with a few of them; what is connected by then needs no further comparison: a group of near copies is
+    settled with a few pairs a set.  Of the bands with several parts left, the sets of different parts get a sketch, and
+    those with like sketches are compared.  Beyond ``CROWD`` sets in a band, as in documents that share one frequent
+    passage and little else, they must share a sharper key too.
     """
     keys = stored(rows.select(F.explode("keys").alias("key"), "node", "n").distinct(), "shingle-keys")
     crowds = keys.groupBy("key").count().filter("count > 1")
     bands = stored(keys.join(crowds, "key").select("key", "node", "n", "count"), "shingle-bands")
     pivots = bands.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("_")).agg(F.min(F.struct(F.col("node").alias("other"), F.col("n").alias("m"))).alias("p")).select("key", "p.*")
     stars = bands.join(pivots, "key").filter((F.col("node") != F.col("other")) & _fits("n", "m")).select(*_ordered("node", "other"))
-    first = stored(stars.distinct(), "shingle-pairs")
+    first = stored(close(rows, near).union(stars).distinct(), "shingle-pairs")
     found = stored(verified(first, rows, docs), "shingle-links")
     parts = components(found, "shingle-first")
     placed = stored(bands.join(parts, "node", "left").select("key", "node", "n", "count", F.coalesce("component", "node").alias("part")), "shingle-placed")
@@ -190,11 +220,11 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return found.union(verified(second, rows, docs))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, component) of each row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, digest, component) of each row of docs (doc_id, text); ``near`` links SimHash fingerprints (print).
 
     Equal sets are one node, however many documents have them; texts without words have equal sets.
     """
     rows = stored(sketches(docs), "shingle-rows")
-    parts = components(stored(links(rows, docs), "shingle-links"), "shingle")
+    parts = components(stored(links(rows, docs, near), "shingle-links"), "shingle")
     return rows.join(parts, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import components, keep_rows, stored, table
+from .shingles import signed
 from .tokens import batches, worker_state
 
 SEED, WORDS, NEAR = 42, 3, 2
@@ -42,14 +43,7 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-WORDS] + 1])
     hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[WORDS - 1:].tolist(), strict=True)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 16_384):
-        counts += np.unpackbits(hashes[i:i + 16_384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(counts * 2 > len(hashes))))
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return shingles.majority(hashes)
 
 
 def decoder() -> np.ndarray:
@@ -173,9 +167,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    The digest contract (three words, two bits) binds op6 only; at two bits nearly all pairs of similarity 0.8 are missed.
+    The fingerprints of the five-word shingles are linked by their Golay keys as in op6, and linked sets are verified.
+    The digest contract (three words, two bits) binds op6 only; at two bits nearly all pairs of similarity 0.8 are
+    missed, so bands of minima find the others.
     """
-    found = shingles.near_duplicates(docs)
+    found = shingles.near_duplicates(docs, links)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     kept = found.groupBy("component").agg(F.min(first).alias("first"))
     return keep_rows(docs, kept.select("first.doc_id", "first.digest", F.lit(1).alias("copies")))

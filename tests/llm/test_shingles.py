@@ -62,3 +62,23 @@ def test_null_and_empty(spark):
     frame = spark.createDataFrame([(1, None), (2, ""), (None, None), (3, "a b")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.stage(spark, frame, "").collect()) == [1, 3]
     assert simhash.stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_linked_fingerprints_are_candidates(spark):
+    rng = np.random.default_rng(7)
+    base = words_of(rng, 4000)
+    apart = words_of(rng, 4000)
+    texts = [" ".join(base), " ".join(changed(rng, base, 1)), " ".join(apart)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shingles.sketches(frame).localCheckpoint()
+    of = {r["doc_id"]: r["node"] for r in rows.collect()}
+    assert {r["print"] for r in rows.collect()} == {shingles.signed(shingles.majority(shingles.shingles(t))) for t in texts}
+    no_bands = rows.withColumn("keys", rows["keys"].cast("array<long>")).selectExpr("doc_id", "digest", "node", "n", "print", "array_except(keys, keys) AS keys")
+    found = shingles.links(no_bands, frame, simhash.links).collect()
+    assert {(r["a"], r["b"]) for r in found} == {(min(of[0], of[1]), max(of[0], of[1]))}
+
+
+def test_pairs_of_fingerprints(spark):
+    rows = spark.createDataFrame([(1, 9, 7), (2, 9, 7), (3, 9, 4), (4, 9, -1), (5, 0, 7)], "node long, n int, print long")
+    got = {(r["a"], r["b"]) for r in shingles.close(rows, simhash.links).collect()}
+    assert got == {(1, 2), (1, 3)}  # an empty set is no candidate
