@@ -27,7 +27,7 @@ SEED, WORDS = 42, 5
 LEAST = (4, 5)
 BANDS, MINIMA = 24, 4
 #: The sets of a band are compared with PIVOTS of them first; parts that remain are compared by sketches, and by sharper keys too if the band has more than CROWD.
-CROWD, PIVOTS = 64, 2
+CROWD, PIVOTS = 512, 2
 #: Sharper keys: 10 of 640 minima.  A pair at 0.8 shares one of the 64 with probability 0.9993, one at 0.4 with 0.007.
 SHARP_BANDS, SHARP_MINIMA = 64, 10
 #: Four bits of each of the 640 minima, as 64-bit words.  At 0.8 they differ in 256 bits with a deviation of 23, so a
@@ -152,11 +152,16 @@ def _alike() -> Column:
 
 
 def _compared(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets (key, node, n, part, sketch) of different parts that share a key and have like sketches."""
+    """Pairs (a, b) of sets (key, node, n, part, sketch, all, met) of different parts that share a key and have like sketches.
+
+    ``all`` are the keys of the set; a pair is made at the least key that both have, so it is one row.  Pairs that have
+    one of ``met`` in common were made elsewhere.
+    """
     # A number of partitions of its own: few rows may make many comparisons, so small partitions must not be put together.
     keyed = keyed.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    other = keyed.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"), F.col("sketch").alias("other_sketch"))
-    return keyed.join(other, (keyed["key"] == other["key"]) & _alike()).select(*_ordered("node", "other"))
+    other = keyed.select(F.col("key").alias("same"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"), F.col("sketch").alias("other_sketch"), F.col("all").alias("other_all"), F.col("met").alias("other_met"))
+    once = ~F.arrays_overlap("met", "other_met") & (F.array_min(F.array_intersect("all", "other_all")) == F.col("key"))
+    return keyed.join(other, (F.col("key") == F.col("same")) & _alike() & once).select(*_ordered("node", "other"))
 
 
 def across(left: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,14 +174,16 @@ def across(left: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
                 least = minima_of(x, _SHARP)
                 yield [node_of(x), named_bands(least, SHARP_MINIMA), sketch_of(least)]
 
-    sets = left.groupBy("node", "n", "part").agg(F.max("count").alias("count"))
+    met = F.collect_list(F.when(F.col("count") <= CROWD, F.col("key")))
+    sets = left.groupBy("node", "n", "part").agg(F.max("count").alias("count"), met.alias("met"))
     texts = texts_of(sets.select("node"), rows, docs)
     sharp = texts.mapInArrow(batches(make, _SHARPER, 1000), "node long, keys array<long>, sketch array<long>").dropDuplicates(["node"])
     sharp = stored(sharp.join(sets, "node"), "shingle-sharp")
-    few = left.filter(F.col("count") <= CROWD).select("key", "node").join(sharp.drop("keys", "count"), "node")
-    many = sharp.filter(F.col("count") > CROWD)
-    shared = many.select("part", F.explode("keys").alias("key")).groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1").select("key")
-    keyed = stored(many.select("node", "n", "part", "sketch", F.explode("keys").alias("key")).join(shared, "key"), "shingle-keyed")
+    own = sharp.select("node", "n", "part", "sketch", F.col("met").alias("all"), F.array().cast("array<long>").alias("met"))
+    few = left.filter(F.col("count") <= CROWD).select("key", "node").join(own, "node")
+    many = sharp.filter(F.col("count") > CROWD).select("node", "n", "part", "sketch", F.col("keys").alias("all"), "met")
+    shared = many.select("part", F.explode("all").alias("key")).groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1").select("key")
+    keyed = stored(many.select("*", F.explode("all").alias("key")).join(shared, "key"), "shingle-keyed")
     return _compared(few).union(_compared(keyed)).distinct()
 
 

@@ -82,3 +82,10 @@ def test_pairs_of_fingerprints(spark):
     rows = spark.createDataFrame([(1, 9, 7), (2, 9, 7), (3, 9, 4), (4, 9, -1), (5, 0, 7)], "node long, n int, print long")
     got = {(r["a"], r["b"]) for r in shingles.close(rows, simhash.links).collect()}
     assert got == {(1, 2), (1, 3)}  # an empty set is no candidate
+
+
+def test_a_pair_is_one_row(spark):
+    sketch = [0] * shingles.SKETCH
+    sets = [(key, node, 100, node, sketch, [5, 6, 7], [node % 2]) for key in (5, 6, 7) for node in (1, 2, 3)]
+    keyed = spark.createDataFrame(sets, "key long, node long, n int, part long, sketch array<long>, all array<long>, met array<long>")
+    assert sorted((r["a"], r["b"]) for r in shingles._compared(keyed).collect()) == [(1, 2), (2, 3)]
