@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratawave.sources.digests import PART, is_long, long_digests, resumable
+
 
 def save(df: DataFrame, path: str, overwrite: bool = True, partition_by: Sequence[str] = (),
          fmt: str = "parquet") -> None:
@@ -98,18 +100,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", part: int = PART) -> DataFrame:
     """File, bytes and sha256 of every file below ``path``.
 
-    A file is hashed whole by one task (a sha256 has no parts), so one file must
-    fit the binary source's 2 GB limit; larger ones fail there instead of being cut.
+    A file of up to ``part`` bytes is hashed whole by one task, a longer one in steps (see ``digests``).  Files with the
+    ending of a compression codec, and all where Python's OpenSSL cannot hand its state on, are hashed whole: there
+    a file must fit the binary source's 2 GB limit; larger ones fail instead of being cut.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    def read(fmt: str, **options: str) -> DataFrame:
+        return spark.read.format(fmt).options(**options).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+
+    columns = "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    files = read("binaryFile")
+    found = long_digests(spark, read, part) if resumable() else None
+    files = files.select(*columns) if found is None else files.where(~is_long(part)).select(*columns).unionByName(found)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
 def content_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
