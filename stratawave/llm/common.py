@@ -87,8 +87,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame, by: tuple[str, ...] = ()) -> Dat
     names = [f"k{i}" for i in range(len(by) + 2)]
     own = [F.col("doc_id"), digest(F.col("text")), *(F.col(c) for c in by)]
     rows = docs.select(F.struct("*").alias("row"), *(c.alias(n) for c, n in zip(own, names, strict=True)))
-    twice = rows.groupBy(*names).count().filter("count > 1").limit(1).count()
-    if twice:
+    if not rows.groupBy(*names).count().filter("count > 1").isEmpty():
         others = [F.col("row")[c] for c in docs.columns if c != "text"]
         rows = rows.groupBy(*names).agg(F.min_by("row", F.xxhash64(F.to_json(F.struct(*others)))).alias("row"))
     given = kept.select(*(F.col(c).alias(f"g{i}") for i, c in enumerate(("doc_id", "digest", *by))), F.col("copies").cast("int").alias("copies"))
@@ -99,42 +98,33 @@ def keep_rows(docs: DataFrame, kept: DataFrame, by: tuple[str, ...] = ()) -> Dat
 
 def ends(edges: DataFrame) -> DataFrame:
     """The distinct nodes of ``edges`` (a, b); each side is combined where it lies, so no edge becomes two rows."""
-    return edges.select(F.col("a").alias("node")).distinct().union(edges.select(F.col("b").alias("node")).distinct()).distinct()
+    return edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours, then its smaller ones, to
-    the smallest node it knows.  Both are one grouped minimum and one join, and each round is stored; paths halve, so
-    the rounds grow with the logarithm of the longest path.  A node with very many neighbours is a skewed join, which
-    adaptive execution splits; no neighbour list is gathered.
+    Alternates two steps: every node hands its larger neighbours, then its smaller ones, to the smallest node it knows.
+    An edge is one row (high, low), so a node's least neighbour is a minimum of its own rows.  Each step is one grouped
+    minimum and one join, and is stored; paths halve, so the rounds grow with the logarithm of the longest path.  It ends
+    when no node that others point to points on, and each points to one.  A node with very many neighbours is a skewed
+    join, which adaptive execution splits; no neighbour list is gathered.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        own = F.col("b") > F.col("a") if large else F.col("b") <= F.col("a")
-        least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = pairs.filter(own).join(least, "a")
-        to = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            to = to.union(least.select("a", F.col("m").alias("b")))
-        return to.filter("a <> b").distinct()
-
-    def both(pairs: DataFrame) -> DataFrame:
-        return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def sign(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    nodes = ends(edges)
-    pairs = stored(edges.filter("a <> b").select("a", "b").distinct(), f"{label}-edges")
-    seen = sign(pairs)
+    def least(pairs: DataFrame, of: str) -> DataFrame:
+        return pairs.groupBy(F.col("high").alias(of)).agg(F.min("low").alias("least"))
+
+    highs = [F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")]
+    pairs = stored(edges.filter("a <> b").select(*highs).distinct(), f"{label}-edges")
     while True:
-        pairs = stored(star(both(star(both(pairs), True)), False), f"{label}-edges")
-        now = sign(pairs)
-        if now == seen:
+        to = F.coalesce("least", "low")
+        large = stored(pairs.join(least(pairs, "low"), "low", "left").select("high", to.alias("low"), F.col("least").isNotNull().alias("moved")), f"{label}-large")
+        if large.filter("moved").isEmpty() and large.groupBy("high").count().filter("count > 1").isEmpty():
             break
-        seen = now
-    return nodes.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+        own = least(large, "high")
+        small = large.select("high", "low").join(own, "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        pairs = stored(small.union(own).distinct(), f"{label}-edges")
+    named = pairs.select(F.col("high").alias("node"), F.col("low").alias("least"))
+    return ends(edges).join(named, "node", "left").select("node", F.coalesce("least", "node").alias("component"))
 
 
 def remainder(column: Column, n: int) -> Column:

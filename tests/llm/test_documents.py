@@ -164,6 +164,33 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 200: 200}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_edges(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))] + [(-50, int(b)) for b in rng.integers(0, 40, 6)] * 2
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = plain(components(spark.createDataFrame(pairs, "a long, b long"), "random"))
+    assert sorted(got) == sorted(root.items())
+
+
+def test_components_take_few_stages(spark):
+    """Spark keeps a thread of the driver for each stage of the last minute, so stages are what the driver's memory grows with."""
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (10, 11), (11, 12), (20, 20)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("components", "components")
+    try:
+        components(edges, "few")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < len(stages) <= 45
+
+
 FILES = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
 
 
