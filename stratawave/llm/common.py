@@ -14,25 +14,39 @@ from pyspark.sql import functions as F
 
 from stratawave.session import checkpoint_folder
 
+from .tokens import release
+
 #: White space of the contracts: `[\x20\x09-\x0D]`.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash keys are spread over [0, KEYS).
 KEYS = 1 << 32
+#: Whole texts that a Python task gets at a time.
+TEXTS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch: int = 0) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     This cuts the lineage: a later stage reads files, whichever executors are lost.
-    Nondeterministic columns (row ids) are fixed from here on.
+    Nondeterministic columns (row ids) are fixed from here on.  Meanwhile Python tasks get at most ``batch`` rows at a
+    time, if given: an Arrow batch lies in the executor and in its Python worker, each beside the next one.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = int(spark.conf.get(_BATCH))
+    fewer = batch and not 0 < usual <= batch
+    if fewer:
+        spark.conf.set(_BATCH, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        if fewer:
+            spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -155,6 +169,8 @@ def summed(rows: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray], grou
             if batch.num_rows:
                 m = matrix(batch)
                 total = m if total is None else total + m
+            del batch
+            release()
         if total is not None:
             yield pa.record_batch([[0], [total.shape[1]], [total.astype("<f8").tobytes()]], schema=schema)
 

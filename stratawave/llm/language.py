@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, stored, summed, table
-from .tokens import batches, forget
+from .tokens import batches, forget, release
 
 #: n-grams of 1 to 3 characters fall into 2^BITS buckets.
 BITS, GRAMS = 15, 3
@@ -187,6 +187,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         for texts in batches_:
             yield pd.DataFrame([own(t) for t in texts], columns=["lang_pred", "score"])
+            del texts
+            release()
 
     found = docs.select(F.struct("*").alias("row"), predict(F.col("text")).alias("found"))
     return found.select("row", "found.lang_pred", "found.score")

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running, stored, table
+from .common import TEXTS, running, stored, table
 from .tokens import batches, crc, encoder, vocabulary
 
 LENGTH = 1024
 #: Pieces of text whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 100_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, room: i
     * Null and repeated ids are rows like any other; equal rows are interchangeable.  An empty table gives no rows.
     * On the driver: ``room`` counts, and patterns that grow with ``room`` only.  The place table goes to the tasks.
     """
-    cut = stored(pieces(docs, tokenizer or vocabulary("byte_bpe_50k.json"), end_id, room), "pieces")
+    cut = stored(pieces(docs, tokenizer or vocabulary("byte_bpe_50k.json"), end_id, room), "pieces", TEXTS)
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     found = places(patterns(histogram, room))
     first, ranks = found["length"].to_numpy(), found["rank"].to_numpy()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ends, keep_rows, stored
+from .common import TEXTS, components, ends, keep_rows, stored
 from .tokens import batches
 
 SEED, WORDS = 42, 5
@@ -232,6 +232,6 @@ def near_duplicates(docs: DataFrame, near: Callable[[DataFrame], DataFrame]) ->
 
     Equal sets are one node, however many documents have them; texts without words have equal sets.
     """
-    rows = stored(sketches(docs), "shingle-rows")
+    rows = stored(sketches(docs), "shingle-rows", TEXTS)
     parts = components(stored(links(rows, docs, near), "shingle-links"), "shingle")
     return rows.join(parts, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))

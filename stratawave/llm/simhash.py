@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import components, keep_rows, stored, table
 from .shingles import signed
-from .tokens import batches, worker_state
+from .tokens import batches, release, worker_state
 
 SEED, WORDS, NEAR = 42, 3, 2
 #: Bits of the three segments; each is at most 23, the length of the code.
@@ -128,6 +128,7 @@ def links(prints: DataFrame) -> DataFrame:
             for i in range(0, len(x), 10_000):
                 at, key = golay_keys(x[i:i + 10_000])
                 yield pa.record_batch([pa.array(x[i:i + 10_000][at]), pa.array(key)], names=["print", "key"])
+            release()
 
     keys = stored(prints.mapInArrow(keyed, "print long, key long"), "simhash-keys")
     crowds = stored(keys.groupBy("key").count().filter("count > 1"), "simhash-crowds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
@@ -155,9 +156,24 @@ def encoder(path: str, spaced: bool, most: int = 1_000_000) -> Encoder:
     return own[path]
 
 
-def forget() -> None:
-    """Drop the encoders of this process: tasks of another kind need the memory."""
-    worker_state().pop("encoders", None)
+def release() -> None:
+    """Give memory that is free in this process back to the system.
+
+    Arrow and the C library keep what was freed, and a worker stays between its tasks while the executor's other
+    processes need the memory.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def forget(but: str = "") -> None:
+    """Drop what this process remembers, ``but`` one thing: tasks of another kind need the memory."""
+    own = worker_state()
+    for name in [x for x in own if not x.startswith("__") and x != but]:
+        del own[name]
+    release()
 
 
 def vocabulary(name: str) -> str:
@@ -173,11 +189,11 @@ def crc(data: bytes) -> int:
 def batches(function: Callable[[pa.RecordBatch], Iterator[list]], schema: pa.Schema, rows: int = 20_000, encodes: bool = False) -> Callable:
     """A function for mapInArrow: ``function`` yields rows (lists) for a batch, which go out ``rows`` at a time.
 
-    Unless it ``encodes``, the memory of earlier encoding tasks is given back first.
+    What tasks of another kind remember is dropped first; one that ``encodes`` keeps the encoders.  Free memory is given
+    back after each batch.
     """
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not encodes:
-            forget()
+        forget("encoders" if encodes else "")
         held: list[list] = []
         for batch in source:
             for row in function(batch):
@@ -185,8 +201,12 @@ def batches(function: Callable[[pa.RecordBatch], Iterator[list]], schema: pa.Sch
                 if len(held) >= rows:
                     yield _batch(held, schema)
                     held = []
+            del batch
+            release()
         if held:
             yield _batch(held, schema)
+        held = []
+        release()
 
     return run
 

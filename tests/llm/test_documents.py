@@ -1,11 +1,15 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -14,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratawave.llm import exact, language, mixing, packing, perplexity, quality, sharding, simhash, tokenfile, tokens
-from stratawave.llm.common import components
+from stratawave.llm.common import components, stored
 
 
 def lower(text):
@@ -270,6 +274,54 @@ def test_packing(docs, room):
     assert sorted(packs) == list(range(len(packs)))
 
 
+def test_python_tasks_hold_no_free_memory():
+    # In a process of its own, like a worker that has read five batches and waits for its next task.
+    code = """
+import re
+import pyarrow as pa
+from stratawave.llm import tokens
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def texts(batch):
+    for x in batch.column(0).to_pylist():
+        yield [len(x)]
+
+source = lambda n: (pa.record_batch([pa.array([str(i % 7) * 4000 for i in range(10_000)])], names=["text"]) for _ in range(n))
+task = tokens.batches(texts, pa.schema([("n", pa.int64())]))
+before = held()
+tokens.worker_state()["encoders"] = bytearray(60 << 20)
+assert sum(b.num_rows for b in task(source(5))) == 50_000
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(out.stdout) < 20
+
+
+def test_stored_hands_out_batches_of_few_rows(spark):
+    def sizes(source):
+        for batch in source:
+            yield pa.record_batch([[batch.num_rows]], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    rows = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")
+    assert sorted(r["n"] for r in stored(rows, "sizes", 1000).collect()) == [500, 1000, 1000]
+    assert [r["n"] for r in stored(rows, "sizes").collect()] == [2500] and spark.conf.get(key) == usual
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        stored(spark.range(1).selectExpr("raise_error('DIVIDE_BY_ZERO') AS x"), "sizes", 1000)
+    assert spark.conf.get(key) == usual
+
+
+def test_texts_reach_the_tokenizer_in_small_batches(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(packing, "stored", lambda df, label, batch=0: asked.append((label, batch)) or stored(df, label, batch))
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "'some words' AS text")
+    assert packing.pack(docs).count() == 2500
+    assert asked == [("pieces", 1000)]
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_patterns_hold_every_piece(histogram):
