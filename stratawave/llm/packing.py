@@ -22,7 +22,7 @@ from .tokens import batches, crc, encoder, vocabulary
 
 LENGTH = 1024
 #: Pieces of text whose ids a worker remembers.
-MEMORY = 100_000
+MEMORY = 400_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 

@@ -190,7 +190,7 @@ def batches(function: Callable[[pa.RecordBatch], Iterator[list]], schema: pa.Sch
     """A function for mapInArrow: ``function`` yields rows (lists) for a batch, which go out ``rows`` at a time.
 
     What tasks of another kind remember is dropped first; one that ``encodes`` keeps the encoders.  Free memory is given
-    back after each batch.
+    back after each batch, by a task that encodes at its end.
     """
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("encoders" if encodes else "")
@@ -202,7 +202,8 @@ def batches(function: Callable[[pa.RecordBatch], Iterator[list]], schema: pa.Sch
                     yield _batch(held, schema)
                     held = []
             del batch
-            release()
+            if not encodes:
+                release()
         if held:
             yield _batch(held, schema)
         held = []
